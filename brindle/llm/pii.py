@@ -151,8 +151,9 @@ def _email_spans(s: str) -> Iterator[tuple[int, int, int]]:
     seen = -1
     for m in _EMAIL_DOT.finditer(s):
         left = _LOCAL_AT.search(s, max(0, m.start() - 96), m.start()) if m.start() >= seen else None
-        if left:
-            seen = _DOMAIN_WORDS.match(s, m.start()).end()
+        right = _DOMAIN_WORDS.match(s, m.start()) if left else None
+        if right:
+            seen = right.end()
             yield left.start(), seen, 1
 
 
@@ -254,7 +255,7 @@ def _numbers(s: str, a: str, families: list[tuple[int, int]], out: list) -> None
             exchange = _EXCHANGE.search(s, max(0, start - 24), start) if size in (3, 6) else None
             if exchange and (size == 3 or s[start + 1] == "-"):
                 spans[exchange.start(), end] = 20 if exchange[0][1].isupper() else 21
-            if left[-2] in ",." or _CUE_PHONE.search(left):
+            if left[-2:-1] in (",", ".") or _CUE_PHONE.search(left):
                 for k in (8, 9):
                     x = _PHONES[k].match(s, start)
                     if x:
