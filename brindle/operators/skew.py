@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -28,3 +29,23 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     salted = small.withColumn(salt, F.explode(F.array(*(F.lit(i) for i in range(salts)))))
     row_hash = F.xxhash64(*(F.col(f"`{c}`") for c, kind in big.dtypes if not kind.startswith("map")))
     return big.withColumn(salt, F.pmod(row_hash, F.lit(salts)).cast("int")).join(salted, [*on, salt], how).drop(salt)
+
+
+def running_max_before(df: DataFrame, keys: list[str], at: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """Adds ``name``: the greatest ``value`` of the rows before each in the line of its keys.
+
+    ``at`` is a whole number that orders a line. Lines are cut into chunks of ``width``; the
+    maximum runs within a chunk, and what the chunks before it held comes from one row a
+    chunk, so a line with a third of all rows is still the work of many tasks. Rows with
+    equal ``at`` in a line have no order between them.
+    """
+    chunk = df.withColumn("__chunk", F.floor(F.col(at) / width).cast("long"))
+    inside = W.partitionBy(*keys, "__chunk").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    sums = chunk.groupBy(*keys, "__chunk").agg(F.max(value).alias("__most"))
+    before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = sums.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__chunk").alias("__c"), F.max("__most").over(before).alias("__carry"))
+    on = F.col("__chunk").eqNullSafe(F.col("__c"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    ran = chunk.withColumn("__inside", F.max(value).over(inside)).join(carry, on, "left")
+    return ran.withColumn(name, F.greatest("__inside", "__carry")).select(*df.columns, name)

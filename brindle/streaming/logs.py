@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.operators.skew import running_max_before
 from brindle.operators.versions import newest
 
 
@@ -21,11 +22,8 @@ def accept(messages: DataFrame, log: str = "log", position: str = "position", ep
     after which the log can't be read on. A lower epoch is skipped. All from running maxima:
     within an epoch that is current, the greatest sequence so far is the last accepted one.
     """
-    sofar = W.partitionBy(log).orderBy(position).rowsBetween(W.unboundedPreceding, -1)
-    current = F.max(epoch).over(sofar)
-    in_epoch = W.partitionBy(log, epoch).orderBy(position).rowsBetween(W.unboundedPreceding, -1)
-    last = F.max(sequence).over(in_epoch)
-    rows = messages.withColumn("__current", current).withColumn("__last", last)
+    rows = running_max_before(messages, [log], position, epoch, "__current")
+    rows = running_max_before(rows, [log, epoch], position, sequence, "__last")
     verdict = (
         F.when(F.col("__current").isNull() | (F.col(epoch) > F.col("__current")), "accept")
         .when(F.col(epoch) < F.col("__current"), "skip")
@@ -85,25 +83,24 @@ def compact_versions(versions: DataFrame, keys: Sequence[str], order: Sequence[s
     ranged.sortWithinPartitions(*keys, *(F.col(c).desc() for c in order)).write.mode("overwrite").parquet(path)
 
 
-def hybrid_clock(rows: DataFrame, wall: str, order: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:
-    """Strictly growing times: ``hlc_wall`` is the greatest wall time so far, ``hlc_logical``
-    counts the rows since it last grew."""
-    by = W.partitionBy(*partition).orderBy(*order)
-    high = F.max(wall).over(by.rowsBetween(W.unboundedPreceding, 0))
-    ranked = rows.withColumn("hlc_wall", high)
-    count = F.row_number().over(W.partitionBy(*partition, "hlc_wall").orderBy(*order)) - 1
-    return ranked.withColumn("hlc_logical", count.cast("bigint"))
+def hybrid_clock(rows: DataFrame, wall: str, at: str, partition: Sequence[str] = ()) -> DataFrame:
+    """Strictly growing times in the order of ``at``: ``hlc_wall`` is the greatest wall time so
+    far, ``hlc_logical`` counts the rows since it last grew."""
+    keys = list(partition)
+    ran = running_max_before(rows, keys, at, wall, "__before")
+    high = ran.withColumn("hlc_wall", F.greatest("__before", wall)).drop("__before")
+    count = F.row_number().over(W.partitionBy(*keys, "hlc_wall").orderBy(at)) - 1
+    return high.withColumn("hlc_logical", count.cast("bigint"))
 
 
-def push_late(writes: DataFrame, ts: str, arrival: Sequence[str], lag: int, partition: Sequence[str] = ()) -> DataFrame:
+def push_late(writes: DataFrame, ts: str, arrival: str, lag: int, partition: Sequence[str] = ()) -> DataFrame:
     """Adds ``closed`` and ``write_ts``: no write lands at or under the closed time.
 
     The closed time is ``lag`` behind the greatest time that arrived before; a late write is
     not dropped but moved to just behind it.
     """
-    by = W.partitionBy(*partition).orderBy(*arrival).rowsBetween(W.unboundedPreceding, -1)
-    closed = F.max(ts).over(by) - F.lit(lag)
-    rows = writes.withColumn("closed", closed)
+    ran = running_max_before(writes, list(partition), arrival, ts, "__before")
+    rows = ran.withColumn("closed", F.col("__before") - F.lit(lag)).drop("__before")
     return rows.withColumn("write_ts", F.greatest(F.col(ts), F.col("closed") + 1))
 
 
