@@ -7,10 +7,10 @@ from bisect import bisect_right
 
 #: Marks that end a line inside a word.
 MARKS = "-­¬="
-_GUTTER = re.compile(r" {2,}\|?| *\|")
+_GUTTER = re.compile(r" {2,}[|\t]?| *[|\t]")
 #: Marks that are printed above a letter or not at all.
 _UNSEEN = re.compile("[\u0300-\u036f\u200b-\u200d\u2060\ufeff]")
-_BREAK = re.compile(r"(?<=[^\W_])([-­¬=]) ?\n+(?=[^\s])")
+_BREAK = re.compile(r"([-­¬=])(?<=[^\W_].) ?\n+(?=[^\s])")
 #: What only the careful way handles: indents, adverts between stars, unseen marks.
 _SLOW = re.compile("[\t\u0300-\u036f\u200b-\u200d\u2060\ufeff]|\n |\\* ?\\*")
 _STARS = re.compile(r"^\s*(?:\* ?){3,}\s*$")
@@ -36,11 +36,15 @@ class Reading:
         return lo, hi
 
 
+def _may_join(text: str) -> bool:
+    return "  " in text or "|" in text or "\t" in text
+
+
 def _columns(lines: list[tuple[int, int]], text: str, xs: list | None, n_columns: int | None) -> list[list[tuple[int, int]]]:
     """Lines (start, end) by column; a line that joins columns is cut at its gutter."""
     if n_columns is not None and n_columns < 2:
         return [lines]
-    cut = [_GUTTER.search(text, s, e) for s, e in lines]
+    cut = [_GUTTER.search(text, s, e) for s, e in lines] if _may_join(text) else []
     inner = sum(1 for m, (s, e) in zip(cut, lines) if m and m.start() > s and m.end() < e)
     if inner >= 3 and inner * 4 >= len(lines):
         columns: list[list[tuple[int, int]]] = []
@@ -123,7 +127,7 @@ def reading(text: str, xs: list | None = None, n_columns: int | None = None) ->
     character; where a mark breaks a word, mark and newline are left out.
     """
     n_columns = 1 if n_columns is None and not xs else n_columns
-    if ((n_columns or 0) < 2 or not _GUTTER.search(text) and _in_order(xs)) and not _SLOW.search(text):
+    if ((n_columns or 0) < 2 or not (_may_join(text) and _GUTTER.search(text)) and _in_order(xs)) and not _SLOW.search(text):
         return _plain(text)
     lines, at = [], 0
     for line in text.split("\n"):

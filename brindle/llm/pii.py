@@ -86,23 +86,30 @@ class Directory:
                 k = max(cuts)[2]
                 self.stems.add(f[:k])
                 self.ends.add(f[k:])
-        if self.stems:
-            stem, end = "|".join(_word(s) for s in sorted(self.stems, key=len, reverse=True)), "|".join(_word(s) for s in sorted(self.ends, key=len, reverse=True))
-            one = f"(?:{stem})(?:{end})"
-        else:
-            one = "(?!)"
+        end = "|".join(_word(e) for e in sorted(self.ends, key=len, reverse=True))
+        made = [f"{_word(x)}(?:{end})" for x in sorted(self.stems, key=len, reverse=True)]
+        rest = [_word(f) for f in family if not any(f.startswith(x) for x in self.stems)]
         #: Only names made of a known stem and ending, without the directory's other words.
-        self.made = re.compile(one)
-        rest = "|".join(_word(f) for f in family if not any(f.startswith(s) for s in self.stems))
-        if rest:
-            one = f"(?:{one}|{rest})"
+        self.made = re.compile("|".join(made) or "(?!)")
+        # Grouped by first letter, whose class stands first: the matcher searches for it quickly.
+        groups: dict[str, list[str]] = {}
+        for p in made + rest:
+            for q in ([p.replace("(?:M|RN)", "M", 1), p.replace("(?:M|RN)", "RN", 1)] if p.startswith("(?:M|RN)") else [p]):
+                if q[0].isalpha():
+                    groups.setdefault(q[0], []).append(q[1:])
+        if not groups:
+            self.pattern = re.compile("(?!)")
+            return
+        one = f"[{''.join(groups)}](?<![^\\W\\d_].)(?:" + "|".join(f"(?<={c})(?:{'|'.join(g)})" for c, g in groups.items()) + ")"
+        again = "(?:" + "|".join(made + rest) + ")"
         # a double name's second part may begin on the next line
-        self.pattern = re.compile(rf"(?<![^\W\d_])(?:{one})(?:-\s?(?:{one}))?(?![^\W\d_])")
+        self.pattern = re.compile(rf"{one}(?:-\s?{again})?(?![^\W\d_])")
 
 
 #: A digit as printed or misread.
 D = "[0-9OoQIlSZBbg]"
-_NUMBER = re.compile(rf"(?<![\w£$,])(?=[+(]{{0,2}}[OoQIlSZBbg]{{0,3}}\d)[+(]{{0,2}}{D}(?:[ .\-/()]{{0,2}}{D})*")
+# The first character's class stands first, which the matcher searches for quickly.
+_NUMBER = re.compile(rf"[+(0-9OoQIlSZBbg](?<![\w£$,].)(?:(?<=\d)|(?=[+(OoQIlSZBbg]{{0,3}}\d))(?:(?<![+(])|[+(]?{D})(?:[ .\-/()]{{0,2}}{D})*")
 _REAL = re.compile(r"\d")
 #: Printed forms of telephone numbers; a line break may stand in for a blank.
 PHONES = [
@@ -132,10 +139,9 @@ IDENTITIES = [
 ]
 _IDENTITIES = [re.compile(p) for p in IDENTITIES]
 _IDENTITY_FORM = re.compile("|".join(f"({p})" for p in IDENTITIES))
-_IDENTITY_START = re.compile(rf"(?<![\w£$])(?=(?:[A-Z]{{1,2}}\s?)?{D}(?:[\s-]?{D}){{4}})[A-Z0-9OolISZBbg]")
-_AT = r"\s?(?:[@©®]|[(\[]\s?(?:at|ot|af)\s?[)\]])\s?"
+_IDENTITY_START = re.compile(rf"[A-Z0-9olbg](?<![\w£$].)(?:(?<=[A-Z])[A-Z]?\s?{D}(?:[\s-]?{D}){{4}}|(?<={D})(?:[\s-]?{D}){{4}})")
 _LABEL = r"[A-Za-z0-9ſ](?:[\w-]*[A-Za-z0-9ſ])?"
-_EMAIL_AT = re.compile(_AT)
+_EMAIL_AT = re.compile(r"[@©®(\[](?:(?<=[@©®])|\s?(?:at|ot|af)\s?[)\]])")
 _EMAIL_DOT = re.compile(r"\s(?:d[o0]t|punkt|point|dof)\s")
 _LOCAL = re.compile(r"[A-Za-z0-9][\w.+%-]*\Z")
 _LOCAL_AT = re.compile(rf"[A-Za-z0-9][\w.+%-]*\s(?:at|ot|af)\s{_LABEL}\Z")
@@ -145,7 +151,9 @@ _DOMAIN_WORDS = re.compile(rf"(?:\s(?:d[o0]t|punkt|point|dof)\s{_LABEL})+")
 
 def _email_spans(s: str) -> Iterator[tuple[int, int, int]]:
     for m in _EMAIL_AT.finditer(s):
-        left, right = _LOCAL.search(s, max(0, m.start() - 64), m.start()), _DOMAIN.match(s, m.end())
+        # one blank may stand on either side
+        a, b = m.start() - (s[m.start() - 1 : m.start()].isspace()), m.end() + s[m.end() : m.end() + 1].isspace()
+        left, right = _LOCAL.search(s, max(0, a - 64), a), _DOMAIN.match(s, b)
         if left and right:
             yield left.start(), right.end(), 0
     seen = -1
@@ -164,7 +172,7 @@ _FR_ADDRESS = re.compile(rf"({_HOUSE}),?\s([A-Za-zéÉ]+\.?\s(?:(?:de la|du|des|
 _DE_NAME = r"(?:(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|AM|AN DER|IM)\s(?:[A-ZÀ-Þ][\w-]+\s)?[A-ZÀ-Þ][\w-]+)|[A-ZÀ-Þ5][\w-]{3,}\.?"
 _DE_ADDRESS = re.compile(rf"({_DE_NAME})\s(?:N[rR]\.\s)?({D}{{1,3}}(?:\s?[A-Da-d](?!\w))?)(?!\w)")
 _DE_STREET = re.compile(rf"(?<![\w-])(?:{_DE_NAME})\s(?:N[rR]\.\s)?\Z")
-_HOUSE_TOKEN = re.compile(r"(?<![\w£$.,:/])[OolISZBbg]{0,2}\d[\dOolISZBbg]{0,2}(?=\s?[A-Da-d]?(?!\w))")
+_HOUSE_TOKEN = re.compile(r"[\dOolISZBbg](?<![\w£$.,:/].)(?:(?<=\d)|[OolISZBbg]?\d)[\dOolISZBbg]{0,2}(?=\s?[A-Da-d]?(?!\w))")
 _STREET_EN = re.compile(rf"{_any(STREET_EN)}\Z")
 _STREET_FR = re.compile(rf"{_any(STREET_FR)}(?!\w)")
 _STREET_DE = re.compile(rf"{_any(STREET_DE)}\.?\Z")
@@ -304,6 +312,10 @@ def _addresses(s: str, a: str, out: list) -> None:
         if hit and hit.end() == len(kind):
             add(m.start(), m.end(), 1.0, 1.0, 0.0, float(m[1][-1].isalpha()))
     for x, _ in tokens:
+        word = s[max(0, x - 40) : x].split()
+        word = word[-2] if len(word) > 1 and word[-1] in ("Nr.", "NR.") else word[-1] if word else ""
+        if len(word) < 3 or not (word[0].isupper() or word[0] == "5") or word[-1] in ",:;)":
+            continue
         left = _DE_STREET.search(s, max(0, x - 60), x)
         m = _DE_ADDRESS.match(s, left.start()) if left else None
         if m and m.start(2) == x:
@@ -335,7 +347,7 @@ def _token_type(s: str, a: str, start: int, end: int, d: Directory) -> int:
     """0 other, 1 initial, 2 given in the directory, 3 learned given, 4 title, 5 capitalised, 6 particle."""
     word = a[start:end].rstrip(".")
     if end - start == 2 and s[end - 1] == ".":
-        return 1
+        return 1 if s[start].isupper() else 0
     if word in _TITLE_SET and (s[end - 1] == "." or len(word) > 1 or s[start:end] == "M"):
         return 4
     if s[end - 1] == ".":
@@ -351,13 +363,39 @@ def _token_type(s: str, a: str, start: int, end: int, d: Directory) -> int:
     return 5 if word not in NO_GIVEN and len(word) > 1 and not word.isdigit() else 0
 
 
+_ANSWERED = re.compile(r"\s\w\s\w{2}P\wN\w{2}(?!\w)")
+
+
+def _left_types(s: str, a: str, f0: int, f1: int, d: Directory, most: int = 6) -> tuple[list[tuple[int, int]], list[int]]:
+    """The words before a family name and their types; ``M.`` is a title before other given
+    parts, and before a family name of whom is told what they answered."""
+    tokens = _left_tokens(s, a, f0, most)
+    types = [_token_type(s, a, x, y, d) for x, y in tokens]
+    for i, (x, y) in enumerate(tokens):
+        if s[x:y] == "M." and ((i and types[i - 1] in (1, 2, 3, 5)) or (all(t == 6 for t in types[:i]) and _ANSWERED.match(a, f1))):
+            types[i] = 4
+    return tokens, types
+
+
+def _given_run(s: str, tokens: list[tuple[int, int]], types: list[int], first: int, ends: set[int], most: int = 4) -> int:
+    """How far the given names before a family name reach; those that follow another family
+    name and a comma belong to that one."""
+    run = first
+    while run < len(types) and types[run] in (1, 2, 3, 5) and run - first < most:
+        run += 1
+    for k in range(first, run):
+        x = tokens[k][0]
+        if s[x - 1 : x] in (" ", "\n") and s[x - 2 : x - 1] == "," and x - 2 in ends:
+            return max(first, k - 1 if k and types[k - 1] == 1 else k)
+    return run
+
+
 def _names(s: str, a: str, families: list[tuple[int, int]], d: Directory, out: list) -> None:
     ends = {e for _, e in families}
     for f0, f1 in families:
         if not (s[f0].isupper() or s[f0] in "015"):
             continue
-        tokens = _left_tokens(s, a, f0)
-        types = [_token_type(s, a, x, y, d) for x, y in tokens]
+        tokens, types = _left_types(s, a, f0, f1, d)
         known = a[f0:f1] in d.family
         firm_after = float(bool(_FIRM_AFTER_RE.match(a, f1)))
         street_after = float(bool(_STREET_AFTER.match(a, f1)))
@@ -367,9 +405,7 @@ def _names(s: str, a: str, families: list[tuple[int, int]], d: Directory, out: l
         while i < len(types) and types[i] == 6 and i < 3:
             i += 1
         n_particles, first = i, i
-        run = first
-        while run < len(types) and types[run] in (1, 2, 3, 5) and run - first < 4:
-            run += 1
+        run = _given_run(s, tokens, types, first, ends)
         starts = {0: f0}
         if n_particles:
             starts[1] = tokens[n_particles - 1][0]

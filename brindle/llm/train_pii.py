@@ -93,14 +93,11 @@ def label(kind: str, start: int, end: int, s: str, a: str, d: pii.Directory, mai
             return False
         f0, f1 = f.span()
         firm = pii._FIRM_AFTER_RE.match(a, f1) or pii._STREET_AFTER.match(a, f1) or re.search(r"[&]\s\Z", left)
-        tokens = pii._left_tokens(s, a, f0)
-        types = [pii._token_type(s, a, x, y, d) for x, y in tokens]
+        tokens, types = pii._left_types(s, a, f0, f1, d)
         i = 0
         while i < len(types) and types[i] == 6 and i < 3:
             i += 1
-        run = i
-        while run < len(types) and types[run] in (1, 2, 3, 5) and run - i < 3:
-            run += 1
+        run = pii._given_run(s, tokens, types, i, {m.end() for m in d.pattern.finditer(a, max(0, f0 - 80), f0)}, 3)
         # an unknown capitalised word counts only directly before known parts
         while run > i and types[run - 1] == 5 and run - i > 1:
             run -= 1
