@@ -93,6 +93,8 @@ def _digest(a: Args) -> str:
         return f"unhex(md5({a[0]}))"
     if kind in ("sha224", "sha256", "sha384", "sha512"):
         return f"unhex(sha2({a[0]}, {kind[3:]}))"
+    if kind in ("blake2b", "blake2s"):
+        return f"pg_{kind}(CAST({a[0]} AS binary))"
     raise ValueError(f"digest algorithm {kind} has no built-in")
 
 

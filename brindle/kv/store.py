@@ -126,10 +126,12 @@ class VersionedStore:
         An absent or deleted key is 0. A newest value that is no whole number is an error.
         """
         at = self.layout
-        base = self.snapshot().select(F.col(at.key).alias("__key"), F.coalesce(F.col("v_int"), F.raise_error(F.lit("increment of a value that is no whole number")).cast("bigint")).alias("__base"))
+        base = self.snapshot().select(F.col(at.key).alias("__key"), F.col("v_int").alias("__base"))
         joined = deltas.join(base, F.col(at.key) == F.col("__key"), "left")
         run = W.partitionBy(at.key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return joined.withColumn("value_after", F.coalesce("__base", F.lit(0)) + F.sum(delta).over(run)).drop("__key", "__base")
+        wrong = F.raise_error(F.lit("increment of a value that is no whole number")).cast("bigint")
+        began = F.when(F.col("__key").isNotNull() & F.col("__base").isNull(), wrong).otherwise(F.coalesce("__base", F.lit(0)))
+        return joined.withColumn("value_after", began + F.sum(delta).over(run)).drop("__key", "__base")
 
     def refresh_read(self, spans: DataFrame, start: str, end: str, since: str, upto: str, width: int) -> DataFrame:
         """Adds ``fresh``: whether no version in the span is newer than ``since`` (up to ``upto``).

@@ -52,13 +52,22 @@ def deadlocks(waits: DataFrame, max_depth: int = 32) -> DataFrame:
     """Transactions that wait for themselves: ``txn``, and ``restarts`` for the cycle's loser.
 
     ``waits``: waiter, holder and, of the waiter, priority, start_ts. Paths double each round
-    (a path of 2k edges is two of k), so a cycle of n needs log n joins; what has been found
+    (a path of 2k edges is two of k), so a cycle of n needs log n joins; ``max_depth`` bounds
+    the length of a cycle that is found. What has been found
     is distinct pairs, and rounds end when none is new. Of a cycle the greatest (priority,
     start_ts, txn) restarts: at equal priority the older one wins. Each round is cut off from
     the plan by a checkpoint in the shared folder.
     """
     edges = waits.select("waiter", "holder").where(F.col("waiter").isNotNull() & F.col("holder").isNotNull()).distinct()
-    # Only transactions that both wait and are waited for can be on a cycle; the rest is peeled off first.
+    # Only transactions that both wait and are waited for can be on a cycle: the rest is peeled
+    # off first, layer by layer, so paths are followed among what cycles are made of.
+    size = -1
+    for _ in range(max_depth):
+        edges = edges.join(edges.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi").join(edges.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").checkpoint()
+        now = edges.count()
+        if now == size:
+            break
+        size = now
     reach, size, hops = edges, -1, 1
     while hops <= max_depth:
         a, b = reach.alias("a"), reach.alias("b")
@@ -79,6 +88,16 @@ def deadlocks(waits: DataFrame, max_depth: int = 32) -> DataFrame:
     return named.join(loser, "cycle").select("txn", "cycle", (F.col("txn") == F.col("loser")).alias("restarts"))
 
 
+def expire(txns: DataFrame, heartbeats: DataFrame, now: int, interval: int) -> DataFrame:
+    """Adds ``status_now``: a pending transaction without a heartbeat for ``interval`` is aborted.
+
+    ``txns``: txn_id, status, started. ``heartbeats``: txn_id, at; many rows each.
+    """
+    last = heartbeats.groupBy("txn_id").agg(F.max("at").alias("__last"))
+    dead = (F.col("status") == "pending") & (F.greatest("started", "__last") + interval < F.lit(now))
+    return txns.join(last, "txn_id", "left").withColumn("status_now", F.when(dead, "aborted").otherwise(F.col("status"))).drop("__last")
+
+
 class TxnAborted(RuntimeError):
     """A transaction whose reads were overtaken, or that was aborted."""
 

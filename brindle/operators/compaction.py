@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.operators.skew import lookup_join
 from brindle.operators.versions import newest
 from brindle.sources.manifest import ConflictError, SnapshotTable
 
@@ -91,10 +92,11 @@ class Compactor:
         if self.table.version() != plan.base:
             raise ConflictError(f"{self.table.root}: planned on {plan.base}, now {self.table.version()}")
         data = self.table.data_path("entries")
-        once = newest(entries.where(F.col("file_uri").isNotNull() & F.col("entry_no").isNotNull()), ["file_uri", "entry_no"], ["entry_bytes", "entry_key"], ["entry_key", "entry_bytes"])
-        rows = once.join(plan.files.select("file_uri", "shard_id", "bin"), "file_uri")
-        out = rows.withColumn("__file", F.concat_ws("-", "shard_id", "bin")).repartition("shard_id", "bin").sortWithinPartitions("shard_id", "bin", "entry_key", "file_uri", "entry_no")
-        out.drop("__file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(data)
+        named = entries.where(F.col("file_uri").isNotNull() & F.col("entry_no").isNotNull()).select("file_uri", "entry_no", "entry_key", "entry_bytes")
+        picked = lookup_join(named, plan.files.select("file_uri", "shard_id", "bin"), ["file_uri"], "inner")
+        rows = newest(picked, ["file_uri", "entry_no", "shard_id", "bin"], ["entry_bytes", "entry_key"])
+        out = rows.repartition("shard_id", "bin").sortWithinPartitions("shard_id", "bin", "entry_key", "file_uri", "entry_no")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(data)
         old = self.table.read(plan.base)
         return self.table.publish(plan.base, {"parts": [*old.get("parts", []), data], "target_bytes": self.target_bytes})
 

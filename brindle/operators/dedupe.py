@@ -27,13 +27,17 @@ def merge_ranges(ranges: DataFrame, producer: Sequence[str], lo: str = "lo", hi:
     """Disjoint ranges that cover the same whole numbers as ``ranges`` (inclusive bounds).
 
     Touching ranges become one. Each producer's line is cut into blocks that are merged on
-    their own, then only the blocks' results are stitched, so that a producer with a third of
-    all rows is still the work of many tasks. A range without a bound is left out.
+    their own; only ranges that reach a block's edge, at most two a block, are stitched over
+    blocks. So a producer with a third of all rows is the work of many tasks, even if its
+    numbers are all apart. A range without a bound or with ``lo > hi`` is left out.
     """
     producer = list(producer)
-    good = ranges.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi))).select(*producer, F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    inside = _islands(good.withColumn("__b", _block(F.col("lo"))), [*producer, "__b"])
-    return _islands(inside.drop("__b"), producer)
+    good = ranges.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi))).select(*producer, F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"))
+    cut = good.withColumn("__b", F.explode(F.sequence(_block(F.col("lo")), _block(F.col("hi")))))
+    first, last = F.col("__b") * BLOCK, F.col("__b") * BLOCK + (BLOCK - 1)
+    inside = _islands(cut.withColumns({"lo": F.greatest("lo", first), "hi": F.least("hi", last)}), [*producer, "__b"])
+    edge = (F.col("lo") == first) | (F.col("hi") == last)
+    return inside.where(~edge).drop("__b").unionByName(_islands(inside.where(edge).drop("__b"), producer))
 
 
 def _islands(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from brindle.operators.versions import HYBRID, newest, order_of
 
-#: A target that more rows than this refer to is heavy, and there can be at most
-#: rows / HEAVY_REFS of those: that bounds what is broadcast.
+#: A target that more rows than this refer to is heavy ...
 HEAVY_REFS = 10_000
+#: ... or, where there are very many references, more than one in so many of them. There can
+#: be at most so many heavy targets, whatever the input: that bounds what is broadcast.
+MAX_HEAVY = 100_000
 
 
 @dataclass(frozen=True)
@@ -59,16 +61,17 @@ def orphans(refs: list[Reference], targets: DataFrame, heavy_refs: int = HEAVY_R
     """Every reference to a target that is missing, dropped, or younger than the reference.
 
     References are counted per target first (combined before the shuffle). Targets with more
-    than ``heavy_refs`` references are heavy: their states, at most rows / heavy_refs of them,
-    are broadcast to the references, which are not shuffled. All other references meet the
-    targets in a shuffle join, whose keys then have at most ``heavy_refs`` rows each. The two
-    parts are disjoint and unioned.
+    than ``heavy_refs`` references, and more than one in MAX_HEAVY of all, are heavy: their
+    states, at most MAX_HEAVY rows, are broadcast to the references, which are not shuffled.
+    All other references meet the targets in a shuffle join, whose keys then have few rows
+    each. The two parts are disjoint and unioned.
     """
     all_refs = references(refs, order)
     states = target_states(targets, order=order)
-    heavy = all_refs.groupBy("target").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy_refs).select("target")
+    least = max(heavy_refs, all_refs.count() // MAX_HEAVY)
+    heavy = all_refs.groupBy("target").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select("target")
     hot = heavy.join(states, "target", "left").select("target", "gone", "since")
-    # heavy has at most rows / heavy_refs rows
+    # heavy has at most MAX_HEAVY rows
     in_hot = all_refs.join(F.broadcast(hot), "target", "inner")
     in_rest = all_refs.join(F.broadcast(heavy), "target", "left_anti").join(states.hint("shuffle_hash"), "target", "left")
     bad = F.col("gone").isNull() | F.col("gone") | (F.col("since") > F.col("at"))
