@@ -79,10 +79,10 @@ def _columns(lines: list[tuple[int, int]], text: str, xs: list | None, n_columns
     return columns
 
 
-def _adverts_after(lines: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
-    """Moves what stands between two lines of stars behind the text that it interrupts."""
+def _adverts_after(lines: list[tuple[int, int]], text: str, moved: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Takes out what stands between two lines of stars, into ``moved``."""
     stars = [i for i, (s, e) in enumerate(lines) if e - s < 14 and e > s and text[s] in "* " and _STARS.match(text[s:e])]
-    out, moved, i, k = [], [], 0, 0
+    out, i, k = [], 0, 0
     while k + 1 < len(stars):
         a, b = stars[k], stars[k + 1]
         if b - a - 1 <= _ADVERT and b > a + 1:
@@ -91,7 +91,7 @@ def _adverts_after(lines: list[tuple[int, int]], text: str) -> list[tuple[int, i
             i, k = b + 1, k + 2
         else:
             k += 1
-    return out + lines[i:] + moved if moved else lines
+    return out + lines[i:] if i else lines
 
 
 def _in_order(xs: list | None) -> bool:
@@ -121,7 +121,7 @@ def _plain(text: str) -> Reading:
 
 
 def reading(text: str, xs: list | None = None, n_columns: int | None = None) -> Reading:
-    """Columns one after the other, adverts behind what they interrupt, words rejoined.
+    """Columns one after the other, interrupting adverts at the end, words rejoined.
 
     ``xs`` has the left edge of each line's box, in the order of lines. A newline stays one
     character; where a mark breaks a word, mark and newline are left out.
@@ -138,8 +138,11 @@ def reading(text: str, xs: list | None = None, n_columns: int | None = None) ->
     origin: list[int] = []
     n = 0
     unseen = _UNSEEN.search(text) is not None
-    for column in _columns(lines, text, xs, n_columns):
-        column = _adverts_after(column, text)
+    moved: list[tuple[int, int]] = []
+    columns = [_adverts_after(c, text, moved) for c in _columns(lines, text, xs, n_columns)]
+    # Columns follow one another, so a sentence may go on in the next; adverts come last.
+    whole = [line for c in columns for line in c]
+    for column in (whole, moved):
         for i, (s, e) in enumerate(column):
             while s < e and text[s] in " \t":
                 s += 1

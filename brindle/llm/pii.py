@@ -77,15 +77,15 @@ class Directory:
                 if 3 <= k <= len(f) - 2:
                     heads[f[:k]] += 1
                     tails[f[k:]] += 1
-        self.stems: set[str] = set()
-        self.ends: set[str] = set()
+        # each name's cut whose two sides are both shared with most other names
+        cuts: list[tuple[str, str]] = []
         for f in family:
-            # the cut whose two sides are both shared with most other names
-            cuts = [(min(heads[f[:k]], tails[f[k:]]), tails[f[k:]], k) for k in _FAMILY_SPLIT if 3 <= k <= len(f) - 2]
-            if cuts and max(cuts)[0] >= 3:
-                k = max(cuts)[2]
-                self.stems.add(f[:k])
-                self.ends.add(f[k:])
+            best = max(((min(heads[f[:k]], tails[f[k:]]), tails[f[k:]], k) for k in _FAMILY_SPLIT if 3 <= k <= len(f) - 2), default=(0, 0, 0))
+            if best[0] >= 3:
+                cuts.append((f[: best[2]], f[best[2] :]))
+        ends = Counter(e for _, e in cuts)
+        self.ends = {e for e, n in ends.items() if n >= 3}
+        self.stems = {x for x, e in cuts if e in self.ends}
         end = "|".join(_word(e) for e in sorted(self.ends, key=len, reverse=True))
         made = [f"{_word(x)}(?:{end})" for x in sorted(self.stems, key=len, reverse=True)]
         rest = [_word(f) for f in family if not any(f.startswith(x) for x in self.stems)]
@@ -141,7 +141,7 @@ _IDENTITIES = [re.compile(p) for p in IDENTITIES]
 _IDENTITY_FORM = re.compile("|".join(f"({p})" for p in IDENTITIES))
 _IDENTITY_START = re.compile(rf"[A-Z0-9olbg](?<![\w£$].)(?:(?<=[A-Z])[A-Z]?\s?{D}(?:[\s-]?{D}){{4}}|(?<={D})(?:[\s-]?{D}){{4}})")
 _LABEL = r"[A-Za-z0-9ſ](?:[\w-]*[A-Za-z0-9ſ])?"
-_EMAIL_AT = re.compile(r"[@©®(\[](?:(?<=[@©®])|\s?(?:at|ot|af)\s?[)\]])")
+_EMAIL_AT = re.compile(r"[@©®(\[](?:(?<=[@©®])|\s?(?:at|ot|af|a)\s?[)\]])")
 _EMAIL_DOT = re.compile(r"\s(?:d[o0]t|punkt|point|dof)\s")
 _LOCAL = re.compile(r"[A-Za-z0-9][\w.+%-]*\Z")
 _LOCAL_AT = re.compile(rf"[A-Za-z0-9][\w.+%-]*\s(?:at|ot|af)\s{_LABEL}\Z")
@@ -250,7 +250,7 @@ def _numbers(s: str, a: str, families: list[tuple[int, int]], out: list) -> None
         size = end - start
         if size < 3 and s[end : end + 1] not in ("\n", " "):
             continue
-        x = _PHONE_FORM.match(s, start) if size > 6 or s[end : end + 1] == "\n" or size < 4 else None
+        x = _PHONE_FORM.match(s, start) if size > 6 or size < 4 or s[end : end + 1] in ("\n", ")") else None
         if x:
             spans[start, x.end()] = x.lastindex - 1
             line = s.find("\n", start, x.end())
@@ -371,7 +371,11 @@ def _left_types(s: str, a: str, f0: int, f1: int, d: Directory, most: int = 6) -
     parts, and before a family name of whom is told what they answered."""
     tokens = _left_tokens(s, a, f0, most)
     types = [_token_type(s, a, x, y, d) for x, y in tokens]
+    capitals = s[f0:f1].isupper()
     for i, (x, y) in enumerate(tokens):
+        headline = s[x:y].isupper() and not capitals or (capitals and types[i] == 5 and "\n" in s[y : y + 2])
+        if types[i] in (2, 3, 5) and headline:
+            types[i] = 0
         if s[x:y] == "M." and ((i and types[i - 1] in (1, 2, 3, 5)) or (all(t == 6 for t in types[:i]) and _ANSWERED.match(a, f1))):
             types[i] = 4
     return tokens, types
