@@ -180,12 +180,16 @@ _DIRECTION = re.compile(rf"{_any(DIRECTIONS)}\s")
 _LEFT_TOKEN = re.compile(r"(?:([^\W\d_]\.)|([^\W\d_][\w'’]*(?:-[^\W\d_]\w*)?\.?))\Z")
 _FIRST_AFTER = re.compile(r",\s((?:[^\W\d_]\.|[A-ZÀ-Þ015][\w'-]+))(?:\s([^\W\d_]\.))?")
 
-_CUE_PHONE = re.compile(rf"(?:{_any('ring tel tél fernruf telephone telefon telephones rufe appeler renseignements answers phone call téléphone')}[.:]*(?:\s(?:le|au|to|on|t0|unter|an))?\s*|WEEKLY\.\s*|NND\s|OND\s)\Z".replace("(?:le|au|to|on|t0|unter|an)", _any("le au to on unter an")))
-_CUE_IDENTITY = re.compile(rf"(?:{_any('identity pass insurance ration holder ausweis versicherungsnummer assuré social porteur personalausweis kennkarte passeport passport identité number security carte reisepass')})[^;]{{0,16}}\Z")
-_CUE_REFERENCE = re.compile(rf"(?:{_any('marked account certificate order marque zeichen box postfach boîte lot page seite nr')})[.,]?(?:\s{_any('no nr')}[.,]?)?\s?\Z")
-_CUE_ADDRESS = re.compile(rf"(?:{_any('at behind to removed hinter frei besichtigen adresser visible le derrière')}|,|:)\s(?:NO\.\s|{_word('flat')}\s.,\s)?\Z")
-_CUE_NAME = re.compile(rf"(?:{_any('by to for were and late chairman photograph signed prize an ist sich gezeichnet anwesend président revient signé présents de avec feu that was und bei piano à zu')}|[(:;,.])\s?\Z")
-_CUE_SHIP = re.compile(rf"{_any('steamer dampfer vapeur jument ship schiff navire')}\s\Z")
+#: A cue begins a word of its own: "Ring" is one, the end of "spring" is none.
+_W = r"(?<![^\W\d_])"
+_CUE_PHONE = re.compile(rf"{_W}(?:{_any('ring tel tél fernruf telephone telefon telephones rufe appeler renseignements answers phone call téléphone erreichbar')}[.:]*(?:\s{_any('le au to on unter an')})?\s*|WEEKLY\.\s*|[NO]ND\s)\Z")
+_CUE_IDENTITY = re.compile(rf"{_W}{_any('identity pass insurance ration holder ausweis versicherungsnummer assuré social porteur personalausweis kennkarte passeport passport identité number security carte reisepass')}(?![^\W\d_])[^;]{{0,16}}\Z")
+_CUE_REFERENCE = re.compile(rf"{_W}{_any('marked account certificate order marque zeichen box postfach boîte lot page seite nr')}[.,]?(?:\s{_any('no nr')}[.,]?)?\s?\Z")
+_CUE_ADDRESS = re.compile(rf"(?:{_W}{_any('at behind to removed hinter frei besichtigen adresser visible le derrière')}|,|:)\s(?:NO\.\s|{_word('flat')}\s.,\s)?\Z")
+_CUE_NAME = re.compile(rf"(?:{_W}{_any('by to for were and late chairman photograph signed prize an ist sich gezeichnet anwesend président revient signé présents de avec feu that was und bei piano à zu')}|[(:;,.])\s?\Z")
+_CUE_SHIP = re.compile(rf"{_W}{_any('steamer dampfer vapeur jument ship schiff navire')}\s\Z")
+#: Capitalised words before a number that are no exchange.
+_NO_EXCHANGE = {alike(w) for w in "lot box order account nr no page seite zeichen flat boîte postfach marque applications certificate".split()}
 _MONTH = {alike(w) for w in "january february march april may june july august september october november december januar februar märz mai juni juli oktober dezember janvier février mars avril juin juillet août septembre octobre novembre décembre fr mark ellen uhr jours passagers houses häuser maisons charges fuhren tage days hours".split()}
 _AFTER_WORD = re.compile(r"\s*([^\s]+)")
 _FIRM_AFTER_RE = re.compile(rf"\s(?:&\s|{_any('and et und')}\s)?{_any(FIRM_AFTER)}(?!\w)")
@@ -261,7 +265,7 @@ def _numbers(s: str, a: str, families: list[tuple[int, int]], out: list) -> None
             if left[-1:] not in (" ", "\n", ":", "."):
                 continue
             exchange = _EXCHANGE.search(s, max(0, start - 24), start) if size in (3, 6) else None
-            if exchange and (size == 3 or s[start + 1] == "-"):
+            if exchange and (size == 3 or s[start + 1] == "-") and a[exchange.start() : exchange.end() - 1] not in _NO_EXCHANGE:
                 spans[exchange.start(), end] = 20 if exchange[0][1].isupper() else 21
             if left[-2:-1] in (",", ".") or _CUE_PHONE.search(left):
                 for k in (8, 9):

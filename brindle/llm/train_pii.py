@@ -53,7 +53,8 @@ def label(kind: str, start: int, end: int, s: str, a: str, d: pii.Directory, mai
         n = len(re.findall(pii.D, text))
         if re.search(r"^[A-Za-zſ]{2,}", text):
             listed = re.search(rf"(?:{pii._any('telephones telephone')}:[^.]{{0,30}}\s{pii._any('and')}\s|{pii._any('answers')}\s{pii._any('on')}\s)\Z", left)
-            return cue_phone or bool(listed) or bool(re.match(r"[A-Z]{2}[a-z]", text))
+            ring = cue_phone and not re.search(r"[NO]ND\s\Z", left)
+            return ring or bool(listed) or bool(re.match(r"[A-Z]{2}[a-z]", text))
         if not forms:
             return False
         k = forms[0]
