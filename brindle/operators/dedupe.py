@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.sources.manifest import SnapshotTable
+
 #: Numbers are cut into blocks of this width, so that no task gets all of a producer.
 BLOCK = 1 << 16
 
@@ -66,21 +68,18 @@ def covered(rows: DataFrame, ranges: DataFrame, producer: Sequence[str], number:
 class Deduped:
     accepted: DataFrame  #: one complete row per identity not seen before
     repeated: DataFrame  #: identities with more rows than were accepted: identity, copies
+    later: DataFrame  #: the best of these rows for each identity that a seen range covers
     ranges: DataFrame  #: the merged ranges: producer, lo, hi
     exact: DataFrame  #: hash keys of the rows without identity
 
 
-def dedupe(rows: DataFrame, producer: Sequence[str] = ("tablet_id", "epoch"), number: str = "sequence", seen: DataFrame | None = None, seen_exact: DataFrame | None = None) -> Deduped:
-    """Keeps exactly one copy of each message, within ``rows`` and against what was ``seen``.
+def prepare(rows: DataFrame, producer: Sequence[str], number: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` reduced before anything is sorted: one row per identity, and the malformed ones.
 
-    ``seen`` has the ranges and ``seen_exact`` the hash keys that an earlier call gave back.
-    Of several copies the one with the most filled columns is accepted, ties by value, so the
-    result doesn't depend on the order of rows. Copies are counted by a map-side combined
-    aggregate before anything is sorted: an identity on a third of all rows is one row by
-    then. Rows with a null in the identity are the same only if all their columns are (by
-    128 bits of hash). Empty tables give empty results; further columns are carried along.
+    The first has the identity, ``__copies`` and ``__best``, the most complete copy; combined
+    before the shuffle, so an identity on a third of all rows is one row by then. The second
+    has the rows with a null in the identity, once each, with their hash keys.
     """
-    producer = list(producer)
     identity = [*producer, number]
     whole = F.lit(True)
     for c in identity:
@@ -89,23 +88,91 @@ def dedupe(rows: DataFrame, producer: Sequence[str] = ("tablet_id", "epoch"), nu
     filled = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in rest), F.lit(0))
     row = F.struct(filled.alias("filled"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("__end")).alias("row"))
     once = rows.where(whole).groupBy(*identity).agg(F.count(F.lit(1)).alias("__copies"), F.max(row).alias("__best"))
+    keyed = rows.where(~whole).withColumns({"__h1": F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), "__h2": F.xxhash64(F.lit(7), *(F.col(f"`{c}`").isNull() for c in rows.columns), *(F.col(f"`{c}`") for c in reversed(rows.columns)))})
+    return once, keyed.dropDuplicates(["__h1", "__h2"])
 
+
+def resolve(once: DataFrame, odd: DataFrame, columns: Sequence[str], producer: Sequence[str], number: str, seen: DataFrame | None, seen_exact: DataFrame | None) -> Deduped:
+    """Accepts what no seen range covers (and no seen hash key has), and merges the ranges."""
+    identity = [*producer, number]
+    rest = [c for c in columns if c not in identity]
     known = covered(once, seen, producer, number) if seen is not None else None
     fresh = once if known is None else once.join(known.select(*identity), identity, "left_anti")
     accepted = fresh.select(*identity, *(F.col(f"__best.row.`{c}`").alias(c) for c in rest))
     repeated = fresh.where(F.col("__copies") > 1).select(*identity, "__copies")
+    later = accepted.limit(0)
     if known is not None:
         repeated = repeated.unionByName(known.select(*identity, "__copies"))
-
+        later = known.select(*identity, *(F.col(f"__best.row.`{c}`").alias(c) for c in rest))
     numbers = fresh.select(*producer, F.col(number).alias("lo"), F.col(number).alias("hi"))
-    ranges = merge_ranges(numbers if seen is None else numbers.unionByName(seen), producer)
-
-    keyed = rows.where(~whole).withColumns({"__h1": F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), "__h2": F.xxhash64(F.lit(7), *(F.col(f"`{c}`").isNull() for c in rows.columns), *(F.col(f"`{c}`") for c in reversed(rows.columns)))})
-    odd = keyed.dropDuplicates(["__h1", "__h2"])
-    if seen_exact is not None:
-        odd = odd.join(seen_exact, ["__h1", "__h2"], "left_anti")
-    exact = odd.select("__h1", "__h2")
+    ranges = merge_ranges(numbers if seen is None else numbers.unionByName(seen.select(*producer, "lo", "hi")), producer)
+    new = odd if seen_exact is None else odd.join(seen_exact, ["__h1", "__h2"], "left_anti")
+    exact = new.select("__h1", "__h2")
     if seen_exact is not None:
         exact = exact.unionByName(seen_exact)
-    accepted = accepted.unionByName(odd.drop("__h1", "__h2")).select(*rows.columns)
-    return Deduped(accepted, repeated.withColumnRenamed("__copies", "copies"), ranges, exact)
+    accepted = accepted.unionByName(new.drop("__h1", "__h2")).select(*columns)
+    return Deduped(accepted, repeated.withColumnRenamed("__copies", "copies"), later.select(*columns), ranges, exact)
+
+
+def dedupe(rows: DataFrame, producer: Sequence[str] = ("tablet_id", "epoch"), number: str = "sequence", seen: DataFrame | None = None, seen_exact: DataFrame | None = None) -> Deduped:
+    """Keeps exactly one copy of each message, within ``rows`` and against what was ``seen``.
+
+    ``seen`` has the ranges and ``seen_exact`` the hash keys that an earlier call gave back.
+    Of several copies the one with the most filled columns is accepted, ties by value, so the
+    result doesn't depend on the order of rows. Rows with a null in the identity are the same
+    only if all their columns are (by 128 bits of hash). Empty tables give empty results;
+    further columns are carried along.
+    """
+    once, odd = prepare(rows, list(producer), number)
+    return resolve(once, odd, rows.columns, list(producer), number, seen, seen_exact)
+
+
+class Deduper:
+    """De-duplication over deliveries, with its ranges and hash keys kept under ``root``.
+
+    A delivery is reduced and written once; what it accepts, what it repeats and the merged
+    state are published in one manifest version. A delivery that fails before that can be
+    given again; one given again after that repeats everything and accepts nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, producer: Sequence[str] = ("tablet_id", "epoch"), number: str = "sequence"):
+        self.spark, self.table = spark, SnapshotTable(spark, root)
+        self.producer, self.number = list(producer), number
+
+    def _read(self, path: str | None) -> DataFrame | None:
+        return self.spark.read.parquet(path) if path else None
+
+    def deliver(self, rows: DataFrame) -> int:
+        base = self.table.version()
+        state = self.table.read(base)
+        at = {k: self.table.data_path(k) for k in ("once", "odd", "accepted", "repeated", "later", "ranges", "exact")}
+        once, odd = prepare(rows, self.producer, self.number)
+        once.write.parquet(at["once"])
+        odd.write.parquet(at["odd"])
+        out = resolve(self._read(at["once"]), self._read(at["odd"]), rows.columns, self.producer, self.number, self._read(state.get("ranges")), self._read(state.get("exact")))
+        for k in ("accepted", "repeated", "later", "ranges", "exact"):
+            getattr(out, k).write.parquet(at[k])
+        version = self.table.publish(base, {"ranges": at["ranges"], "exact": at["exact"], "accepted": [*state.get("accepted", []), at["accepted"]], "repeated": [*state.get("repeated", []), at["repeated"]], "later": [*state.get("later", []), at["later"]]})
+        self.table.delete(at["once"])
+        self.table.delete(at["odd"])
+        return version
+
+    def accepted(self) -> DataFrame:
+        """One row per message: the best copy of the delivery that brought it first."""
+        return self.spark.read.parquet(*self.table.read()["accepted"])
+
+    def complete(self) -> DataFrame:
+        """One row per message: its best copy over all deliveries so far."""
+        state, identity = self.table.read(), [*self.producer, self.number]
+        rows = self.spark.read.parquet(*state["accepted"], *state["later"])
+        once, odd = prepare(rows, self.producer, self.number)
+        best = once.select(*identity, *(F.col(f"__best.row.`{c}`").alias(c) for c in rows.columns if c not in identity))
+        return best.unionByName(odd.drop("__h1", "__h2")).select(*rows.columns)
+
+    def repeated(self) -> DataFrame:
+        """Identities that came more than once, in one delivery or in several."""
+        return self.spark.read.parquet(*self.table.read()["repeated"]).select(*self.producer, self.number).distinct()
+
+    def ranges(self) -> DataFrame:
+        """The disjoint ranges of numbers seen of each producer."""
+        return self.spark.read.parquet(self.table.read()["ranges"])

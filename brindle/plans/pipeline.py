@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators.compaction import Compactor
-from brindle.operators.dedupe import dedupe
+from brindle.operators.compaction import Compactor, Plan
+from brindle.operators.dedupe import Deduper
 from brindle.operators.incremental import IncrementalRun, committed_positions
 from brindle.operators.orphans import Reference, orphan_counts, orphans
 from brindle.sources.shared import work_dir
@@ -48,36 +48,47 @@ def p2_current_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(spark, sf_dir).select("tablet_id", F.lower(F.hex("key")).alias("key_hex"), "kind", "v_int", "v_float", F.lower(F.hex("v_bytes")).alias("v_bytes_hex"), "v_string")
 
 
+def _delivered(spark: SparkSession, sf_dir: str) -> Deduper:
+    """The messages in two deliveries; rows of one fetch come together."""
+    messages = table(spark, sf_dir, "data_messages")
+    first = F.coalesce(F.col("fetch_id") % 2 == 0, F.lit(True))
+    job = Deduper(spark, work_dir(spark, "p3"))
+    job.deliver(messages.where(first))
+    job.deliver(messages.where(~first))
+    return job
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities delivered more than once."""
-    return dedupe(table(spark, sf_dir, "data_messages")).repeated.select("tablet_id", "epoch", "sequence")
+    return _delivered(spark, sf_dir).repeated()
 
 
 def p3_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One complete row per identity, taken in two deliveries against the kept ranges."""
-    messages = table(spark, sf_dir, "data_messages")
-    first = F.coalesce(F.col("fetch_id") % 2 == 0, F.lit(True))
-    one = dedupe(messages.where(first))
-    two = dedupe(messages.where(~first), seen=one.ranges, seen_exact=one.exact)
-    both = one.accepted.unionByName(two.accepted)
-    return both.where(F.col("tablet_id").isNotNull() & F.col("epoch").isNotNull() & F.col("sequence").isNotNull()).select("tablet_id", "epoch", "sequence")
+    """One complete row per identity, whichever delivery brought it."""
+    rows = _delivered(spark, sf_dir).complete()
+    return rows.where(F.col("tablet_id").isNotNull() & F.col("epoch").isNotNull() & F.col("sequence").isNotNull()).select("tablet_id", "epoch", "sequence", F.col("operation").isNotNull().alias("has_operation"), F.col("write_count").isNotNull().alias("has_count"))
 
 
 def p3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The disjoint ranges of sequence numbers seen of each producer."""
-    return dedupe(table(spark, sf_dir, "data_messages")).ranges.select("tablet_id", "epoch", "lo", "hi")
+    return _delivered(spark, sf_dir).ranges().select("tablet_id", "epoch", "lo", "hi")
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> tuple[Compactor, Plan]:
+    job = Compactor(spark, work_dir(spark, "p4"))
+    plan = job.plan(table(spark, sf_dir, "file_metas"))
+    job.rewrite(plan, table(spark, sf_dir, "file_entries"))
+    return job, plan
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The small live files that compaction rewrites."""
-    return Compactor(spark, work_dir(spark, "p4")).plan(table(spark, sf_dir, "file_metas")).files.select("file_uri")
+    """The small live files that a compaction has rewritten."""
+    return _compacted(spark, sf_dir)[1].files.select("file_uri")
 
 
 def p4_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The compacted table, by shard: files before and after, entries and bytes."""
-    job = Compactor(spark, work_dir(spark, "p4"))
-    plan = job.plan(table(spark, sf_dir, "file_metas"))
-    job.rewrite(plan, table(spark, sf_dir, "file_entries"))
+    job, plan = _compacted(spark, sf_dir)
     after = job.entries().withColumn("__file", F.input_file_name()).groupBy("shard_id").agg(F.countDistinct("__file").alias("n_files"), F.count(F.lit(1)).alias("n_entries"), F.sum("entry_bytes").alias("entry_bytes"))
     before = plan.files.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_small_files"))
     return before.join(after, "shard_id", "left").select(F.col("shard_id").cast("long").alias("shard_id"), "n_small_files", F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("entry_bytes", F.lit(0)).cast("long").alias("entry_bytes"))
@@ -149,8 +160,12 @@ FROM ends e FULL OUTER JOIN committed c ON e.log_name = c.log_name WHERE coalesc
     "p2_current_table": f"""SELECT tablet_id, lower(hex(key)) AS key_hex, kind, v_int, v_float, lower(hex(v_bytes)) AS v_bytes_hex, v_string FROM ({_CURRENT}) WHERE rn = 1 AND kind IS NOT NULL""",
     "p3_found": """SELECT tablet_id, epoch, sequence FROM data_messages
 WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""",
-    "p3_unique": """SELECT DISTINCT tablet_id, epoch, sequence FROM data_messages
-WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL""",
+    "p3_unique": """SELECT tablet_id, epoch, sequence, bool_or(has_operation) AS has_operation, bool_or(has_count) AS has_count FROM (
+  SELECT *, operation IS NOT NULL AS has_operation, write_count IS NOT NULL AS has_count,
+    rank() OVER (PARTITION BY tablet_id, epoch, sequence ORDER BY CAST(operation IS NOT NULL AS int) + CAST(write_count IS NOT NULL AS int) + CAST(txn_id IS NOT NULL AS int) + CAST(ts_seconds IS NOT NULL AS int)
+      + CAST(ts_nanos IS NOT NULL AS int) + CAST(ts_logical IS NOT NULL AS int) + CAST(closed_seconds IS NOT NULL AS int) + CAST(leader_expiration_seconds IS NOT NULL AS int) DESC) AS rk
+  FROM data_messages WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL)
+WHERE rk = 1 GROUP BY tablet_id, epoch, sequence""",
     "p3_ranges": """WITH ids AS (SELECT DISTINCT tablet_id, epoch, sequence FROM data_messages
   WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL)
 SELECT tablet_id, epoch, min(sequence) AS lo, max(sequence) AS hi FROM (

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brindle.operators.compaction import Compactor, current_files, pack, small_files
-from brindle.operators.dedupe import BLOCK, covered, dedupe, merge_ranges
+from brindle.operators.dedupe import BLOCK, Deduper, covered, dedupe, merge_ranges
 from brindle.operators.incremental import IncrementalRun, committed_positions
 from brindle.operators.orphans import Reference, month, orphan_counts, orphans
 from brindle.operators.skew import lookup_join, running_max_before
@@ -195,6 +195,23 @@ def test_ranges_near_block_edges(spark, raw):
     assert sorted([r.lo, r.hi] for r in got.collect()) == want
 
 
+def test_deliveries_with_kept_state(spark):
+    job = Deduper(spark, work_dir(spark, "t3"))
+    one = spark.createDataFrame([(1, 1, n, "write", None) for n in (1, 2, 3, 3, 9)] + [(None, 1, 1, "write", None)], ID)
+    two = spark.createDataFrame([(1, 1, n, "write", "late") for n in (2, 4, 8)] + [(None, 1, 1, "write", None), (1, 2, 1, None, None)], ID)
+    job.deliver(one)
+    job.deliver(two)
+    job.deliver(two)  # given again: everything repeats, nothing is new
+    assert sorted((r.epoch, r.sequence) for r in job.accepted().where("tablet_id IS NOT NULL").collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 8), (1, 9), (2, 1)]
+    assert job.accepted().where("tablet_id IS NULL").count() == 1
+    assert job.accepted().where("copies = 'late' AND sequence = 2").count() == 0
+    assert sorted((r.epoch, r.lo, r.hi) for r in job.ranges().collect()) == [(1, 1, 4), (1, 8, 9), (2, 1, 1)]
+    assert sorted((r.epoch, r.sequence) for r in job.repeated().collect()) == [(1, 2), (1, 3), (1, 4), (1, 8), (2, 1)]
+    job.deliver(spark.createDataFrame([], ID))
+    assert job.accepted().count() == 8 == job.complete().count()
+    assert [r.copies for r in job.complete().where("epoch = 1 AND sequence = 2").collect()] == ["late"]  # the fuller copy
+
+
 def test_dedupe_of_nothing(spark):
     out = dedupe(spark.createDataFrame([], ID))
     assert out.accepted.count() == out.repeated.count() == out.ranges.count() == 0
