@@ -27,6 +27,9 @@ KINDS = ("email", "phone", "identity", "address", "name")
 #: A directory of names is read to the driver; a larger one is refused.
 MAX_DIRECTORY = 100_000
 
+#: So many documents' candidates are held at a time.
+DOCS_AT_ONCE = 1000
+
 # Misread letters: each is mapped to one of its look-alikes, one character to one character.
 _PAIRS = dict(zip("uUaA4fFbBhHqQcC1iIl|0oOſ5sS2zZäÄöÖüÜéÉèÈêÊëËàÀâÂîÎïÏôÔûÛçÇ", "nNoOoTTHHHHGGEELLLLLOOOSSSSZZZOOOONNEEEEEEEEOOOOLLLLOONNEE"))
 _ALIKE = bytes(ord(_PAIRS.get(c, c).upper()) if len(c.upper()) == 1 and ord(_PAIRS.get(c, c).upper()) < 256 else ord(c) for c in map(chr, range(256)))
@@ -553,7 +556,10 @@ def find_pii(documents: DataFrame, names: DataFrame, model: dict | None = None,
             texts = [t if isinstance(t, str) else None for t in b["text"]]
             xs = [[None if v is None or v != v else int(v) for v in x] if x is not None and n is not None and n == n and n >= 2 else None for x, n in zip(b["xs"], b["n"])]
             n = [None if v is None or v != v else int(v) for v in b["n"]]
-            found = detector.find(texts, xs, n)
+            found: list = []
+            for i in range(0, len(texts), DOCS_AT_ONCE):
+                j = i + DOCS_AT_ONCE
+                found += detector.find(texts[i:j], xs[i:j], n[i:j])
             out = {"id": b["id"], "spans": [[{"kind": k, "char_start": s, "char_end": e} for k, s, e in f] for f in found]}
             if with_text:
                 out["redacted"] = [redact_text(t, f) if t is not None else None for t, f in zip(texts, found)]

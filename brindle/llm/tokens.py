@@ -82,13 +82,13 @@ class WordTable:
 
 
 def _rare_words(documents: DataFrame, text: str, words: WordTable) -> DataFrame:
-    """``key, rare``: of each distinct text the (position, ids) of words not in the dictionary."""
-    texts = documents.select(F.md5(text).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).dropDuplicates(["key"])
-    places = texts.select("key", F.posexplode(split_words(F.col("text"))).alias("pos", "word"))
+    """``__key, rare``: of each distinct text the (position, ids) of words not in the dictionary."""
+    texts = documents.select(F.md5(text).alias("__key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).dropDuplicates(["__key"])
+    places = texts.select("__key", F.posexplode(split_words(F.col("text"))).alias("pos", "word"))
     # bounded by dictionary_bytes
     rare = places.join(F.broadcast(words.frequent.select("word")), "word", "left_anti")
     rest = words.table.join(F.broadcast(words.frequent.select("word")), "word", "left_anti").select("word", "ids")
-    return lookup_join(rare, rest, ["word"], "inner").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("rare"))
+    return lookup_join(rare, rest, ["word"], "inner", max_rows=0).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("rare"))
 
 
 def encode(documents: DataFrame, id: str = "doc_id", text: str = "text", ranks: dict[bytes, int] | None = None, dictionary_bytes: int = DICTIONARY_BYTES, count_only: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -107,7 +107,7 @@ def encode(documents: DataFrame, id: str = "doc_id", text: str = "text", ranks:
     if words.complete:
         rows = rows.withColumn("__rare", F.lit(None).cast("array<struct<pos:int,ids:array<int>>>"))
     else:
-        rows = lookup_join(rows.withColumn("key", F.md5("__text")), _rare_words(documents, text, words), ["key"], max_rows=0).withColumnRenamed("rare", "__rare")
+        rows = lookup_join(rows.withColumn("__key", F.md5("__text")), _rare_words(documents, text, words), ["__key"], max_rows=0).withColumnRenamed("rare", "__rare")
     rows = rows.select(F.col(id), *keep, split_words(F.col("__text")).alias("__words"), "__rare")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,3 +138,9 @@ def test_trees_learn_and_survive_json():
 def test_registered_queries_run(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert df.count() >= 0 and len(df.columns) >= 2
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_plans_compare_no_pairs(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
