@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from brindle.sources.manifest import ConflictError, SnapshotTable
 from brindle.sql.ddl import SPARK_TYPES, CreateTable
-from brindle.sql.errors import AlreadyExists, NotFound, Unsupported
+from brindle.sql.errors import AlreadyExists, NotFound
 
 RETRIES = 10
 
@@ -155,5 +155,3 @@ def require_table(catalog: Catalog, name: list[str], database: str) -> dict:
         raise NotFound(f"table {'.'.join(name)} does not exist")
     return found
 
-
-__all__ = ["Catalog", "Unsupported", "require_table"]

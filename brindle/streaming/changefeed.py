@@ -38,11 +38,12 @@ def latest_state(changes: DataFrame, keys: Sequence[str] = KEYS, order: Sequence
     return last.select(*keys, *(F.col(f"s.order.o{i}").alias(c) for i, c in enumerate(order)), *(F.col(f"s.payload.{c}").alias(c) for c in payload), (~F.col("s.alive")).alias("deleted"))
 
 
-def apply_feed(spark: SparkSession, source: str, schema: T.StructType, root: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, payload: Sequence[str] = PAYLOAD, max_bytes: int = 1 << 30, partitions: int | None = None) -> int:
+def apply_feed(spark: SparkSession, source: str, schema: T.StructType, root: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, payload: Sequence[str] = PAYLOAD, max_bytes: int = 1 << 40, partitions: int | None = None) -> int:
     """Runs the feed over the Parquet files of ``source`` that it has not read yet.
 
     ``root`` keeps the checkpoint (offsets and state) and the output; a later call carries on
-    there. ``max_bytes`` bounds a micro-batch. Returns the id of the last batch (-1: none yet).
+    there. ``max_bytes`` bounds a micro-batch; ``partitions`` is the number of state partitions,
+    which the first call fixes: choose it for the keys, not for one batch. Returns the id of the last batch (-1: none yet).
     """
     # A path that is one file is given as a pattern, as the file source wants a folder otherwise.
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)

@@ -37,3 +37,9 @@ def test_entry_gives_rows(spark):
 
 def test_every_core_query_has_an_oracle():
     assert [n for n in CORE if n not in entry.oracle_sql()] == []
+
+
+@pytest.mark.parametrize("name", [n for n in CORE if n[0] == "p" and n[1].isdigit()])
+def test_plans_of_training_data_queries_compare_no_pairs(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
