@@ -17,9 +17,9 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document's ids decode to its text again."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("original"))
-    back = tokens.decode(tokens.encode(table(spark, sf_dir, "documents")))
-    return back.join(documents, "doc_id").select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.col("text") == F.col("original")).alias("same"))
+    encoded = tokens.encode(table(spark, sf_dir, "documents"), keep=["text"])
+    back = tokens.decode(encoded, keep=["text"], as_name="decoded")
+    return back.select("doc_id", F.length("decoded").cast("long").alias("n_chars"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.Share]]:

@@ -151,15 +151,36 @@ def _fill(found: pa.ListArray, rare: pa.ListArray, starts: pa.Array) -> pa.ListA
     return pa.array(lists, pa.list_(pa.int32()))
 
 
-def decode(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """``id, text``: ids joined with their pieces (one row an id of the vocabulary, broadcast).
-
-    Bytes that are no UTF-8 become replacement characters. No ids give an empty text; an id
-    that is not in the vocabulary gives nothing. Ids of rows with equal ``id`` are not mixed.
+def decode(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", ranks: dict[bytes, int] | None = None, keep: list[str] | None = None, as_name: str = "text") -> DataFrame:
+    """``id, [keep...], text``: ids joined with their pieces.
+
+    The piece table has one row an id of the vocabulary and goes to every task; a batch's ids
+    are joined to it all at once, by id, and each row's pieces are concatenated in place. So
+    nothing is shuffled and rows with equal ``id`` are not mixed. Bytes that are no UTF-8
+    become replacement characters. No ids (or null) give an empty text; an id that is not in
+    the vocabulary gives nothing.
     """
-    spark, ranks = encoded.sparkSession, ranks or read_ranks()
-    pieces = spark.createDataFrame(pd.DataFrame({"token": list(ranks.values()), "hex": [p.hex() for p in ranks]}), "token int, hex string")
-    keyed = encoded.select(F.col(id), F.col(ids).alias("ids")).withColumn("__row", F.monotonically_increasing_id())
-    parts = keyed.select("__row", id, F.posexplode_outer("ids").alias("pos", "token")).join(F.broadcast(pieces), "token", "left")
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "hex"))), lambda x: F.coalesce(x["hex"], F.lit(""))), "")
-    return parts.groupBy("__row", id).agg(whole.alias("hex")).select(id, F.make_valid_utf8(F.unhex("hex").cast("string")).alias("text"))
+    keep = keep or []
+    shared = encoded.sparkSession.sparkContext.broadcast(ranks or read_ranks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = max(shared.value.values(), default=-1) + 1
+        pieces: list[bytes] = [b""] * (last + 1)  # the last one is for ids that are unknown
+        for piece, at in shared.value.items():
+            pieces[at] = piece
+        table = pa.array(pieces, pa.binary())
+        for b in batches:
+            lists = b.column(b.schema.get_field_index(ids))
+            flat = pc.fill_null(lists.values, last)
+            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, last))
+            joined = pa.ListArray.from_arrays(lists.offsets, table.take(pc.if_else(known, flat, last)), mask=lists.is_null() if lists.null_count else None)
+            raw = pc.fill_null(pc.binary_join(joined, b""), b"")
+            try:
+                text = raw.cast(pa.string())
+            except pa.ArrowInvalid:
+                text = pa.array([v.decode("utf-8", "replace") for v in raw.to_pylist()], pa.string())
+            head = [b.column(b.schema.get_field_index(c)) for c in (id, *keep)]
+            yield pa.RecordBatch.from_arrays([*head, text], [id, *keep, as_name])
+
+    kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in (id, *keep))
+    return encoded.select(id, *keep, ids).mapInArrow(run, f"{kinds}, `{as_name}` string")

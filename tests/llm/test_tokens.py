@@ -57,4 +57,5 @@ def test_words_concatenate_to_the_text(spark):
 def test_nothing(spark):
     empty = spark.createDataFrame([], DOC)
     assert tokens.encode(empty).count() == 0
-    assert tokens.decode(spark.createDataFrame([(1, []), (2, None), (3, [10**6])], "doc_id bigint, ids array<int>")).count() == 3
+    odd = spark.createDataFrame([(1, []), (2, None), (3, [10**6, 64, -1, None]), (4, [160]), (5, [64, 65])], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: r.text for r in tokens.decode(odd).collect()} == {1: "", 2: "", 3: "a", 4: "\ufffd", 5: "ab"}
