@@ -42,18 +42,19 @@ _KEYS, _ORDER = ["user_id"], ["event_id"]
 
 
 def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot up to one offset, then the log up to another."""
+    """A snapshot of the first half of all offsets, then the log up to the last one."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    middle, end = 500, 900
+    end = e.agg(F.max("event_id")).first()[0] or 0
+    middle = end // 2
     snapshot = newest(e.where(F.col("event_id") <= middle), _KEYS, _ORDER)
     return replay(snapshot, e, _KEYS, _ORDER, F.lit(middle), F.lit(end)).select("user_id", "event_id", "value")
 
 
 def compaction_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All versions written once each, then read back: versions and times of each key."""
+    """All versions, each of them twice, written once each and read back: versions and times of each key."""
     at = work_dir(spark, "compact")
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    compact_versions(e.union(e.where("event_id % 3 = 0")), ["user_id"], ["ts", "event_id"], at)
+    compact_versions(e.union(e), ["user_id"], ["ts", "event_id"], at)
     return spark.read.parquet(at).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
 
 
@@ -144,7 +145,7 @@ ORACLE = {
         max(sequence) OVER (PARTITION BY log, epoch ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM l)
       SELECT log, CASE WHEN cur IS NULL OR epoch > cur THEN 'accept' WHEN epoch < cur THEN 'skip' WHEN sequence <= prev THEN 'skip' WHEN sequence = prev + 1 THEN 'accept' ELSE 'gap' END AS verdict, count(*) AS n FROM c GROUP BY ALL""",
     "log_dedupe_stream": "SELECT * FROM (VALUES ('a', 1, 1, 1), ('a', 2, 1, 2), ('b', 1, 5, 7), ('a', 4, 2, 1), ('b', 2, 5, 8), ('a', 6, 2, 2), ('b', 3, 6, 1)) t(log, position, epoch, sequence)",
-    "log_replay": "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id <= 900 GROUP BY user_id",
+    "log_replay": "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "compaction_snapshot": "SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id",
     "file_log_trim": "SELECT * FROM (VALUES (2, CAST(8 AS bigint), 'read'), (3, 8, 'read'), (3, 8, 'trimmed')) t(batch, n, stage)",
     "hlc_order": """WITH w AS (SELECT event_id, CAST(floor(epoch(ts) / 600) AS bigint) - event_id % 3 AS wall FROM events), h AS (SELECT event_id, max(wall) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS hlc_wall FROM w)
