@@ -87,8 +87,10 @@ class VersionedStore:
         """A page and the key to go on from: the last key's successor, None at the end."""
         at = self.layout
         page = self.scan(start, end, limit, as_of)
+        if not limit:
+            return page, None
         last = [r[0] for r in page.select(at.key).collect()]  # at most ``limit`` keys
-        if not limit or len(last) < limit:
+        if len(last) < limit:
             return page, None
         key = last[-1]
         after = key + 1 if isinstance(key, int) else key + "\0" if isinstance(key, str) else bytes(key) + b"\0"
