@@ -19,6 +19,12 @@ from brindle.operators.versions import newest, order_of
 
 KEYS = ("tablet_id", "key")
 ORDER = ("ts_seconds", "ts_nanos", "ts_logical", "epoch", "sequence", "write_no")
+#: The state is kept on local disks and its changes in the checkpoint: the keys of a feed need
+#: not fit into the executors' memory.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 PAYLOAD = ("operation", "kind", "v_int", "v_float", "v_bytes", "v_string")
 
 
@@ -55,14 +61,16 @@ def apply_feed(spark: SparkSession, source: str, schema: T.StructType, root: str
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/upserts/batch={batch_id}")
 
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    if partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    wanted = STATE_STORE | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(upsert).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     progress = query.lastProgress
     return progress["batchId"] if progress else -1
 
