@@ -76,8 +76,8 @@ class Deduped:
 def prepare(rows: DataFrame, producer: Sequence[str], number: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` reduced before anything is sorted: one row per identity, and the malformed ones.
 
-    The first has the identity, ``__copies`` and ``__best``, the most complete copy; combined
-    before the shuffle, so an identity on a third of all rows is one row by then. The second
+    The first has the identity, ``__copies`` and ``__best``, the copy with the most filled
+    columns, in which what it lacks is filled from the other copies; combined before the shuffle, so an identity on a third of all rows is one row by then. The second
     has the rows with a null in the identity, once each, with their hash keys.
     """
     identity = [*producer, number]
@@ -87,7 +87,10 @@ def prepare(rows: DataFrame, producer: Sequence[str], number: str) -> tuple[Data
     rest = [c for c in rows.columns if c not in identity]
     filled = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in rest), F.lit(0))
     row = F.struct(filled.alias("filled"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("__end")).alias("row"))
-    once = rows.where(whole).groupBy(*identity).agg(F.count(F.lit(1)).alias("__copies"), F.max(row).alias("__best"))
+    most = [F.max(F.col(f"`{c}`")).alias(f"__m{i}") for i, c in enumerate(rest)]
+    best = rows.where(whole).groupBy(*identity).agg(F.count(F.lit(1)).alias("__copies"), F.max(row).alias("__b"), *most)
+    completed = F.struct(*(F.coalesce(F.col(f"__b.row.`{c}`"), F.col(f"__m{i}")).alias(c) for i, c in enumerate(rest)), F.lit(0).alias("__end"))
+    once = best.select(*identity, "__copies", completed.alias("__best"))
     keyed = rows.where(~whole).withColumns({"__h1": F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), "__h2": F.xxhash64(F.lit(7), *(F.col(f"`{c}`").isNull() for c in rows.columns), *(F.col(f"`{c}`") for c in reversed(rows.columns)))})
     return once, keyed.dropDuplicates(["__h1", "__h2"])
 
@@ -98,12 +101,12 @@ def resolve(once: DataFrame, odd: DataFrame, columns: Sequence[str], producer: S
     rest = [c for c in columns if c not in identity]
     known = covered(once, seen, producer, number) if seen is not None else None
     fresh = once if known is None else once.join(known.select(*identity), identity, "left_anti")
-    accepted = fresh.select(*identity, *(F.col(f"__best.row.`{c}`").alias(c) for c in rest))
+    accepted = fresh.select(*identity, *(F.col(f"__best.`{c}`").alias(c) for c in rest))
     repeated = fresh.where(F.col("__copies") > 1).select(*identity, "__copies")
     later = accepted.limit(0)
     if known is not None:
         repeated = repeated.unionByName(known.select(*identity, "__copies"))
-        later = known.select(*identity, *(F.col(f"__best.row.`{c}`").alias(c) for c in rest))
+        later = known.select(*identity, *(F.col(f"__best.`{c}`").alias(c) for c in rest))
     numbers = fresh.select(*producer, F.col(number).alias("lo"), F.col(number).alias("hi"))
     ranges = merge_ranges(numbers if seen is None else numbers.unionByName(seen.select(*producer, "lo", "hi")), producer)
     new = odd if seen_exact is None else odd.join(seen_exact, ["__h1", "__h2"], "left_anti")
@@ -118,8 +121,9 @@ def dedupe(rows: DataFrame, producer: Sequence[str] = ("tablet_id", "epoch"), nu
     """Keeps exactly one copy of each message, within ``rows`` and against what was ``seen``.
 
     ``seen`` has the ranges and ``seen_exact`` the hash keys that an earlier call gave back.
-    Of several copies the one with the most filled columns is accepted, ties by value, so the
-    result doesn't depend on the order of rows. Rows with a null in the identity are the same
+    Of several copies the one with the most filled columns is accepted, ties by value, and its
+    empty columns are filled from the others, so the result doesn't depend on the order of
+    rows. Rows with a null in the identity are the same
     only if all their columns are (by 128 bits of hash). Empty tables give empty results;
     further columns are carried along.
     """
@@ -166,7 +170,7 @@ class Deduper:
         state, identity = self.table.read(), [*self.producer, self.number]
         rows = self.spark.read.parquet(*state["accepted"], *state["later"])
         once, odd = prepare(rows, self.producer, self.number)
-        best = once.select(*identity, *(F.col(f"__best.row.`{c}`").alias(c) for c in rows.columns if c not in identity))
+        best = once.select(*identity, *(F.col(f"__best.`{c}`").alias(c) for c in rows.columns if c not in identity))
         return best.unionByName(odd.drop("__h1", "__h2")).select(*rows.columns)
 
     def repeated(self) -> DataFrame:

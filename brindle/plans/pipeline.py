@@ -160,12 +160,8 @@ FROM ends e FULL OUTER JOIN committed c ON e.log_name = c.log_name WHERE coalesc
     "p2_current_table": f"""SELECT tablet_id, lower(hex(key)) AS key_hex, kind, v_int, v_float, lower(hex(v_bytes)) AS v_bytes_hex, v_string FROM ({_CURRENT}) WHERE rn = 1 AND kind IS NOT NULL""",
     "p3_found": """SELECT tablet_id, epoch, sequence FROM data_messages
 WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""",
-    "p3_unique": """SELECT tablet_id, epoch, sequence, bool_or(has_operation) AS has_operation, bool_or(has_count) AS has_count FROM (
-  SELECT *, operation IS NOT NULL AS has_operation, write_count IS NOT NULL AS has_count,
-    rank() OVER (PARTITION BY tablet_id, epoch, sequence ORDER BY CAST(operation IS NOT NULL AS int) + CAST(write_count IS NOT NULL AS int) + CAST(txn_id IS NOT NULL AS int) + CAST(ts_seconds IS NOT NULL AS int)
-      + CAST(ts_nanos IS NOT NULL AS int) + CAST(ts_logical IS NOT NULL AS int) + CAST(closed_seconds IS NOT NULL AS int) + CAST(leader_expiration_seconds IS NOT NULL AS int) DESC) AS rk
-  FROM data_messages WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL)
-WHERE rk = 1 GROUP BY tablet_id, epoch, sequence""",
+    "p3_unique": """SELECT tablet_id, epoch, sequence, bool_or(operation IS NOT NULL) AS has_operation, bool_or(write_count IS NOT NULL) AS has_count FROM data_messages
+WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL GROUP BY tablet_id, epoch, sequence""",
     "p3_ranges": """WITH ids AS (SELECT DISTINCT tablet_id, epoch, sequence FROM data_messages
   WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL)
 SELECT tablet_id, epoch, min(sequence) AS lo, max(sequence) AS hi FROM (

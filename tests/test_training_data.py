@@ -150,6 +150,11 @@ def test_dedupe_takes_the_complete_copy(spark):
     assert [tuple(r) for r in out.repeated.select("tablet_id", "epoch", "sequence").collect()] == [(1, 1, 1)]
 
 
+def test_what_the_best_copy_lacks_comes_from_the_others(spark):
+    rows = [(1, 1, 1, "write", None), (1, 1, 1, None, "x"), (1, 1, 1, None, None)]
+    assert [tuple(r) for r in dedupe(spark.createDataFrame(rows, ID)).accepted.collect()] == [(1, 1, 1, "write", "x")]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.tuples(st.integers(1, 2), st.integers(1, 2), st.integers(-3, 12)), max_size=15), min_size=1, max_size=3))
 def test_dedupe_over_deliveries(spark, deliveries):
