@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.gbt import BoostedTrees
 from brindle.llm.layout import reading
+from brindle.sources.shared import ship_code
 
 KINDS = ("email", "phone", "identity", "address", "name")
 #: A directory of names is read to the driver; a larger one is refused.
@@ -543,6 +544,7 @@ def find_pii(documents: DataFrame, names: DataFrame, model: dict | None = None,
     and blank texts have no spans and stay as they are; repeated rows give repeated rows;
     very long texts are processed whole; other columns are not touched.
     """
+    ship_code(documents.sparkSession)
     directory, model = read_directory(names), model or load_model()
     cols = [F.col(id).alias("id"), F.col(text).alias("text")]
     cols.append(F.col("line_boxes.x").alias("xs") if "line_boxes" in documents.columns else F.lit(None).cast("array<int>").alias("xs"))

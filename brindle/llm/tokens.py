@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators.skew import lookup_join
-from brindle.sources.shared import work_dir
+from brindle.sources.shared import ship_code, work_dir
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -53,6 +53,7 @@ class WordTable:
 
     def __init__(self, documents: DataFrame, text: str, ranks: dict[bytes, int], dictionary_bytes: int = DICTIONARY_BYTES):
         spark = documents.sparkSession
+        ship_code(spark)
         counts = documents.select(F.explode(split_words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         shared = spark.sparkContext.broadcast(ranks)
 
@@ -161,6 +162,7 @@ def decode(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", ranks: dict
     the vocabulary gives nothing.
     """
     keep = keep or []
+    ship_code(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(ranks or read_ranks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
