@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import ship_code
+
 
 def _digest(name: str):
     def run(v: pd.Series) -> pd.Series:
@@ -20,5 +22,6 @@ def _digest(name: str):
 def register_udfs(spark: SparkSession) -> None:
     """Makes ``pg_blake2b`` and ``pg_blake2s`` (binary to binary) known to ``spark.sql``."""
     for name in ("blake2b", "blake2s"):
+        ship_code(spark)
         if not spark.catalog.functionExists(f"pg_{name}"):
             spark.udf.register(f"pg_{name}", F.pandas_udf(_digest(name), "binary"))

@@ -28,3 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder for one run of the operator ``name``."""
     return f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, wherever they run; once a session.
+
+    The package's modules are zipped into the shared folder and handed to Spark, so workers
+    need neither an installation nor the driver's path.
+    """
+    import hashlib
+    import io
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_brindle_shipped", False):
+        return
+    package, held = Path(__file__).resolve().parent.parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f"{package.name}/{p.relative_to(package)}"), p.read_bytes())
+    data = held.getvalue()
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark, 'code')}/brindle-{hashlib.md5(data).hexdigest()}.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data))
+    out.close()
+    context.addPyFile(path.toString())
+    context._brindle_shipped = True

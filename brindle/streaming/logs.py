@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from brindle.operators.skew import running_max_before
 from brindle.operators.versions import newest
+from brindle.sources.shared import ship_code
 
 
 def accept(messages: DataFrame, log: str = "log", position: str = "position", epoch: str = "epoch", sequence: str = "sequence") -> DataFrame:
@@ -44,6 +45,7 @@ def accept_stream(stream: DataFrame, log: str = "log", position: str = "position
     Messages of one log in a micro-batch are taken in order of ``position``. A gap fails the
     query, so nothing behind it is taken: state and output of that batch are not committed.
     """
+    ship_code(stream.sparkSession)
     out = T.StructType([stream.schema[c] for c in (log, position, epoch, sequence)])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
