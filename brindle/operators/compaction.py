@@ -21,6 +21,9 @@ SMALL_BYTES, TARGET_BYTES, HEADER_BYTES = 1 << 20, 128 << 20, 16
 #: A partition's files are summed in so many strands, then the strands are laid end to end.
 STRANDS = 64
 
+#: What is kept of a listing.
+LISTING = ("file_uri", "listed_at", "state", "size", "shard_id", "tablet_id", "last_modified")
+
 
 def current_files(listings: DataFrame) -> DataFrame:
     """The latest complete listing of each file: file_uri, shard_id, tablet_id, size, state.
@@ -38,7 +41,11 @@ def small_files(listings: DataFrame, small_bytes: int = SMALL_BYTES, least: int
 
     Files without a shard are in none and are left alone.
     """
-    small = current_files(listings).where((F.col("state") == "live") & (F.col("size") < small_bytes) & F.col("shard_id").isNotNull())
+    return _crowded(current_files(listings).where(F.col("state") == "live"), small_bytes, least)
+
+
+def _crowded(live: DataFrame, small_bytes: int, least: int) -> DataFrame:
+    small = live.where((F.col("size") < small_bytes) & F.col("shard_id").isNotNull())
     full = small.groupBy("shard_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
     # one row a shard; small enough to broadcast or not is for the measured sizes to say (AQE)
     return small.join(full.select("shard_id"), "shard_id", "left_semi")
@@ -60,10 +67,16 @@ def pack(files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
     return summed.join(offsets, ["shard_id", "__strand"]).withColumn("bin", F.floor(start / F.lit(target_bytes)).cast("long")).drop("__strand", "__sum", "__offset")
 
 
+def _named(entries: DataFrame) -> DataFrame:
+    return entries.where(F.col("file_uri").isNotNull() & F.col("entry_no").isNotNull()).select("file_uri", "entry_no", "entry_key", "entry_bytes")
+
+
 @dataclass
 class Plan:
     files: DataFrame  #: file_uri, shard_id, size, bin
     base: int  #: snapshot that the plan was made from
+    untouched: DataFrame  #: the live files that stay as they are, as in current_files
+    listed: str  #: folder of ``untouched``
 
 
 class Compactor:
@@ -74,11 +87,23 @@ class Compactor:
         self.small_bytes, self.target_bytes, self.least = small_bytes, target_bytes, least
 
     def plan(self, listings: DataFrame) -> Plan:
-        """Which files to rewrite, into which bins. Written out, so that it can't change."""
-        base, at = self.table.version(), self.table.data_path("plan")
-        packed = pack(small_files(listings, self.small_bytes, self.least), self.target_bytes)
-        packed.select("file_uri", "shard_id", "size", "bin").write.parquet(at)
-        return Plan(self.spark.read.parquet(at), base)
+        """Which files to rewrite, into which bins. Written out, so that it can't change.
+
+        All other live files are listed as untouched: large ones, lone small ones of a shard,
+        those without a shard. Files that only the base's list of untouched files knows count
+        as listed there, so listings may be all there are or only the latest.
+        """
+        base, at, live_at, listed = self.table.version(), self.table.data_path("plan"), self.table.data_path("live"), self.table.data_path("untouched")
+        known, before = listings.select(*LISTING), self.table.read(base).get("untouched")
+        if before:
+            known = known.unionByName(self.spark.read.parquet(before))
+        current_files(known).where(F.col("state") == "live").write.parquet(live_at)
+        live = self.spark.read.parquet(live_at)
+        pack(_crowded(live, self.small_bytes, self.least), self.target_bytes).select("file_uri", "shard_id", "size", "bin").write.parquet(at)
+        files = self.spark.read.parquet(at)
+        lookup_join(live, files.select("file_uri"), ["file_uri"], "left_anti").select(*LISTING).write.parquet(listed)
+        self.table.delete(live_at)
+        return Plan(files, base, self.spark.read.parquet(listed), listed)
 
     def rewrite(self, plan: Plan, entries: DataFrame) -> int:
         """Writes the planned partitions and publishes them; ConflictError if out of date.
@@ -87,18 +112,18 @@ class Compactor:
         Rows go to one task per (shard, bin), so each bin is one file; a bin's size is bounded
         by the target. Dynamic overwrite replaces only the shards in the plan. The partition's
         folder is written under a new data folder for each version: readers of the old
-        snapshot keep theirs.
+        snapshot keep theirs. The version also names the list of the live files left as they
+        are, so bins and listed files together hold every entry of all live files once.
         """
         if self.table.version() != plan.base:
             raise ConflictError(f"{self.table.root}: planned on {plan.base}, now {self.table.version()}")
         data = self.table.data_path("entries")
-        named = entries.where(F.col("file_uri").isNotNull() & F.col("entry_no").isNotNull()).select("file_uri", "entry_no", "entry_key", "entry_bytes")
-        picked = lookup_join(named, plan.files.select("file_uri", "shard_id", "bin"), ["file_uri"], "inner")
+        picked = lookup_join(_named(entries), plan.files.select("file_uri", "shard_id", "bin"), ["file_uri"], "inner")
         rows = newest(picked, ["file_uri", "entry_no", "shard_id", "bin"], ["entry_bytes", "entry_key"])
         out = rows.repartition("shard_id", "bin").sortWithinPartitions("shard_id", "bin", "entry_key", "file_uri", "entry_no")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(data)
         old = self.table.read(plan.base)
-        return self.table.publish(plan.base, {"parts": [*old.get("parts", []), data], "target_bytes": self.target_bytes})
+        return self.table.publish(plan.base, {"parts": [*old.get("parts", []), data], "untouched": plan.listed, "target_bytes": self.target_bytes})
 
     def entries(self, version: int | None = None) -> DataFrame | None:
         """All compacted entries of a snapshot: shard_id, bin, file_uri, entry_no, ..."""
@@ -108,3 +133,21 @@ class Compactor:
         for f in frames[1:]:
             out = out.unionByName(f)
         return out
+
+    def untouched(self, version: int | None = None) -> DataFrame | None:
+        """The live files that a snapshot lists beside its bins; None before the first."""
+        at = self.table.read(version).get("untouched")
+        return self.spark.read.parquet(at) if at else None
+
+    def all_entries(self, entries: DataFrame, version: int | None = None) -> DataFrame | None:
+        """Each entry of all live files of a snapshot once: shard_id, file_uri, entry_no, ...
+
+        Those of rewritten files come from the bins, those of the listed files from
+        ``entries``, which stands for what the files hold.
+        """
+        version = self.table.version() if version is None else version
+        packed, listed = self.entries(version), self.untouched(version)
+        if packed is None or listed is None:
+            return None
+        picked = lookup_join(_named(entries), listed.select("file_uri", "shard_id"), ["file_uri"], "inner")
+        return packed.drop("bin").unionByName(newest(picked, ["file_uri", "entry_no", "shard_id"], ["entry_bytes", "entry_key"]))

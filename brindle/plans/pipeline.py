@@ -94,6 +94,12 @@ def p4_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(after, "shard_id", "left").select(F.col("shard_id").cast("long").alias("shard_id"), "n_small_files", F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("entry_bytes", F.lit(0)).cast("long").alias("entry_bytes"))
 
 
+def p4_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries that the snapshot holds or lists, by shard: rewritten and untouched live files."""
+    held = _compacted(spark, sf_dir)[0].all_entries(table(spark, sf_dir, "file_entries"))
+    return held.groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(F.countDistinct("file_uri").alias("n_files"), F.count(F.lit(1)).alias("n_entries"), F.sum("entry_bytes").cast("long").alias("entry_bytes"))
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     metas, tables = table(spark, sf_dir, "descriptor_metas"), table(spark, sf_dir, "table_descriptors")
     refs = [Reference("descriptor_metas", metas, "parent_id"), Reference("descriptor_metas", metas, "database_id"), Reference("table_descriptors", tables, "schema_id")]
@@ -110,7 +116,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_counts(_orphans(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_current_table, p3_found, p3_unique, p3_ranges, p4_found, p4_compacted, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_current_table, p3_found, p3_unique, p3_ranges, p4_found, p4_compacted, p4_entries, p5_found, p5_report)}
 
 _COMMITTED = """committed AS (
   SELECT log_name, log_position FROM (
@@ -174,6 +180,10 @@ GROUP BY tablet_id, epoch, island""",
     (SELECT file_uri, entry_no, max(entry_bytes) AS entry_bytes FROM file_entries GROUP BY file_uri, entry_no) e JOIN small s ON e.file_uri = s.file_uri GROUP BY s.shard_id)
 SELECT z.shard_id, z.n_small_files, CAST(CASE WHEN k.n_entries IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_files,
   CAST(coalesce(k.n_entries, 0) AS BIGINT) AS n_entries, CAST(coalesce(k.entry_bytes, 0) AS BIGINT) AS entry_bytes FROM sized z LEFT JOIN kept k ON z.shard_id = k.shard_id""",
+    "p4_entries": f"""WITH {_SMALL}
+SELECT shard_id, count(DISTINCT l.file_uri) AS n_files, count(*) AS n_entries, CAST(sum(entry_bytes) AS BIGINT) AS entry_bytes FROM
+  (SELECT file_uri, entry_no, max(entry_bytes) AS entry_bytes FROM file_entries WHERE entry_no IS NOT NULL GROUP BY file_uri, entry_no) e
+  JOIN latest l ON e.file_uri = l.file_uri WHERE state = 'live' GROUP BY shard_id""",
     "p5_found": f"""{_ORPHANS} SELECT table_name, id, field, period FROM bad WHERE reason IS NOT NULL""",
     "p5_report": f"""{_ORPHANS} SELECT table_name, field, period, reason, count(*) AS n_refs, count(DISTINCT target) AS n_targets FROM bad WHERE reason IS NOT NULL GROUP BY ALL""",
 }

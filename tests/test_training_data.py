@@ -260,6 +260,19 @@ def test_rewrite_keeps_every_entry_once_and_detects_conflicts(spark):
     assert job.entries().count() == 10
 
 
+def test_snapshot_holds_or_lists_every_entry_of_all_live_files(spark):
+    meta = spark.createDataFrame([listing("a", 1, 20), listing("b", 1, 20), listing("big", 1, 9 << 20), listing("lone", 7, 20), listing("none", None, 20), listing("gone", 1, 20, "obsoleted")], META)
+    entries = spark.createDataFrame([(u, n, f"k{n}", 5, None) for u in ("a", "b", "big", "lone", "none", "gone") for n in (0, 1)] * 2, ENTRY)
+    job = Compactor(spark, work_dir(spark, "t4"))
+    job.rewrite(job.plan(meta), entries)
+    got = sorted((r.file_uri, r.entry_no) for r in job.all_entries(entries).collect())
+    assert got == [(u, n) for u in ("a", "b", "big", "lone", "none") for n in (0, 1)]
+    assert sorted(r.file_uri for r in job.untouched().collect()) == ["big", "lone", "none"]
+    # listings of new files only: what was listed before stays listed, or is packed with them
+    job.rewrite(job.plan(spark.createDataFrame([listing("new", 7, 20, at="2024-02-01")], META)), entries)
+    assert [r.file_uri for r in job.untouched().orderBy("file_uri").collect()] == ["big", "none"]
+
+
 # -- 5 orphans ------------------------------------------------------------------------------
 
 DESC = "id bigint, name string, kind string, database_id bigint, parent_id bigint, ts_seconds bigint, ts_nanos int, ts_logical int, dropped boolean, target string"
