@@ -1,8 +1,8 @@
 """Problem 4: far too many small files.
 
 Partitions with too many small live files are found, their files packed into bins of a target
-size by prefix sums, and only these partitions' data is rewritten, with dynamic overwrite,
-under a snapshot manifest that refuses a plan made from an older snapshot.
+size by prefix sums, and only these partitions' data is rewritten and replaced, under a snapshot
+manifest that names each partition's folder and refuses a plan made from an older snapshot.
 """
 
 from __future__ import annotations
@@ -74,6 +74,8 @@ def _named(entries: DataFrame) -> DataFrame:
 @dataclass
 class Plan:
     files: DataFrame  #: file_uri, shard_id, size, bin
+    held: DataFrame  #: the same of files whose entries the planned shards hold already
+    at: str  #: folder of ``files`` and ``held``
     base: int  #: snapshot that the plan was made from
     untouched: DataFrame  #: the live files that stay as they are, as in current_files
     listed: str  #: folder of ``untouched``
@@ -94,42 +96,71 @@ class Compactor:
         as listed there, so listings may be all there are or only the latest.
         """
         base, at, live_at, listed = self.table.version(), self.table.data_path("plan"), self.table.data_path("live"), self.table.data_path("untouched")
-        known, before = listings.select(*LISTING), self.table.read(base).get("untouched")
-        if before:
-            known = known.unionByName(self.spark.read.parquet(before))
-        current_files(known).where(F.col("state") == "live").write.parquet(live_at)
+        old = self.table.read(base)
+        known, held = listings.select(*LISTING), self._rewritten(old)
+        if "untouched" in old:
+            known = known.unionByName(self.spark.read.parquet(old["untouched"]))
+        live = current_files(known).where(F.col("state") == "live")
+        (live if held is None else lookup_join(live, held.select("file_uri"), ["file_uri"], "left_anti")).write.parquet(live_at)
         live = self.spark.read.parquet(live_at)
-        pack(_crowded(live, self.small_bytes, self.least), self.target_bytes).select("file_uri", "shard_id", "size", "bin").write.parquet(at)
-        files = self.spark.read.parquet(at)
+        files = _crowded(live, self.small_bytes, self.least).select("file_uri", "shard_id", "size", F.lit(False).alias("held"))
+        if held is not None:
+            again = lookup_join(held, files.select("shard_id").distinct(), ["shard_id"], "left_semi")
+            files = files.unionByName(again.withColumn("held", F.lit(True)))
+        pack(files, self.target_bytes).select("file_uri", "shard_id", "size", "bin", "held").write.parquet(at)
+        packed = self.spark.read.parquet(at)
+        files, held = packed.where(~F.col("held")).drop("held"), packed.where("held").drop("held")
         lookup_join(live, files.select("file_uri"), ["file_uri"], "left_anti").select(*LISTING).write.parquet(listed)
         self.table.delete(live_at)
-        return Plan(files, base, self.spark.read.parquet(listed), listed)
+        return Plan(files, held, at, base, self.spark.read.parquet(listed), listed)
 
     def rewrite(self, plan: Plan, entries: DataFrame) -> int:
         """Writes the planned partitions and publishes them; ConflictError if out of date.
 
         Each entry (file_uri, entry_no) is taken once, however often its row is repeated.
         Rows go to one task per (shard, bin), so each bin is one file; a bin's size is bounded
-        by the target. Dynamic overwrite replaces only the shards in the plan. The partition's
-        folder is written under a new data folder for each version: readers of the old
-        snapshot keep theirs. The version also names the list of the live files left as they
+        by the target. Only the shards in the plan are replaced: their folders are written under
+        a new data folder, with what they held before, and the version names the folder that
+        each shard is read from. Readers of an old snapshot keep its folders. The version also names the list of the live files left as they
         are, so bins and listed files together hold every entry of all live files once.
         """
         if self.table.version() != plan.base:
             raise ConflictError(f"{self.table.root}: planned on {plan.base}, now {self.table.version()}")
-        data = self.table.data_path("entries")
+        data, owners = self.table.data_path("entries"), self.table.data_path("owners")
+        old, before = self.table.read(plan.base), self.entries(plan.base)
         picked = lookup_join(_named(entries), plan.files.select("file_uri", "shard_id", "bin"), ["file_uri"], "inner")
         rows = newest(picked, ["file_uri", "entry_no", "shard_id", "bin"], ["entry_bytes", "entry_key"])
+        if before is not None:
+            rows = rows.unionByName(lookup_join(before.drop("shard_id", "bin"), plan.held.select("file_uri", "shard_id", "bin"), ["file_uri"], "inner"))
         out = rows.repartition("shard_id", "bin").sortWithinPartitions("shard_id", "bin", "entry_key", "file_uri", "entry_no")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(data)
-        old = self.table.read(plan.base)
-        return self.table.publish(plan.base, {"parts": [*old.get("parts", []), data], "untouched": plan.listed, "target_bytes": self.target_bytes})
+        out.write.partitionBy("shard_id").parquet(data)
+        owned = plan.files.select("shard_id").distinct().withColumn("part", F.lit(data))
+        if "owners" in old:
+            owned = owned.unionByName(lookup_join(self.spark.read.parquet(old["owners"]), owned.select("shard_id"), ["shard_id"], "left_anti"))
+        owned.write.parquet(owners)
+        parts = sorted(r.part for r in self.spark.read.parquet(owners).select("part").distinct().collect())
+        schema = ", ".join(f"{c} {kind}" for c, kind in out.dtypes)
+        return self.table.publish(plan.base, {"parts": parts, "owners": owners, "schema": schema, "plans": [*old.get("plans", []), plan.at], "untouched": plan.listed, "target_bytes": self.target_bytes})
+
+    def _rewritten(self, manifest: dict) -> DataFrame | None:
+        """All files whose entries are in a version's bins: file_uri, shard_id, size."""
+        plans = manifest.get("plans")
+        return self.spark.read.parquet(*plans).where(~F.col("held")).select("file_uri", "shard_id", "size") if plans else None
 
     def entries(self, version: int | None = None) -> DataFrame | None:
-        """All compacted entries of a snapshot: shard_id, bin, file_uri, entry_no, ..."""
-        parts = self.table.read(version).get("parts", [])
-        frames = [self.spark.read.parquet(p) for p in parts]
-        out = frames[0] if frames else None
+        """All compacted entries of a snapshot: shard_id, bin, file_uri, entry_no, ...
+
+        Of each shard only the folder that rewrote it last counts; None before the first.
+        """
+        old = self.table.read(version)
+        if not old:
+            return None
+        reader, parts = self.spark.read.schema(old["schema"]), old["parts"]
+        if len(parts) < 2:
+            return reader.parquet(*parts) if parts else self.spark.createDataFrame([], old["schema"])
+        owners = self.spark.read.parquet(old["owners"])
+        frames = [lookup_join(reader.parquet(p), owners.where(F.col("part") == p).select("shard_id"), ["shard_id"], "left_semi") for p in parts]
+        out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
         return out

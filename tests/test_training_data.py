@@ -273,6 +273,27 @@ def test_snapshot_holds_or_lists_every_entry_of_all_live_files(spark):
     assert [r.file_uri for r in job.untouched().orderBy("file_uri").collect()] == ["big", "none"]
 
 
+def test_second_rewrite_replaces_its_shards_and_repeats_nothing(spark):
+    old = [listing(u, s, 20) for u, s in (("a", 1), ("b", 1), ("c", 2), ("d", 2), ("lone", 3))]
+    both = [*old, *(listing(u, s, 20, at="2024-02-01") for u, s in (("e", 1), ("f", 1), ("alone", 2)))]
+    rows = [(r[0], n, f"k{n}", 5, None) for r in both for n in (0, 1)]
+    entries, packed = spark.createDataFrame(rows * 2, ENTRY), lambda: sorted((r.shard_id, r.file_uri, r.entry_no) for r in job.entries().collect())
+    of = lambda files: sorted((r[1], r[0], n) for r in both if r[0] in files for n in (0, 1))
+    job = Compactor(spark, work_dir(spark, "t4"))
+    first = job.rewrite(job.plan(spark.createDataFrame(old, META)), entries)
+    # what is packed already comes from the snapshot, not from the entries given
+    second = job.rewrite(job.plan(spark.createDataFrame(both, META)), entries.where("file_uri NOT IN ('a', 'b', 'c', 'd')"))
+    assert packed() == of("abcdef")
+    assert sorted(r.file_uri for r in job.untouched().collect()) == ["alone", "lone"]
+    owners = spark.read.parquet(job.table.read()["owners"]).collect()
+    assert sorted(r.shard_id for r in owners) == [1, 2] and len({r.part for r in owners}) == 2
+    assert sorted({r.file_uri for r in job.entries(first).collect()}) == list("abcd")
+    # nothing new: an empty plan, the same entries
+    again = job.plan(spark.createDataFrame(both, META))
+    assert again.files.count() == 0 and job.rewrite(again, entries) == second + 1
+    assert packed() == of("abcdef") and job.all_entries(entries).count() == len(rows)
+
+
 # -- 5 orphans ------------------------------------------------------------------------------
 
 DESC = "id bigint, name string, kind string, database_id bigint, parent_id bigint, ts_seconds bigint, ts_nanos int, ts_logical int, dropped boolean, target string"
