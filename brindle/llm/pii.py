@@ -42,8 +42,9 @@ def alike(s: str) -> str:
 
 
 def _word(w: str) -> str:
-    """A pattern for a word in ``alike`` text; m may be read as rn, ß printed as SS."""
-    return re.escape(alike(w)).replace("M", "(?:M|RN)").replace("ẞ", "(?:ß|ẞ|SS)").replace("ß", "(?:ß|SS)")
+    """A pattern for a word in ``alike`` text; m may be read as rn, rn as m, ß printed as SS."""
+    parts = (re.escape(alike(x)).replace("M", "(?:M|RN)") for x in re.split("[rR][nN]", w))
+    return "(?:M|RN)".join(parts).replace("ẞ", "(?:ß|ẞ|SS)").replace("ß", "(?:ß|SS)")
 
 
 def _any(words: str) -> str:
@@ -92,6 +93,9 @@ class Directory:
         self.stems = {x for x, e in cuts if e in self.ends}
         end = "|".join(_word(e) for e in sorted(self.ends, key=len, reverse=True))
         made = [f"{_word(x)}(?:{end})" for x in sorted(self.stems, key=len, reverse=True)]
+        # an rn that the cut parts may be read as m too
+        after_n = "|".join(_word(e[1:]) for e in sorted(self.ends, key=len, reverse=True) if e[0] in "nN")
+        made += [f"{_word(x[:-1])}M(?:{after_n})" for x in sorted(self.stems, key=len, reverse=True) if after_n and x[-1] in "rR"]
         rest = [_word(f) for f in family if not any(f.startswith(x) for x in self.stems)]
         #: Only names made of a known stem and ending, without the directory's other words.
         self.made = re.compile("|".join(made) or "(?!)")

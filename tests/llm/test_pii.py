@@ -53,6 +53,13 @@ def test_kinds(detector, text, want):
     assert found(detector, text) == want
 
 
+def test_rn_read_as_m_in_family_names(detector):
+    for text, want in [("The prize went to Capt. Thomwick; he spoke.", "Thomwick"), ("Claim by Silas Brackbume, identity no. 666-08-0767, was discussed.", "Silas Brackbume"), ("Present were: Thomdrake, Nora; Bramholt, Rose.", "Thomdrake, Nora"), ("Claim by Silas Brarnwick, identity no. 666-08-0767, was discussed.", "Silas Brarnwick")]:
+        assert ("name", want) in found(detector, text), text
+    parted = pii.Directory([(s + e, "family") for s in ("Ashor", "Mil", "Tas", "Vel") for e in ("nell", "combe", "drake", "holt")])
+    assert parted.pattern.fullmatch(pii.alike("Ashomell")) and parted.pattern.fullmatch(pii.alike("Ashornell"))
+
+
 def test_broken_words_marks_and_unseen_characters(detector):
     text = "The late Silas Bram-\ncombe left. Ring 01632 96­\n0039 after"
     assert found(detector, text) == [("name", "Silas Bram-\ncombe"), ("phone", "01632 96­\n0039")]
