@@ -48,13 +48,17 @@ def push_over_fences(writes: DataFrame, reads: DataFrame, key: str, ts: str, sta
     return ids.join(fence, "__w", "left").withColumn("pushed_ts", F.greatest(ts, "__fence")).drop("__w", "__fence")
 
 
-def deadlocks(waits: DataFrame, max_depth: int = 32) -> DataFrame:
+#: Layers peeled off before paths are followed; what is left costs pairs, not results.
+PEEL_ROUNDS = 32
+
+
+def deadlocks(waits: DataFrame) -> DataFrame:
     """Transactions that wait for themselves: ``txn``, and ``restarts`` for the cycle's loser.
 
     ``waits``: waiter, holder and, of the waiter, priority, start_ts. Paths double each round
-    (a path of 2k edges is two of k), so a cycle of n needs log n joins; ``max_depth`` bounds
-    the length of a cycle that is found. What has been found
-    is distinct pairs, and rounds end when none is new. Of a cycle the greatest (priority,
+    (a path of 2k edges is two of k), so a cycle of n needs log n joins, however long it
+    is. What has been found is distinct pairs, and rounds end when none is new; a cycle of n
+    has n * n of them. Of a cycle the greatest (priority,
     start_ts, txn) restarts: at equal priority the older one wins. Each round is cut off from
     the plan by a checkpoint in the shared folder.
     """
@@ -62,21 +66,21 @@ def deadlocks(waits: DataFrame, max_depth: int = 32) -> DataFrame:
     # Only transactions that both wait and are waited for can be on a cycle: the rest is peeled
     # off first, layer by layer, so paths are followed among what cycles are made of.
     size = -1
-    for _ in range(max_depth):
+    for _ in range(PEEL_ROUNDS):
         edges = edges.join(edges.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi").join(edges.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").checkpoint()
         now = edges.count()
         if now == size:
             break
         size = now
-    reach, size, hops = edges, -1, 1
-    while hops <= max_depth:
+    reach, size = edges, -1
+    while True:
         a, b = reach.alias("a"), reach.alias("b")
         longer = a.join(b, F.col("a.holder") == F.col("b.waiter")).select(F.col("a.waiter").alias("waiter"), F.col("b.holder").alias("holder"))
         reach = reach.unionByName(longer).distinct().checkpoint()
         now = reach.count()
         if now == size:
             break
-        size, hops = now, hops * 2
+        size = now
     on_cycle = reach.where(F.col("waiter") == F.col("holder")).select(F.col("waiter").alias("txn"))
     # Two transactions are on one cycle if each reaches the other: its name is the least of them.
     back = reach.select(F.col("holder").alias("waiter"), F.col("waiter").alias("holder"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.kv.store import Layout, VersionedStore, batch, locate, read_your_writes, scoped
@@ -132,6 +133,22 @@ def txn_deadlock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deadlocks(_waits(spark, sf_dir)).select("txn", "cycle", "restarts")
 
 
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth supplier waits for the next one, the last for the first; some also for the one before."""
+    n = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5).alias("ring"))
+    line = W.partitionBy("ring").orderBy("s_suppkey")
+    first, following = F.min("s_suppkey").over(W.partitionBy("ring")), F.lead("s_suppkey").over(line)
+    back = F.when(F.col("s_suppkey") % 11 == 0, F.lag("s_suppkey").over(line))
+    n = n.select("s_suppkey", F.array(F.coalesce(following, first), back).alias("holders"))
+    return n.select(F.col("s_suppkey").alias("waiter"), F.explode("holders").alias("holder"), (F.col("s_suppkey") % 3).alias("priority"), F.col("s_suppkey").alias("start_ts"))
+
+
+def txn_deadlock_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlocks of cycles that grow with the table."""
+    shared_dir(spark)
+    return deadlocks(_rings(spark, sf_dir)).select("txn", "cycle", "restarts")
+
+
 def txn_commit_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions over a small table: writes, a deletion, an increment and their versions."""
     at = SnapshotTable(spark, work_dir(spark, "txn"))
@@ -173,7 +190,7 @@ def fence_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     return push_over_fences(writes, newest, "key", "at", "s", "e", "read_at", 4).select("event_id", "pushed_ts")
 
 
-_ALL = (kv_snapshot_get, kv_get_keys, kv_find_ceiling, kv_find_each, kv_scan_page, kv_put_if_absent, kv_put_expect, kv_increment, kv_refresh_read, kv_batch_rww, kv_read_your_write, kv_locate_shard, kv_scoped, txn_intent_resolve, txn_conflicts, txn_deadlock, txn_commit_loop, span_merge, span_split, fence_push)
+_ALL = (kv_snapshot_get, kv_get_keys, kv_find_ceiling, kv_find_each, kv_scan_page, kv_put_if_absent, kv_put_expect, kv_increment, kv_refresh_read, kv_batch_rww, kv_read_your_write, kv_locate_shard, kv_scoped, txn_intent_resolve, txn_conflicts, txn_deadlock, txn_deadlock_rings, txn_commit_loop, span_merge, span_split, fence_push)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _SNAP = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events {}) WHERE rn = 1)"
@@ -209,6 +226,8 @@ ORACLE = {
       mates AS (SELECT x.a AS txn, x.b AS mate FROM p x JOIN p y ON x.a = y.b AND x.b = y.a),
       c AS (SELECT txn, min(mate) AS cycle FROM mates GROUP BY txn)
       SELECT txn, cycle, row_number() OVER (PARTITION BY cycle ORDER BY txn % 3 DESC, txn DESC) = 1 AS restarts FROM c""",
+    "txn_deadlock_rings": """SELECT s_suppkey AS txn, min(s_suppkey) OVER (PARTITION BY s_suppkey % 5) AS cycle,
+      row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey % 3 DESC, s_suppkey DESC) = 1 AS restarts FROM supplier""",
     "txn_commit_loop": "SELECT * FROM (VALUES ('counter0', CAST(10 AS bigint)), ('counter2', 105)) t(key, value)",
     "span_merge": """WITH s AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + 1800000000 AS e FROM events), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
       g AS (SELECT *, sum(CASE WHEN s <= before THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT user_id, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, island""",

@@ -96,6 +96,13 @@ def test_deadlock_loser(spark):
     assert got == {("a", False), ("b", True), ("d", True), ("e", False), ("f", False)}
 
 
+def test_deadlock_on_a_long_cycle(spark):
+    shared_dir(spark)
+    rows = [(i, (i + 1) % 150, 1, i) for i in range(150)] + [(200 + i, 201 + i, 1, i) for i in range(40)] + [(240, 0, 1, 0)]
+    got = {(r.txn, r.cycle, r.restarts) for r in deadlocks(spark.createDataFrame(rows, "waiter int, holder int, priority int, start_ts bigint")).collect()}
+    assert got == {(i, 0, i == 149) for i in range(150)}
+
+
 def test_optimistic_transactions(spark):
     at = SnapshotTable(spark, work_dir(spark, "txn"))
     one = Txn(spark, at, 10)
