@@ -41,6 +41,7 @@ class Pending:
     lower: DataFrame  #: log, position: committed before this run
     upper: DataFrame  #: log, position: the greatest offset there was at the start
     base: int  #: manifest version the run is based on
+    loose: DataFrame  #: identities of rows without a place in the order, of this and all earlier runs
 
 
 class IncrementalRun:
@@ -50,7 +51,8 @@ class IncrementalRun:
 
     Edge cases: an identity with a null in ``required`` columns is no record of its own and is
     left out; other nulls in the identity group together. A row without offset or log counts
-    as not yet read. An identity with any row at or below the committed position of that row's
+    as not yet read until a run takes it: the identities of such rows are kept beside the
+    watermark and are done from then on, whatever copies come later. An identity with any row at or below the committed position of that row's
     log is done, however many later copies there are. Without a committed position everything
     of the log is pending. Empty tables give empty results; extra columns are ignored.
     """
@@ -83,17 +85,25 @@ class IncrementalRun:
         inside = inside.where(F.coalesce(new, F.lit(True)))
         for c in self.required:
             inside = inside.where(F.col(c).isNotNull())
+        loose, taken = inside.where(new.isNull()).select(*self.identity), self.table.read(base).get("loose")
+        inside = inside.withColumn("__old", F.coalesce(old, F.lit(False)))
+        if taken:
+            before = self.spark.read.schema(loose.schema).parquet(taken)
+            loose = loose.unionByName(before)
+            # as rows of the aggregate, where nulls in an identity are equal
+            inside = inside.unionByName(before.withColumn("__old", F.lit(True)), allowMissingColumns=True)
         first = F.min(F.struct(F.col(self.log), F.col(self.offset)))
-        rows = inside.groupBy(*self.identity).agg(F.max(F.coalesce(old, F.lit(False))).alias("__done"), first.alias("__first")).where(~F.col("__done"))
-        return Pending(rows.select(*self.identity, F.col(f"__first.{self.log}").alias(self.log), F.col(f"__first.{self.offset}").alias(self.offset)), lower, bounds, base)
+        rows = inside.groupBy(*self.identity).agg(F.max("__old").alias("__done"), first.alias("__first")).where(~F.col("__done"))
+        return Pending(rows.select(*self.identity, F.col(f"__first.{self.log}").alias(self.log), F.col(f"__first.{self.offset}").alias(self.offset)), lower, bounds, base, loose.distinct())
 
     def commit(self, pending: Pending, output: DataFrame | None = None) -> int:
         """Writes the output and the new watermark and publishes both in one version."""
-        data, mark = self.table.data_path("out"), self.table.data_path("watermark")
+        data, mark, loose = self.table.data_path("out"), self.table.data_path("watermark"), self.table.data_path("loose")
         (pending.rows if output is None else output).write.parquet(data)
         pending.upper.select(self.log, F.greatest("__upper", "__lower").alias("__lower")).where(F.col("__lower").isNotNull()).coalesce(1).write.parquet(mark)
+        pending.loose.write.parquet(loose)
         before = self.table.read(pending.base).get("outputs", [])
-        return self.table.publish(pending.base, {"watermark": mark, "outputs": [*before, data]})
+        return self.table.publish(pending.base, {"watermark": mark, "loose": loose, "outputs": [*before, data]})
 
     def output(self, version: int | None = None, last_only: bool = False) -> DataFrame | None:
         """What all runs up to a version (or only its last run) have put out."""

@@ -71,6 +71,20 @@ def test_runs_take_each_record_once_and_survive_a_crash(spark):
     assert dict(map(tuple, run.committed().collect())) == {"a": 7, "b": 0}
 
 
+def test_rows_without_a_place_are_taken_once(spark):
+    rows = [("a", None, 1, 1, 1, "write", None), (None, 4, 1, 1, 2, "write", None), (None, None, None, 1, 3, "write", None), ("a", 1, 1, 1, 4, "write", None)]
+    run = IncrementalRun(spark, work_dir(spark, "t1"))
+    messages = spark.createDataFrame(rows, MSG)
+    run.commit(run.plan(messages))
+    assert run.plan(messages).rows.count() == 0
+    run.commit(run.plan(messages))
+    # copies with a place, later ones too, and one more row without
+    more = spark.createDataFrame([*rows, ("a", 7, 1, 1, 1, "write", None), ("b", 1, None, 1, 3, "write", None), ("a", None, 1, 1, 5, "write", None)], MSG)
+    for _ in range(2):
+        run.commit(run.plan(more))
+    assert sorted(r.sequence for r in run.output().collect()) == [1, 2, 3, 4, 5]
+
+
 def test_upper_limit_is_fixed_when_a_run_starts(spark, tmp_path):
     at = str(tmp_path / "log")
     spark.createDataFrame([("a", 1, 1, 1, 1, "write", None)], MSG).write.parquet(at)
