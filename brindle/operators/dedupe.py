@@ -11,18 +11,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.sources.manifest import SnapshotTable
 
-#: Numbers are cut into blocks of this width, so that no task gets all of a producer.
-BLOCK = 1 << 16
+#: Numbers are cut into blocks of 2 to this power, so that no task gets all of a producer.
+BLOCK_BITS = 16
+BLOCK = 1 << BLOCK_BITS
+#: Tables of seen ranges (or hash keys) that may lie beside each other before they are merged.
+MERGE_EVERY = 8
 
 
-def _block(number: Column) -> Column:
-    return F.floor(number / F.lit(BLOCK)).cast("long")
+def _block(number: str) -> str:
+    # a shift is exact for all 64 bits, which a division in DOUBLE is not
+    return f"shiftright(CAST({number} AS bigint), {BLOCK_BITS})"
 
 
 def merge_ranges(ranges: DataFrame, producer: Sequence[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -31,22 +34,31 @@ def merge_ranges(ranges: DataFrame, producer: Sequence[str], lo: str = "lo", hi:
     Touching ranges become one. Each producer's line is cut into blocks that are merged on
     their own; only ranges that reach a block's edge, at most two a block, are stitched over
     blocks. So a producer with a third of all rows is the work of many tasks, even if its
-    numbers are all apart. A range without a bound or with ``lo > hi`` is left out.
+    numbers are all apart. All 64-bit numbers are exact. A range without a bound or with
+    ``lo > hi`` is left out.
     """
-    producer = list(producer)
-    good = ranges.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi))).select(*producer, F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"))
-    cut = good.withColumn("__b", F.explode(F.sequence(_block(F.col("lo")), _block(F.col("hi")))))
-    first, last = F.col("__b") * BLOCK, F.col("__b") * BLOCK + (BLOCK - 1)
-    inside = _islands(cut.withColumns({"lo": F.greatest("lo", first), "hi": F.least("hi", last)}), [*producer, "__b"])
-    edge = (F.col("lo") == first) | (F.col("hi") == last)
-    return inside.where(~edge).drop("__b").unionByName(_islands(inside.where(edge).drop("__b"), producer))
+    keys = _names(producer)
+    good = ranges.where(f"`{lo}` <= `{hi}`").selectExpr(*keys, f"CAST(`{lo}` AS bigint) AS lo", f"CAST(`{hi}` AS bigint) AS hi")
+    first = f"shiftleft(__b, {BLOCK_BITS})"
+    cut = good.selectExpr(*keys, "lo", "hi", f"explode(sequence({_block('lo')}, {_block('hi')})) AS __b")
+    cut = cut.selectExpr(*keys, "__b", f"greatest(lo, {first}) AS lo", f"least(hi, {first} | {BLOCK - 1}L) AS hi")
+    inside = _islands(cut, [*keys, "__b"])
+    # ranges at an edge are stitched by producer, the others stay in their block
+    edge = inside.selectExpr(*keys, f"if(lo = {first} OR hi = {first} | {BLOCK - 1}L, NULL, __b) AS __b", "lo", "hi")
+    return _islands(edge, [*keys, "__b"]).drop("__b")
+
+
+def _names(columns: Sequence[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
 
 
 def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
-    by = W.partitionBy(*keys).orderBy("lo", "hi")
-    before = F.max("hi").over(by.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("lo") <= F.col("__before") + 1, 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("__before", before).withColumn("__island", island).groupBy(*keys, "__island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__island")
+    by = f"PARTITION BY {', '.join(keys)} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    before = df.selectExpr(*keys, "lo", "hi", f"max(hi) OVER ({by} 1 PRECEDING) AS __before")
+    # a distance beyond 64 bits is null: no touch
+    touches = "coalesce(lo <= __before OR try_subtract(lo, __before) <= 1, false)"
+    marked = before.selectExpr(*keys, "lo", "hi", f"sum(if({touches}, 0, 1)) OVER ({by} CURRENT ROW) AS __island")
+    return marked.groupBy(*keys, "__island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__island")
 
 
 def covered(rows: DataFrame, ranges: DataFrame, producer: Sequence[str], number: str) -> DataFrame:
@@ -55,128 +67,196 @@ def covered(rows: DataFrame, ranges: DataFrame, producer: Sequence[str], number:
     A range is found by equality on (producer, block), one entry for each block that it
     touches, never by comparing a producer's rows with all its ranges.
     """
-    blocks = ranges.withColumn("__b", F.explode(F.sequence(_block(F.col("lo")), _block(F.col("hi"))))).select(*(F.col(c).alias(f"__r_{c}") for c in producer), "__b", "lo", "hi")
-    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in producer]
-    left = rows.withColumn("__rb", _block(F.col(number)))
-    on = (F.col("__rb") == F.col("__b")) & F.col(number).between(F.col("lo"), F.col("hi"))
-    for c in same:
-        on = on & c
-    return left.join(blocks, on, "left_semi").drop("__rb")
+    blocks = ranges.selectExpr(*(f"`{c}` AS `__r_{c}`" for c in producer), "lo", "hi", f"explode(sequence({_block('lo')}, {_block('hi')})) AS __b")
+    same = "".join(f" AND `{c}` <=> `__r_{c}`" for c in producer)
+    on = F.expr(f"__rb = __b AND `{number}` BETWEEN lo AND hi{same}")
+    return rows.withColumn("__rb", F.expr(_block(f"`{number}`"))).join(blocks, on, "left_semi").drop("__rb")
+
+
+@dataclass(frozen=True)
+class Message:
+    """What a table's columns say about a message."""
+
+    producer: Sequence[str] = ("tablet_id", "epoch")
+    number: str = "sequence"
+    delivery: Sequence[str] = ()  #: columns on how a copy came, which make no other message of it
+    together: Sequence[Sequence[str]] = ()  #: columns that are only taken from one and the same copy
+
+    @property
+    def identity(self) -> list[str]:
+        return [*self.producer, self.number]
 
 
 @dataclass
 class Deduped:
-    accepted: DataFrame  #: one complete row per identity not seen before
-    repeated: DataFrame  #: identities with more rows than were accepted: identity, copies
-    later: DataFrame  #: the best of these rows for each identity that a seen range covers
-    ranges: DataFrame  #: the merged ranges: producer, lo, hi
-    exact: DataFrame  #: hash keys of the rows without identity
+    """One table, ``rows``, and what can be read from it by filters."""
+
+    rows: DataFrame  #: one row per message of the delivery: its columns, __copies, __seen, __h1, __h2
+    columns: list[str]
+    message: Message
+    seen: DataFrame | None = None  #: ranges seen before
+    seen_exact: DataFrame | None = None  #: hash keys seen before
+
+    @property
+    def accepted(self) -> DataFrame:
+        """One complete row per message not seen before."""
+        return self.rows.where(~F.col("__seen")).select(*self.columns)
+
+    @property
+    def later(self) -> DataFrame:
+        """The best copy of each message that was seen before."""
+        return self.rows.where(F.col("__seen") & F.col("__h1").isNull()).select(*self.columns)
 
+    @property
+    def repeated(self) -> DataFrame:
+        """Identities with more rows than were accepted: identity, copies."""
+        return self.rows.where((F.col("__seen") | (F.col("__copies") > 1)) & F.col("__h1").isNull()).select(*self.message.identity, F.col("__copies").alias("copies"))
+
+    @property
+    def fresh(self) -> DataFrame:
+        """The ranges of the numbers accepted now: disjoint, and apart from those seen before."""
+        n = F.col(self.message.number)
+        new = self.rows.where(~F.col("__seen") & F.col("__h1").isNull()).select(*self.message.producer, n.alias("lo"), n.alias("hi"))
+        return merge_ranges(new, self.message.producer)
+
+    @property
+    def fresh_exact(self) -> DataFrame:
+        return self.rows.where(~F.col("__seen") & F.col("__h1").isNotNull()).select("__h1", "__h2")
+
+    @property
+    def ranges(self) -> DataFrame:
+        """The merged ranges: producer, lo, hi."""
+        both = self.fresh if self.seen is None else self.fresh.unionByName(self.seen.select(*self.message.producer, "lo", "hi"))
+        return both if self.seen is None else merge_ranges(both, self.message.producer)
 
-def prepare(rows: DataFrame, producer: Sequence[str], number: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` reduced before anything is sorted: one row per identity, and the malformed ones.
+    @property
+    def exact(self) -> DataFrame:
+        """Hash keys of the rows without identity."""
+        return self.fresh_exact if self.seen_exact is None else self.fresh_exact.unionByName(self.seen_exact)
 
-    The first has the identity, ``__copies`` and ``__best``, the copy with the most filled
-    columns, in which what it lacks is filled from the other copies; combined before the shuffle, so an identity on a third of all rows is one row by then. The second
-    has the rows with a null in the identity, once each, with their hash keys.
+
+def keyed(rows: DataFrame, identity: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Adds ``__h1, __h2``: 128 bits of hash over ``columns`` of a row with a null in its
+    identity, null for all others."""
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in _names(identity))
+    kept = _names(columns)
+    one = f"xxhash64({', '.join(kept)})"
+    two = f"xxhash64(7, {', '.join(f'{c} IS NULL' for c in kept)}, {', '.join(reversed(kept))})"
+    return rows.selectExpr("*", f"if({whole}, NULL, {one}) AS __h1", f"if({whole}, NULL, {two}) AS __h2")
+
+
+def _reduced(rows: DataFrame, m: Message) -> DataFrame:
+    """One row per message: its columns, ``__copies``, ``__h1``, ``__h2``.
+
+    One aggregate for well-formed and malformed rows, combined before the shuffle, so an
+    identity on a third of all rows is one row by then. Well-formed rows have no hash keys;
+    malformed ones are told apart by them.
+    """
+    rest = [c for c in rows.columns if c not in m.identity]
+    # units that are filled as one: each column alone, or those that belong together
+    units = [u for u in ([c for c in g if c in rest] for g in m.together) if u]
+    units += [[c] for c in rest if not any(c in u for u in units)]
+    unit = [f"named_struct({', '.join(f'{chr(39)}c{k}{chr(39)}, `{c}`' for k, c in enumerate(u))})" for u in units]
+    filled = " + ".join(["0", *(f"int(`{c}` IS NOT NULL)" for c in rest)])
+    best = ", ".join(["'filled'", filled, *(f"'u{i}', {x}" for i, x in enumerate(unit))])
+    most = [F.expr(f"max(if(`{u[0]}` IS NOT NULL, {x}, NULL)) AS __m{i}") for i, (u, x) in enumerate(zip(units, unit))]
+    out = keyed(rows, m.identity, [c for c in rows.columns if c not in m.delivery]).groupBy(*_names(m.identity), "__h1", "__h2").agg(F.expr("count(1) AS __copies"), F.expr(f"max(named_struct({best})) AS __b"), *most)
+    taken = {c: f"if(__b.u{i}.c0 IS NULL AND __m{i} IS NOT NULL, __m{i}.c{k}, __b.u{i}.c{k}) AS `{c}`" for i, u in enumerate(units) for k, c in enumerate(u)}
+    return out.selectExpr(*(taken.get(c, f"`{c}`") for c in rows.columns), "__copies", "__h1", "__h2")
+
+
+def flagged(once: DataFrame, m: Message, seen: DataFrame | None, seen_exact: DataFrame | None) -> DataFrame:
+    """Adds ``__seen`` to keyed rows: a seen range covers the number, or a seen hash key is the row's own.
+
+    One join finds both. A number's key is its producer and block, a malformed row's its hash;
+    what lies behind an equal key is compared in full. Seen ranges are disjoint, so a row meets
+    one of them at most.
     """
-    identity = [*producer, number]
-    whole = F.lit(True)
-    for c in identity:
-        whole = whole & F.col(c).isNotNull()
-    rest = [c for c in rows.columns if c not in identity]
-    filled = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in rest), F.lit(0))
-    row = F.struct(filled.alias("filled"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("__end")).alias("row"))
-    most = [F.max(F.col(f"`{c}`")).alias(f"__m{i}") for i, c in enumerate(rest)]
-    best = rows.where(whole).groupBy(*identity).agg(F.count(F.lit(1)).alias("__copies"), F.max(row).alias("__b"), *most)
-    completed = F.struct(*(F.coalesce(F.col(f"__b.row.`{c}`"), F.col(f"__m{i}")).alias(c) for i, c in enumerate(rest)), F.lit(0).alias("__end"))
-    once = best.select(*identity, "__copies", completed.alias("__best"))
-    keyed = rows.where(~whole).withColumns({"__h1": F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), "__h2": F.xxhash64(F.lit(7), *(F.col(f"`{c}`").isNull() for c in rows.columns), *(F.col(f"`{c}`") for c in reversed(rows.columns)))})
-    return once, keyed.dropDuplicates(["__h1", "__h2"])
-
-
-def resolve(once: DataFrame, odd: DataFrame, columns: Sequence[str], producer: Sequence[str], number: str, seen: DataFrame | None, seen_exact: DataFrame | None) -> Deduped:
-    """Accepts what no seen range covers (and no seen hash key has), and merges the ranges."""
-    identity = [*producer, number]
-    rest = [c for c in columns if c not in identity]
-    known = covered(once, seen, producer, number) if seen is not None else None
-    fresh = once if known is None else once.join(known.select(*identity), identity, "left_anti")
-    accepted = fresh.select(*identity, *(F.col(f"__best.`{c}`").alias(c) for c in rest))
-    repeated = fresh.where(F.col("__copies") > 1).select(*identity, "__copies")
-    later = accepted.limit(0)
-    if known is not None:
-        repeated = repeated.unionByName(known.select(*identity, "__copies"))
-        later = known.select(*identity, *(F.col(f"__best.`{c}`").alias(c) for c in rest))
-    numbers = fresh.select(*producer, F.col(number).alias("lo"), F.col(number).alias("hi"))
-    ranges = merge_ranges(numbers if seen is None else numbers.unionByName(seen.select(*producer, "lo", "hi")), producer)
-    new = odd if seen_exact is None else odd.join(seen_exact, ["__h1", "__h2"], "left_anti")
-    exact = new.select("__h1", "__h2")
+    if seen is None and seen_exact is None:
+        return once.withColumn("__seen", F.lit(False))
+    names, producer = [f"__p{i}" for i in range(len(m.producer))], _names(m.producer)
+    known = None
+    if seen is not None:
+        cut = seen.selectExpr(*(f"{c} AS {n}" for c, n in zip(producer, names)), "lo", "hi", f"explode(sequence({_block('lo')}, {_block('hi')})) AS __b")
+        known = cut.selectExpr(f"xxhash64({', '.join(names)}, __b) AS __k", *names, "lo", "hi", "CAST(NULL AS bigint) AS __x1", "CAST(NULL AS bigint) AS __x2")
     if seen_exact is not None:
-        exact = exact.unionByName(seen_exact)
-    accepted = accepted.unionByName(new.drop("__h1", "__h2")).select(*columns)
-    return Deduped(accepted, repeated.withColumnRenamed("__copies", "copies"), later.select(*columns), ranges, exact)
+        none = [f"CAST(NULL AS {once.schema[c].dataType.simpleString()}) AS {n}" for c, n in zip(m.producer, names)]
+        odd = seen_exact.distinct().selectExpr("__h1 AS __k", *none, "CAST(NULL AS bigint) AS lo", "CAST(NULL AS bigint) AS hi", "__h1 AS __x1", "__h2 AS __x2")
+        known = odd if known is None else known.unionByName(odd)
+    inside = " AND ".join([f"`{m.number}` BETWEEN lo AND hi", *(f"{c} = {n}" for c, n in zip(producer, names))])
+    rows = once.selectExpr("*", f"coalesce(__h1, xxhash64({', '.join(producer)}, {_block(f'`{m.number}`')})) AS __key")
+    on = F.expr(f"__key = __k AND if(__h1 IS NULL, {inside}, __h1 = __x1 AND __h2 = __x2)")
+    return rows.join(known.withColumn("__hit", F.lit(True)), on, "left").selectExpr(*_names(once.columns), "coalesce(__hit, false) AS __seen")
 
 
-def dedupe(rows: DataFrame, producer: Sequence[str] = ("tablet_id", "epoch"), number: str = "sequence", seen: DataFrame | None = None, seen_exact: DataFrame | None = None) -> Deduped:
+def dedupe(rows: DataFrame, message: Message = Message(), seen: DataFrame | None = None, seen_exact: DataFrame | None = None) -> Deduped:
     """Keeps exactly one copy of each message, within ``rows`` and against what was ``seen``.
 
-    ``seen`` has the ranges and ``seen_exact`` the hash keys that an earlier call gave back.
-    Of several copies the one with the most filled columns is accepted, ties by value, and its
-    empty columns are filled from the others, so the result doesn't depend on the order of
-    rows. Rows with a null in the identity are the same
-    only if all their columns are (by 128 bits of hash). Empty tables give empty results;
-    further columns are carried along.
+    ``seen`` has the disjoint ranges and ``seen_exact`` the hash keys that an earlier call gave
+    back. Of several copies the one with the most filled columns is accepted, ties by value,
+    and its empty columns are filled from the others (columns that belong together from one
+    copy), so the result doesn't depend on the order of rows. Rows with a null in the identity
+    are the same only if all their columns are, apart from those of the delivery (by 128 bits
+    of hash). Empty tables give empty results; further columns are carried along.
     """
-    once, odd = prepare(rows, list(producer), number)
-    return resolve(once, odd, rows.columns, list(producer), number, seen, seen_exact)
+    return Deduped(flagged(_reduced(rows, message), message, seen, seen_exact), rows.columns, message, seen, seen_exact)
 
 
 class Deduper:
     """De-duplication over deliveries, with its ranges and hash keys kept under ``root``.
 
-    A delivery is reduced and written once; what it accepts, what it repeats and the merged
-    state are published in one manifest version. A delivery that fails before that can be
-    given again; one given again after that repeats everything and accepts nothing.
+    A delivery is reduced, compared with what was seen, and written once, as one table from
+    which all else is read by filters. Its new ranges and hash keys are written beside those
+    of earlier deliveries, from which they are apart, and merged with them every MERGE_EVERY
+    deliveries: a delivery costs its own size, not that of all before. Table and state are
+    published in one manifest version. A delivery that fails before that can be given again;
+    one given again after that repeats everything and accepts nothing.
     """
 
-    def __init__(self, spark: SparkSession, root: str, producer: Sequence[str] = ("tablet_id", "epoch"), number: str = "sequence"):
-        self.spark, self.table = spark, SnapshotTable(spark, root)
-        self.producer, self.number = list(producer), number
+    def __init__(self, spark: SparkSession, root: str, message: Message = Message()):
+        self.spark, self.table, self.message = spark, SnapshotTable(spark, root), message
 
-    def _read(self, path: str | None) -> DataFrame | None:
-        return self.spark.read.parquet(path) if path else None
+    def _read(self, paths: Sequence[str]) -> DataFrame | None:
+        return self.spark.read.parquet(*paths) if paths else None
 
     def deliver(self, rows: DataFrame) -> int:
         base = self.table.version()
-        state = self.table.read(base)
-        at = {k: self.table.data_path(k) for k in ("once", "odd", "accepted", "repeated", "later", "ranges", "exact")}
-        once, odd = prepare(rows, self.producer, self.number)
-        once.write.parquet(at["once"])
-        odd.write.parquet(at["odd"])
-        out = resolve(self._read(at["once"]), self._read(at["odd"]), rows.columns, self.producer, self.number, self._read(state.get("ranges")), self._read(state.get("exact")))
-        for k in ("accepted", "repeated", "later", "ranges", "exact"):
-            getattr(out, k).write.parquet(at[k])
-        version = self.table.publish(base, {"ranges": at["ranges"], "exact": at["exact"], "accepted": [*state.get("accepted", []), at["accepted"]], "repeated": [*state.get("repeated", []), at["repeated"]], "later": [*state.get("later", []), at["later"]]})
-        self.table.delete(at["once"])
-        self.table.delete(at["odd"])
-        return version
+        state, m = self.table.read(base), self.message
+        ranges, exact = state.get("ranges", []), state.get("exact", [])
+        at = self.table.data_path("delivery")
+        dedupe(rows, m, self._read(ranges), self._read(exact)).rows.write.parquet(at)
+        out = Deduped(self.spark.read.parquet(at), rows.columns, m)
+        state_of = {}
+        for name, old, new in (("ranges", ranges, out.fresh), ("exact", exact, out.fresh_exact)):
+            path = self.table.data_path(name)
+            if len(old) + 1 < MERGE_EVERY:
+                new.write.parquet(path)
+                state_of[name] = [*old, path]
+            else:
+                whole = new.unionByName(self._read(old))
+                (merge_ranges(whole, m.producer) if name == "ranges" else whole).write.parquet(path)
+                state_of[name] = [path]
+        return self.table.publish(base, {**state_of, "columns": rows.columns, "deliveries": [*state.get("deliveries", []), at]})
+
+    def _all(self) -> Deduped:
+        """The tables of all deliveries as one; columns as in the last."""
+        state = self.table.read()
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*state["deliveries"])
+        return Deduped(rows, state["columns"], self.message)
 
     def accepted(self) -> DataFrame:
         """One row per message: the best copy of the delivery that brought it first."""
-        return self.spark.read.parquet(*self.table.read()["accepted"])
+        return self._all().accepted
 
     def complete(self) -> DataFrame:
         """One row per message: its best copy over all deliveries so far."""
-        state, identity = self.table.read(), [*self.producer, self.number]
-        rows = self.spark.read.parquet(*state["accepted"], *state["later"])
-        once, odd = prepare(rows, self.producer, self.number)
-        best = once.select(*identity, *(F.col(f"__best.`{c}`").alias(c) for c in rows.columns if c not in identity))
-        return best.unionByName(odd.drop("__h1", "__h2")).select(*rows.columns)
+        out = self._all()
+        return _reduced(out.accepted.unionByName(out.later), self.message).select(*out.columns)
 
     def repeated(self) -> DataFrame:
         """Identities that came more than once, in one delivery or in several."""
-        return self.spark.read.parquet(*self.table.read()["repeated"]).select(*self.producer, self.number).distinct()
+        return self._all().repeated.select(*self.message.identity).distinct()
 
     def ranges(self) -> DataFrame:
         """The disjoint ranges of numbers seen of each producer."""
-        return self.spark.read.parquet(self.table.read()["ranges"])
+        return merge_ranges(self._read(self.table.read()["ranges"]), self.message.producer)

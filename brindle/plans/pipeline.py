@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators.compaction import Compactor, Plan
-from brindle.operators.dedupe import Deduper
+from brindle.operators.dedupe import Deduper, Message
 from brindle.operators.incremental import IncrementalRun, committed_positions
 from brindle.operators.orphans import Reference, orphan_counts, orphans
+from brindle.operators.versions import HYBRID
 from brindle.sources.shared import work_dir
 from brindle.sources.tables import table
 from brindle.streaming.changefeed import KEYS, ORDER, PAYLOAD, apply_feed, current_table
@@ -48,11 +49,14 @@ def p2_current_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(spark, sf_dir).select("tablet_id", F.lower(F.hex("key")).alias("key_hex"), "kind", "v_int", "v_float", F.lower(F.hex("v_bytes")).alias("v_bytes_hex"), "v_string")
 
 
-def _delivered(spark: SparkSession, sf_dir: str) -> Deduper:
+#: A copy's fetch, arrival and place in the log say how it came; a hybrid time is one value.
+_MESSAGE = Message(delivery=("fetch_id", "arrived_at", "log_offset"), together=(HYBRID,))
+
+
+def _delivered(spark: SparkSession, messages: DataFrame) -> Deduper:
     """The messages in two deliveries; rows of one fetch come together."""
-    messages = table(spark, sf_dir, "data_messages")
     first = F.coalesce(F.col("fetch_id") % 2 == 0, F.lit(True))
-    job = Deduper(spark, work_dir(spark, "p3"))
+    job = Deduper(spark, work_dir(spark, "p3"), _MESSAGE)
     job.deliver(messages.where(first))
     job.deliver(messages.where(~first))
     return job
@@ -60,18 +64,34 @@ def _delivered(spark: SparkSession, sf_dir: str) -> Deduper:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities delivered more than once."""
-    return _delivered(spark, sf_dir).repeated()
+    return _delivered(spark, table(spark, sf_dir, "data_messages")).repeated()
 
 
 def p3_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One complete row per identity, whichever delivery brought it."""
-    rows = _delivered(spark, sf_dir).complete()
-    return rows.where(F.col("tablet_id").isNotNull() & F.col("epoch").isNotNull() & F.col("sequence").isNotNull()).select("tablet_id", "epoch", "sequence", F.col("operation").isNotNull().alias("has_operation"), F.col("write_count").isNotNull().alias("has_count"))
+    """One complete row per message, whichever delivery brought it; malformed ones too."""
+    rows = _delivered(spark, table(spark, sf_dir, "data_messages")).complete()
+    return rows.select("tablet_id", "epoch", "sequence", F.col("operation").isNotNull().alias("has_operation"), F.col("write_count").isNotNull().alias("has_count"))
+
+
+def p3_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without their epoch, each delivered again by a later fetch: one copy of each."""
+    rows = table(spark, sf_dir, "data_messages").withColumn("epoch", F.lit(None).cast("long"))
+    again = rows.withColumns({"fetch_id": F.col("fetch_id") + 1, "arrived_at": F.col("arrived_at") + F.expr("interval 1 hour")})
+    kept = _delivered(spark, rows.unionByName(again)).accepted()
+    return kept.groupBy("tablet_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The disjoint ranges of sequence numbers seen of each producer."""
-    return _delivered(spark, sf_dir).ranges().select("tablet_id", "epoch", "lo", "hi")
+    return _delivered(spark, table(spark, sf_dir, "data_messages")).ranges().select("tablet_id", "epoch", "lo", "hi")
+
+
+def p3_large_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence numbers around 2^53 and 2^62, delivered twice: accepted once each, in exact ranges."""
+    base = F.when(F.col("tablet_id") % 2 == 0, F.lit((1 << 53) - 500)).otherwise(F.lit((1 << 62) - 500))
+    job = _delivered(spark, table(spark, sf_dir, "data_messages").withColumn("sequence", F.col("sequence") + base))
+    n = job.accepted().where("tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL").groupBy("tablet_id", "epoch").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(job.ranges().groupBy("tablet_id", "epoch").agg(F.count(F.lit(1)).alias("n_ranges"), F.sum(F.col("hi") - F.col("lo") + 1).alias("covered"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), ["tablet_id", "epoch"], "left")
 
 
 def _compacted(spark: SparkSession, sf_dir: str) -> tuple[Compactor, Plan]:
@@ -116,7 +136,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_counts(_orphans(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_current_table, p3_found, p3_unique, p3_ranges, p4_found, p4_compacted, p4_entries, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_current_table, p3_found, p3_unique, p3_malformed, p3_ranges, p3_large_ids, p4_found, p4_compacted, p4_entries, p5_found, p5_report)}
 
 _COMMITTED = """committed AS (
   SELECT log_name, log_position FROM (
@@ -167,7 +187,14 @@ FROM ends e FULL OUTER JOIN committed c ON e.log_name = c.log_name WHERE coalesc
     "p3_found": """SELECT tablet_id, epoch, sequence FROM data_messages
 WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""",
     "p3_unique": """SELECT tablet_id, epoch, sequence, bool_or(operation IS NOT NULL) AS has_operation, bool_or(write_count IS NOT NULL) AS has_count FROM data_messages
-WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL GROUP BY tablet_id, epoch, sequence""",
+WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL GROUP BY tablet_id, epoch, sequence
+UNION ALL SELECT tablet_id, epoch, sequence, operation IS NOT NULL, write_count IS NOT NULL FROM (
+  SELECT DISTINCT * EXCLUDE (fetch_id, arrived_at, log_offset) FROM data_messages WHERE tablet_id IS NULL OR epoch IS NULL OR sequence IS NULL)""",
+    "p3_malformed": """SELECT tablet_id, count(*) AS n FROM (SELECT DISTINCT * EXCLUDE (fetch_id, arrived_at, log_offset, epoch) FROM data_messages) GROUP BY tablet_id""",
+    "p3_large_ids": """WITH ids AS (SELECT DISTINCT tablet_id, epoch, sequence + CASE WHEN tablet_id % 2 = 0 THEN 9007199254740492 ELSE 4611686018427387404 END AS sequence FROM data_messages
+  WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL),
+g AS (SELECT *, sequence - lag(sequence) OVER (PARTITION BY tablet_id, epoch ORDER BY sequence) AS step FROM ids)
+SELECT tablet_id, epoch, count(*) AS n, count(*) FILTER (WHERE step IS NULL OR step > 1) AS n_ranges, count(*) AS covered, min(sequence) AS lo, max(sequence) AS hi FROM g GROUP BY tablet_id, epoch""",
     "p3_ranges": """WITH ids AS (SELECT DISTINCT tablet_id, epoch, sequence FROM data_messages
   WHERE tablet_id IS NOT NULL AND epoch IS NOT NULL AND sequence IS NOT NULL)
 SELECT tablet_id, epoch, min(sequence) AS lo, max(sequence) AS hi FROM (
