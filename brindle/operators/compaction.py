@@ -1,8 +1,10 @@
 """Problem 4: far too many small files.
 
-Partitions with too many small live files are found, their files packed into bins of a target
-size by prefix sums, and only these partitions' data is rewritten and replaced, under a snapshot
-manifest that names each partition's folder and refuses a plan made from an older snapshot.
+Shards with too many small live files are found and laid side by side into groups of a target
+size by prefix sums: a group is a partition of the compacted table, and its files have the
+target's size however small its shards are. Only groups that the plan touches are rewritten
+and replaced, whole, under a snapshot manifest that names the live partitions and refuses a
+plan made from an older snapshot.
 """
 
 from __future__ import annotations
@@ -52,19 +54,30 @@ def _crowded(live: DataFrame, small_bytes: int, least: int) -> DataFrame:
 
 
 def pack(files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Adds ``bin``: files of a shard in the same bin become one file of about ``target_bytes``.
+    """Adds ``grp`` and ``bin``: files of a group in the same bin become one file.
 
-    Running sums in two levels: within a strand (a hash class of the shard's files), then over
-    the strands' totals. A shard with a third of all files is the work of STRANDS tasks.
+    Shards are laid on one line, in some order, and a shard belongs to the group of the target's
+    width in which it begins; a shard beyond the target has several bins. So a bin has less
+    than twice the target, and there are about as many bins as targets in the whole.
+
+    Running sums in two levels: within a strand (a hash class of a shard's files, or of all
+    shards), then over the strands' totals. A shard with a third of all files is the work of
+    STRANDS tasks, and so are all shards together.
     """
     strand = files.withColumn("__strand", F.pmod(F.xxhash64("file_uri"), F.lit(STRANDS)))
     inside = W.partitionBy("shard_id", "__strand").orderBy("file_uri").rowsBetween(W.unboundedPreceding, 0)
     summed = strand.withColumn("__sum", F.sum("size").over(inside))
     totals = strand.groupBy("shard_id", "__strand").agg(F.sum("size").alias("__total"))
-    before = W.partitionBy("shard_id").orderBy("__strand").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("shard_id", "__strand", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
+    sofar = W.partitionBy("shard_id").orderBy("__strand").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("shard_id", "__strand", F.coalesce(F.sum("__total").over(sofar), F.lit(0)).alias("__offset"))
+    shards = totals.groupBy("shard_id").agg(F.sum("__total").alias("__bytes")).withColumn("__lane", F.pmod(F.xxhash64("shard_id"), F.lit(STRANDS)))
+    along = W.partitionBy("__lane").orderBy("shard_id").rowsBetween(W.unboundedPreceding, -1)
+    # at most STRANDS rows
+    lanes = shards.groupBy("__lane").agg(F.sum("__bytes").alias("__all")).select("__lane", F.sum("__all").over(W.orderBy("__lane").rowsBetween(W.unboundedPreceding, -1)).alias("__from"))
+    begins = shards.withColumn("__in", F.sum("__bytes").over(along)).join(F.broadcast(lanes), "__lane").select("shard_id", F.floor((F.coalesce("__in", F.lit(0)) + F.coalesce("__from", F.lit(0))) / F.lit(target_bytes)).cast("long").alias("grp"))
     start = F.col("__sum") - F.col("size") + F.col("__offset")
-    return summed.join(offsets, ["shard_id", "__strand"]).withColumn("bin", F.floor(start / F.lit(target_bytes)).cast("long")).drop("__strand", "__sum", "__offset")
+    packed = summed.join(offsets.join(begins, "shard_id"), ["shard_id", "__strand"])
+    return packed.withColumn("bin", F.floor(start / F.lit(target_bytes)).cast("long")).drop("__strand", "__sum", "__offset")
 
 
 def _named(entries: DataFrame) -> DataFrame:
@@ -73,8 +86,8 @@ def _named(entries: DataFrame) -> DataFrame:
 
 @dataclass
 class Plan:
-    files: DataFrame  #: file_uri, shard_id, size, bin
-    held: DataFrame  #: the same of files whose entries the planned shards hold already
+    files: DataFrame  #: file_uri, shard_id, size, grp, bin
+    held: DataFrame  #: the same of files whose entries the touched groups hold already
     at: str  #: folder of ``files`` and ``held``
     base: int  #: snapshot that the plan was made from
     untouched: DataFrame  #: the live files that stay as they are, as in current_files
@@ -105,9 +118,12 @@ class Compactor:
         live = self.spark.read.parquet(live_at)
         files = _crowded(live, self.small_bytes, self.least).select("file_uri", "shard_id", "size", F.lit(False).alias("held"))
         if held is not None:
-            again = lookup_join(held, files.select("shard_id").distinct(), ["shard_id"], "left_semi")
+            # a group is replaced whole: with all shards that it holds
+            owners = self.spark.read.parquet(old["owners"])
+            touched = lookup_join(owners, files.select("shard_id").distinct(), ["shard_id"], "left_semi").select("part", "grp").distinct()
+            again = lookup_join(held, lookup_join(owners, touched, ["part", "grp"], "left_semi").select("shard_id"), ["shard_id"], "left_semi")
             files = files.unionByName(again.withColumn("held", F.lit(True)))
-        pack(files, self.target_bytes).select("file_uri", "shard_id", "size", "bin", "held").write.parquet(at)
+        pack(files, self.target_bytes).select("file_uri", "shard_id", "size", "grp", "bin", "held").write.parquet(at)
         packed = self.spark.read.parquet(at)
         files, held = packed.where(~F.col("held")).drop("held"), packed.where("held").drop("held")
         lookup_join(live, files.select("file_uri"), ["file_uri"], "left_anti").select(*LISTING).write.parquet(listed)
@@ -118,27 +134,35 @@ class Compactor:
         """Writes the planned partitions and publishes them; ConflictError if out of date.
 
         Each entry (file_uri, entry_no) is taken once, however often its row is repeated.
-        Rows go to one task per (shard, bin), so each bin is one file; a bin's size is bounded
-        by the target. Only the shards in the plan are replaced: their folders are written under
-        a new data folder, with what they held before, and the version names the folder that
-        each shard is read from. Readers of an old snapshot keep its folders. The version also names the list of the live files left as they
-        are, so bins and listed files together hold every entry of all live files once.
+        Rows go to one task per (grp, bin), so each bin is one file, sorted by shard; a bin's
+        size is bounded by the target. Partitions that the plan touches are replaced: the new
+        ones are written under a new data folder, with what the old ones held, and the version
+        no longer names the old ones. Readers of an old snapshot keep its folders. The version
+        also names the list of the live files left as they are, so bins and listed files
+        together hold every entry of all live files once.
         """
         if self.table.version() != plan.base:
             raise ConflictError(f"{self.table.root}: planned on {plan.base}, now {self.table.version()}")
         data, owners = self.table.data_path("entries"), self.table.data_path("owners")
         old, before = self.table.read(plan.base), self.entries(plan.base)
-        picked = lookup_join(_named(entries), plan.files.select("file_uri", "shard_id", "bin"), ["file_uri"], "inner")
-        rows = newest(picked, ["file_uri", "entry_no", "shard_id", "bin"], ["entry_bytes", "entry_key"])
+        place = ["file_uri", "shard_id", "grp", "bin"]
+        picked = lookup_join(_named(entries), plan.files.select(*place), ["file_uri"], "inner")
+        rows = newest(picked, ["file_uri", "entry_no", "shard_id", "grp", "bin"], ["entry_bytes", "entry_key"])
         if before is not None:
-            rows = rows.unionByName(lookup_join(before.drop("shard_id", "bin"), plan.held.select("file_uri", "shard_id", "bin"), ["file_uri"], "inner"))
-        out = rows.repartition("shard_id", "bin").sortWithinPartitions("shard_id", "bin", "entry_key", "file_uri", "entry_no")
-        out.write.partitionBy("shard_id").parquet(data)
-        owned = plan.files.select("shard_id").distinct().withColumn("part", F.lit(data))
+            rows = rows.unionByName(lookup_join(before.drop("shard_id", "grp", "bin"), plan.held.select(*place), ["file_uri"], "inner"))
+        out = rows.repartition("grp", "bin").sortWithinPartitions("grp", "bin", "shard_id", "entry_key", "file_uri", "entry_no")
+        out.write.partitionBy("grp").parquet(data)
+        both = plan.files.select("shard_id", "grp").unionByName(plan.held.select("shard_id", "grp"))
+        owned, parts = both.distinct().withColumn("part", F.lit(data)), {data: []}
         if "owners" in old:
-            owned = owned.unionByName(lookup_join(self.spark.read.parquet(old["owners"]), owned.select("shard_id"), ["shard_id"], "left_anti"))
+            mine = self.spark.read.parquet(old["owners"])
+            stays = lookup_join(mine, owned.select("shard_id"), ["shard_id"], "left_anti")
+            owned = owned.unionByName(stays)
+            # one row a partition, of about the target's size
+            gone = lookup_join(mine, owned.where(F.col("part") == data).select("shard_id"), ["shard_id"], "left_semi").groupBy("part").agg(F.collect_set("grp").alias("dead"))
+            dead, alive = {r.part: r.dead for r in gone.collect()}, {r.part for r in stays.select("part").distinct().collect()}
+            parts |= {p: sorted({*d, *dead.get(p, [])}) for p, d in old["parts"].items() if p in alive}
         owned.write.parquet(owners)
-        parts = sorted(r.part for r in self.spark.read.parquet(owners).select("part").distinct().collect())
         schema = ", ".join(f"{c} {kind}" for c, kind in out.dtypes)
         return self.table.publish(plan.base, {"parts": parts, "owners": owners, "schema": schema, "plans": [*old.get("plans", []), plan.at], "untouched": plan.listed, "target_bytes": self.target_bytes})
 
@@ -148,21 +172,18 @@ class Compactor:
         return self.spark.read.parquet(*plans).where(~F.col("held")).select("file_uri", "shard_id", "size") if plans else None
 
     def entries(self, version: int | None = None) -> DataFrame | None:
-        """All compacted entries of a snapshot: shard_id, bin, file_uri, entry_no, ...
+        """All compacted entries of a snapshot: shard_id, grp, bin, file_uri, entry_no, ...
 
-        Of each shard only the folder that rewrote it last counts; None before the first.
+        Partitions that a later version replaced are pruned from the scan; None before the first.
         """
         old = self.table.read(version)
         if not old:
             return None
-        reader, parts = self.spark.read.schema(old["schema"]), old["parts"]
-        if len(parts) < 2:
-            return reader.parquet(*parts) if parts else self.spark.createDataFrame([], old["schema"])
-        owners = self.spark.read.parquet(old["owners"])
-        frames = [lookup_join(reader.parquet(p), owners.where(F.col("part") == p).select("shard_id"), ["shard_id"], "left_semi") for p in parts]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
+        out = None
+        for at, dead in old["parts"].items():
+            rows = self.spark.read.schema(old["schema"]).parquet(at)
+            rows = rows.where(~F.col("grp").isin(dead)) if dead else rows
+            out = rows if out is None else out.unionByName(rows)
         return out
 
     def untouched(self, version: int | None = None) -> DataFrame | None:
@@ -181,4 +202,4 @@ class Compactor:
         if packed is None or listed is None:
             return None
         picked = lookup_join(_named(entries), listed.select("file_uri", "shard_id"), ["file_uri"], "inner")
-        return packed.drop("bin").unionByName(newest(picked, ["file_uri", "entry_no", "shard_id"], ["entry_bytes", "entry_key"]))
+        return packed.drop("grp", "bin").unionByName(newest(picked, ["file_uri", "entry_no", "shard_id"], ["entry_bytes", "entry_key"]))
