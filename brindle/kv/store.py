@@ -17,7 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.operators.relational import range_join
+from brindle.operators.skew import Line, lookup_join, running_sum
 from brindle.operators.versions import newest
+from brindle.sources.shared import work_dir
 
 
 @dataclass(frozen=True)
@@ -64,18 +66,25 @@ class VersionedStore:
         return found.select(at.key, *at.order, at.alive, *(F.when(F.col(at.alive), F.col(v)).alias(v) for v in at.value))
 
     def find_each(self, wanted: DataFrame, key: str, as_of: Column | None = None) -> DataFrame:
-        """``find`` for each row of ``wanted``: one line of both, read from its end."""
-        at = self.layout
+        """``find`` for each row of ``wanted``: one line of both, read from its end.
+
+        A key that is asked for often is on the line once. The line is ranged over tasks and
+        written, so that each task's number means the same range wherever it is read; each
+        task's first key is carried into the one before it. Null finds nothing.
+        """
+        at, spark = self.layout, wanted.sparkSession
         have = self.latest(as_of).select(F.col(at.key).alias("__k")).withColumn("__side", F.lit(1)).withColumn("__hit", F.col("__k"))
-        ask = wanted.select(F.col(key).alias("__k")).withColumn("__side", F.lit(0)).withColumn("__hit", F.lit(None).cast(have.schema["__hit"].dataType))
-        # Keys are ranged over tasks; each task's first key is carried into the one before it.
-        line = have.unionByName(ask).repartitionByRange("__k").withColumn("__p", F.spark_partition_id())
+        ask = wanted.select(F.col(key).cast(have.schema["__k"].dataType).alias("__k")).where(F.col("__k").isNotNull()).distinct().withColumn("__side", F.lit(0)).withColumn("__hit", F.lit(None).cast(have.schema["__hit"].dataType))
+        path = work_dir(spark, "find")
+        have.unionByName(ask).repartitionByRange("__k").withColumn("__p", F.spark_partition_id()).write.parquet(path)
+        line = spark.read.parquet(path)
         inside = W.partitionBy("__p").orderBy(F.col("__k").desc(), F.col("__side").desc()).rowsBetween(W.unboundedPreceding, 0)
         near = line.withColumn("__near", F.last("__hit", ignorenulls=True).over(inside))
         firsts = line.groupBy("__p").agg(F.min("__hit").alias("__first"))
         # one row a task
         carry = firsts.withColumn("__next", F.min("__first").over(W.orderBy(F.col("__p").desc()).rowsBetween(W.unboundedPreceding, -1))).select("__p", "__next")
-        return near.where("__side = 0").join(F.broadcast(carry), "__p", "left").select(F.col("__k").alias(key), F.coalesce("__near", "__next").alias("found"))
+        found = near.where("__side = 0").join(F.broadcast(carry), "__p", "left").select(F.col("__k").alias(key), F.coalesce("__near", "__next").alias("found"))
+        return lookup_join(wanted.select(key), found, [key])
 
     def scan(self, start, end, limit: int = 0, as_of: Column | None = None) -> DataFrame:
         """Live rows with start <= key < end in order; ``limit`` 0 is no limit."""
@@ -115,12 +124,23 @@ class VersionedStore:
             ok = ok & (e.isNull() | F.when(zero, seen.isNull()).otherwise(seen.eqNullSafe(e)))
         return both.withColumn("applied", F.coalesce(ok, F.lit(False))).withColumn("newest_before", seen).drop("__key", "__newest", "__alive")
 
-    def put_if_absent(self, writes: DataFrame) -> DataFrame:
-        """``put`` that expects no live version: ``applied`` is true for absent keys."""
+    def put_if_absent(self, writes: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+        """``put`` that expects no live version: ``applied`` is true for absent keys.
+
+        Of several writes of a key in one batch the first in ``order`` is applied (by all
+        columns' values, where that leaves ties), the others find its version. The first is a
+        minimum combined before the shuffle; only equal firsts are numbered.
+        """
         at = self.layout
-        live = self.snapshot().select(F.col(at.key).alias("__key"))
-        there = writes.join(live.withColumn("__there", F.lit(True)), F.col(at.key) == F.col("__key"), "left")
-        return there.withColumn("applied", F.col("__there").isNull()).drop("__key", "__there")
+        rank = F.struct(*(F.col(f"`{c}`") for c in [*order, *(c for c in writes.columns if c not in order)])).alias("__rank")
+        live = self.snapshot().select(F.col(at.key).alias("__key"), F.lit(True).alias("__there"))
+        first = writes.groupBy(F.col(at.key).alias("__key")).agg(F.min(rank).alias("__first"), F.min(F.lit(0)).alias("__n")).join(live, "__key", "left").select(F.col("__key").alias(at.key), "__first", F.col("__there").isNull().alias("__free"))
+        # null keys find no row here and are never applied
+        both = lookup_join(writes.withColumn("__rank", rank), first, [at.key])
+        leads = F.coalesce(F.col("__free") & (F.col("__rank") == F.col("__first")), F.lit(False))
+        once = F.row_number().over(W.partitionBy(at.key).orderBy("__rank")) == 1
+        won = both.where(leads).withColumn("applied", once)
+        return won.unionByName(both.where(~leads).withColumn("applied", F.lit(False))).select(*writes.columns, "applied")
 
     def increment(self, deltas: DataFrame, delta: str, order: Sequence[str]) -> DataFrame:
         """The value after each increment, in order, on top of the newest whole number.
@@ -129,11 +149,10 @@ class VersionedStore:
         """
         at = self.layout
         base = self.snapshot().select(F.col(at.key).alias("__key"), F.col("v_int").alias("__base"))
-        joined = deltas.join(base, F.col(at.key) == F.col("__key"), "left")
-        run = W.partitionBy(at.key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        joined = lookup_join(deltas, base.withColumn(at.key, F.col("__key")), [at.key])
         wrong = F.raise_error(F.lit("increment of a value that is no whole number")).cast("bigint")
         began = F.when(F.col("__key").isNotNull() & F.col("__base").isNull(), wrong).otherwise(F.coalesce("__base", F.lit(0)))
-        return joined.withColumn("value_after", began + F.sum(delta).over(run)).drop("__key", "__base")
+        return running_sum(joined, [at.key], order, delta, "__sum").withColumn("value_after", began + F.col("__sum")).drop("__key", "__base", "__sum")
 
     def refresh_read(self, spans: DataFrame, start: str, end: str, since: str, upto: str, width: int) -> DataFrame:
         """Adds ``fresh``: whether no version in the span is newer than ``since`` (up to ``upto``).
@@ -153,20 +172,17 @@ def batch(operations: DataFrame, base: DataFrame, key: str = "key", seq: str = "
 
     ``operations``: key, seq, op (get, put, delete, increment), operand bigint. ``base``: key,
     v_int, the values before. A put or delete starts a new run of its key; within a run an
-    increment adds to what the run began with, so all answers are window sums and no row is
-    handled by Python. Adds ``answer``: the value read or written, null for none.
+    increment adds to what the run began with, so all answers are running sums along a line cut
+    into ranges: a hot key is many tasks' work, and no row is handled by Python. Adds ``answer``: the value read or written, null for none.
     """
-    by = W.partitionBy(key).orderBy(seq)
-    sofar = by.rowsBetween(W.unboundedPreceding, 0)
-    sets = F.col("op").isin("put", "delete")
-    runs = operations.withColumn("__run", F.sum(sets.cast("int")).over(sofar))
-    first = W.partitionBy(key, "__run").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    joined = runs.join(base.select(F.col(key).alias("__key"), F.col("v_int").alias("__base")), F.col(key) == F.col("__key"), "left")
-    began = F.max(F.when(F.col("op") == "put", F.col("operand"))).over(first)
-    origin = F.when(F.col("__run") == 0, F.col("__base")).otherwise(began)
-    added = F.sum(F.when(F.col("op") == "increment", F.col("operand"))).over(first)
-    answer = F.when(F.col("op") == "delete", F.lit(None).cast("bigint")).otherwise(F.when(added.isNull(), origin).otherwise(F.coalesce(origin, F.lit(0)) + added))
-    return joined.withColumn("answer", answer).drop("__run", "__key", "__base")
+    line = Line(operations, [key], [seq])
+    runs = line.running(line.rows, F.col("op").isin("put", "delete").cast("long"), "sum", "__run")
+    runs = line.running(runs, F.when(F.col("op") == "increment", F.col("operand")), "sum", "__added", keys=[key, "__run"])
+    began = runs.where(F.col("op") == "put").select(key, "__run", F.col("operand").alias("__origin"))
+    joined = lookup_join(lookup_join(runs, began, [key, "__run"]), base.select(key, F.col("v_int").alias("__base")), [key])
+    origin = F.when(F.col("__run") == 0, F.col("__base")).otherwise(F.col("__origin"))
+    answer = F.when(F.col("op") == "delete", F.lit(None).cast("bigint")).otherwise(F.when(F.col("__added").isNull(), origin).otherwise(F.coalesce(origin, F.lit(0)) + F.col("__added")))
+    return joined.withColumn("answer", answer).select(*operations.columns, "answer")
 
 
 def read_your_writes(committed: DataFrame, intents: DataFrame, reads: DataFrame, key: str = "key") -> DataFrame:

@@ -1,4 +1,10 @@
-"""Problem 5: references to records that do not exist."""
+"""Problem 5: references to records that do not exist.
+
+References are aggregated per key and period first: one row for all references of a field to a
+target in a month. These rows are checked against the targets, those of heavy targets by a
+broadcast, all others by a shuffled anti-join; both parts' counts are unioned. Single
+references are looked at again only in groups that hold orphans.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.skew import lookup_join
 from brindle.operators.versions import HYBRID, newest, order_of
+from brindle.sources.shared import work_dir
 
 #: A target that more rows than this refer to is heavy ...
 HEAVY_REFS = 10_000
@@ -57,29 +65,74 @@ def target_states(targets: DataFrame, id: str = "id", order: tuple[str, ...] = H
     return targets.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("target")).agg(F.max(version)["dropped"].alias("gone"), F.min(order_of(order)).alias("since"))
 
 
-def orphans(refs: list[Reference], targets: DataFrame, heavy_refs: int = HEAVY_REFS, order: tuple[str, ...] = HYBRID) -> DataFrame:
-    """Every reference to a target that is missing, dropped, or younger than the reference.
+#: What a group of references is: all of a table's field to one target in one month.
+GROUP = ["table_name", "field", "target", "__period"]
+
+
+@dataclass
+class Checked:
+    """References and the groups of them that hold orphans."""
+
+    refs: DataFrame  #: table_name, id, field, target, at, period, __period
+    groups: DataFrame  #: GROUP, reason, n_refs, since; reason is missing, dropped, later or mixed
+
+    def _mixed(self, kind: str, keep: list[str]) -> DataFrame:
+        bad = self.groups.where(F.col("reason") == "mixed" if kind == "mixed" else F.col("reason") != "mixed").select(*GROUP, "reason", "since")
+        rows = lookup_join(self.refs, bad, GROUP, "inner")
+        return rows.where(F.col("since") > F.col("at")).withColumn("reason", F.lit("later")).select(*keep) if kind == "mixed" else rows.select(*keep)
+
+    def rows(self) -> DataFrame:
+        """``table_name, id, field, period, target, reason`` of every orphan reference."""
+        keep = ["table_name", "id", "field", "period", "target", "reason"]
+        return self._mixed("whole", keep).unionByName(self._mixed("mixed", keep))
 
-    References are counted per target first (combined before the shuffle). Targets with more
-    than ``heavy_refs`` references, and more than one in MAX_HEAVY of all, are heavy: their
-    states, at most MAX_HEAVY rows, are broadcast to the references, which are not shuffled.
-    All other references meet the targets in a shuffle join, whose keys then have few rows
-    each. The two parts are disjoint and unioned.
+    def counts(self) -> DataFrame:
+        """``table_name, field, period, reason, n_refs, n_targets``, from the groups' counts.
+
+        Only groups of which a part is later than its target are counted reference by reference.
+        """
+        whole = self.groups.where(F.col("reason") != "mixed").select(*GROUP, "reason", "n_refs")
+        part = self._mixed("mixed", [*GROUP, "reason"]).groupBy(*GROUP, "reason").agg(F.count(F.lit(1)).alias("n_refs"))
+        # a group has one row here, so a target counts once in its table, field, period and reason
+        both = whole.unionByName(part).groupBy("table_name", "field", "__period", "reason").agg(F.sum("n_refs").alias("n_refs"), F.count(F.lit(1)).alias("n_targets"))
+        return both.select("table_name", "field", F.nullif("__period", F.lit("")).alias("period"), "reason", "n_refs", "n_targets")
+
+
+def check(refs: list[Reference], targets: DataFrame, heavy_refs: int = HEAVY_REFS, order: tuple[str, ...] = HYBRID) -> Checked:
+    """References to targets that are missing, dropped, or younger than the reference.
+
+    References are written once, then aggregated per table, field, target and period, with the
+    oldest and the newest of each group (combined before the shuffle). Targets with more than
+    ``heavy_refs`` references, and more than one in MAX_HEAVY of all, are heavy: their states,
+    at most MAX_HEAVY rows, are broadcast to the groups. All other groups meet the sound
+    targets in a shuffled anti-join, and only what is left meets the targets again, for the
+    reason. A group whose target is younger than its oldest but not its newest reference is
+    mixed. References without a period have a group of their own.
     """
-    all_refs = references(refs, order)
-    states = target_states(targets, order=order)
-    least = max(heavy_refs, all_refs.count() // MAX_HEAVY)
-    heavy = all_refs.groupBy("target").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select("target")
-    hot = heavy.join(states, "target", "left").select("target", "gone", "since")
+    spark = targets.sparkSession
+    at = work_dir(spark, "refs")
+    references(refs, order).withColumn("__period", F.coalesce("period", F.lit(""))).write.parquet(at)
+    written = spark.read.parquet(at)
+    grouped_at = work_dir(spark, "groups")
+    written.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_refs"), F.min("at").alias("first"), F.max("at").alias("last")).write.parquet(grouped_at)
+    groups, states = spark.read.parquet(grouped_at), target_states(targets, order=order)
+    least = max(heavy_refs, (groups.agg(F.sum("n_refs")).first()[0] or 0) // MAX_HEAVY)
+    heavy = groups.groupBy("target").agg(F.sum("n_refs").alias("__n")).where(F.col("__n") > least).select("target")
     # heavy has at most MAX_HEAVY rows
-    in_hot = all_refs.join(F.broadcast(hot), "target", "inner")
-    in_rest = all_refs.join(F.broadcast(heavy), "target", "left_anti").join(states.hint("shuffle_hash"), "target", "left")
-    bad = F.col("gone").isNull() | F.col("gone") | (F.col("since") > F.col("at"))
-    both = in_hot.unionByName(in_rest).where(bad)
-    reason = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "dropped").otherwise("later")
-    return both.select("table_name", "id", "field", "period", "target", reason.alias("reason"))
+    hot = groups.join(F.broadcast(heavy.join(states, "target", "left")), "target", "inner")
+    sound = states.where(~F.col("gone")).select(F.col("target").alias("__t"), F.col("since").alias("__since"))
+    rest = groups.join(F.broadcast(heavy), "target", "left_anti")
+    rest = rest.join(sound.hint("shuffle_hash"), (F.col("target") == F.col("__t")) & (F.col("__since") <= F.col("first")), "left_anti").join(states, "target", "left")
+    reason = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "dropped").when(F.col("since") > F.col("last"), "later").when(F.col("since") > F.col("first"), "mixed")
+    checked = hot.unionByName(rest).withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return Checked(written, checked.select(*GROUP, "reason", "n_refs", "since"))
+
+
+def orphans(refs: list[Reference], targets: DataFrame, heavy_refs: int = HEAVY_REFS, order: tuple[str, ...] = HYBRID) -> DataFrame:
+    """Every orphan reference: ``table_name, id, field, period, target, reason``; see ``check``."""
+    return check(refs, targets, heavy_refs, order).rows()
 
 
-def orphan_counts(found: DataFrame) -> DataFrame:
-    """Orphans per table, field, period and reason."""
-    return found.groupBy("table_name", "field", "period", "reason").agg(F.count(F.lit(1)).alias("n_refs"), F.countDistinct("target").alias("n_targets"))
+def orphan_counts(refs: list[Reference], targets: DataFrame, heavy_refs: int = HEAVY_REFS, order: tuple[str, ...] = HYBRID) -> DataFrame:
+    """Orphans per table, field, period and reason; see ``check``."""
+    return check(refs, targets, heavy_refs, order).counts()

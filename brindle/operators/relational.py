@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.operators.skew import Line
 from brindle.operators.versions import order_of
+from brindle.sources.shared import work_dir
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: int, on: Sequence[str] = (), how: str = "inner", closed: bool = False) -> DataFrame:
@@ -34,16 +36,16 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: s
 def asof_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, on: Sequence[str], take: Sequence[str]) -> DataFrame:
     """Each left row with ``take`` of the latest right row of the same ``on`` not after it.
 
-    One shuffle for both sides: they are put in one line per key, and the last right row so
-    far is carried along. Of right rows at the same time the greatest values count. Left rows
-    without a match, key or time get nulls and stay.
+    Both sides are put in one line by key and time, cut into ranges (a hot key is many tasks'
+    work), and the last right row so far is carried along. Of right rows at the same time the
+    greatest values count. Left rows without a match, key or time get nulls and stay.
     """
     on = list(on)
     newest = right.where(F.col(right_at).isNotNull()).groupBy(*on, right_at).agg(F.max(F.struct(*take)).alias("__take"))
     a = left.select(*on, F.col(left_at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(newest.schema["__take"].dataType).alias("__take"))
     b = newest.select(*on, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), "__take")
-    line = W.partitionBy(*on).orderBy(F.col("__at").asc_nulls_first(), "__side").rowsBetween(W.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn("__last", F.last("__take", ignorenulls=True).over(line)).where("__side = 1")
+    line = Line(a.unionByName(b), on, ["__at", "__side"])
+    carried = line.running(line.rows, F.col("__take"), "last", "__last").where("__side = 1")
     whole = F.lit(True)
     for c in on:
         whole = whole & F.col(c).isNotNull()
@@ -63,33 +65,62 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int
     return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
+def _joined(line: Line, rows: DataFrame, fresh: Column, start: str, end: str, keep: Sequence[Column] = ()) -> DataFrame:
+    """One row per run of rows of a line, a run beginning at each ``fresh`` row."""
+    numbered = line.running(rows, F.when(fresh, 1).otherwise(0), "sum", "__island")
+    return numbered.groupBy(*line.keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), *keep).drop("__island")
+
+
 def merge_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Disjoint half-open spans that cover the same points; touching spans become one."""
-    by = W.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
-    good = spans.where(F.col(start) < F.col(end)).withColumn("__before", before)
-    island = F.sum(F.when(F.col(start) <= F.col("__before"), 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0))
-    return good.withColumn("__island", island).groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+    line = Line(spans.where(F.col(start) < F.col(end)).select(*keys, start, end), keys, [start, end])
+    rows = line.running(line.rows, F.col(end), "max", "__before", inclusive=False)
+    return _joined(line, rows, ~F.coalesce(F.col(start) <= F.col("__before"), F.lit(False)), start, end)
 
 
 def split_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str, stamp: Sequence[str]) -> DataFrame:
     """Disjoint spans, each with the greatest ``stamp`` of the spans that cover it.
 
-    The line of a key is cut at every start and end; each piece then takes the maximum over
-    the spans that hold it. Neighbouring pieces with equal stamps are joined again.
+    A key's line is cut at every start and end and its pieces are numbered. Numbers stand in a
+    binary tree: a span covers whole subtrees, at most two a level, and a piece lies in one
+    subtree of each level. So n spans meet their pieces in about n log n rows joined by equal
+    subtrees, however many spans cover a piece and however many pieces a span covers.
+    Neighbouring pieces with equal stamps are joined again.
     """
     keys = list(keys)
     good = spans.where(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("s"), F.col(end).alias("e"), order_of(stamp).alias("stamp"))
-    cuts = good.select(*keys, F.explode(F.array("s", "e")).alias("at")).distinct()
-    nxt = F.lead("at").over(W.partitionBy(*keys).orderBy("at"))
-    pieces = cuts.withColumn("to", nxt).where(F.col("to").isNotNull())
-    g = good.select(*(F.col(k).alias(f"__{k}") for k in keys), "s", "e", "stamp")
-    inside = (F.col("at") >= F.col("s")) & (F.col("to") <= F.col("e"))
-    for k in keys:
-        inside = inside & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    held = pieces.join(g, inside).groupBy(*keys, "at", "to").agg(F.max("stamp").alias("stamp"))
-    by = W.partitionBy(*keys).orderBy("at")
-    fresh = F.when((F.lag("to").over(by) == F.col("at")) & F.lag("stamp").over(by).eqNullSafe(F.col("stamp")), 0).otherwise(1)
-    grouped = held.withColumn("__new", fresh).withColumn("__island", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    out = grouped.groupBy(*keys, "__island").agg(F.min("at").alias(start), F.max("to").alias(end), F.max("stamp").alias("stamp"))
-    return out.select(*keys, start, end, *(F.col(f"stamp.o{i}").alias(c) for i, c in enumerate(stamp)))
+    cuts = Line(good.select(*keys, F.explode(F.array("s", "e")).alias("at")).distinct(), keys, ["at"])
+    numbered_at = work_dir(spans.sparkSession, "cuts")
+    cuts.running(cuts.rows, F.lit(1).cast("long"), "sum", "__n").write.parquet(numbered_at)
+    numbered = spans.sparkSession.read.parquet(numbered_at)
+    levels = max(1, int(numbered.agg(F.max("__n")).first()[0] or 1).bit_length())
+
+    def place(df: DataFrame, at: str, name: str) -> DataFrame:
+        there = numbered.select(*(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)), F.col("at").alias("__at"), F.col("__n").alias(name))
+        on = F.col(at) == F.col("__at")
+        for i, k in enumerate(keys):
+            on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+        return df.join(there, on).drop("__at", *(f"__k{i}" for i in range(len(keys))))
+
+    # one row per pair of bounds, with its greatest stamp
+    bounds = place(place(good.groupBy(*keys, "s", "e").agg(F.max("stamp").alias("stamp")), "s", "__a"), "e", "__b")
+    level = bounds.select(*keys, "stamp", "__a", "__b", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__l"))
+    low, high = "shiftright(__a + shiftleft(1L, __l) - 1, __l)", "shiftright(__b, __l)"
+    ends = level.selectExpr(*(f"`{k}`" for k in keys), "stamp", "__l", f"filter(array(if({low} & 1 = 1, {low}, NULL), if({high} & 1 = 1, {high} - 1, NULL)), x -> x IS NOT NULL AND {low} < {high}) AS __nodes")
+    nodes = ends.select(*keys, "__l", F.explode("__nodes").alias("__i"), "stamp").groupBy(*keys, "__l", "__i").agg(F.max("stamp").alias("stamp"))
+    pieces = numbered.select(*keys, "at", F.col("__n").alias("__i0"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__l")).withColumn("__i", F.expr("shiftright(__i0, __l)"))
+    on = (F.col("__l") == F.col("__nl")) & (F.col("__i") == F.col("__ni"))
+    for i, k in enumerate(keys):
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+    named = nodes.select(*(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__l").alias("__nl"), F.col("__i").alias("__ni"), "stamp")
+    held = pieces.join(named, on).groupBy(*keys, "at", "__i0").agg(F.max("stamp").alias("stamp"))
+    follows = numbered.select(*keys, F.col("at").alias("to"), (F.col("__n") - 1).alias("__j"))
+    same = F.col("__i0") == F.col("__j")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+    whole = held.join(follows.select("to", "__j", *(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys))), same).select(*keys, "at", "to", "stamp")
+    line = Line(whole, keys, ["at"])
+    rows = line.running(line.rows, F.struct("to", "stamp"), "last", "__before", inclusive=False)
+    goes_on = F.coalesce((F.col("__before.to") == F.col("at")) & F.col("__before.stamp").eqNullSafe(F.col("stamp")), F.lit(False))
+    out = _joined(line, rows, ~goes_on, "at", "to", [F.max("stamp").alias("stamp")])
+    return out.select(*keys, F.col("at").alias(start), F.col("to").alias(end), *(F.col(f"stamp.o{i}").alias(c) for i, c in enumerate(stamp)))

@@ -120,23 +120,27 @@ def p4_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(F.countDistinct("file_uri").alias("n_files"), F.count(F.lit(1)).alias("n_entries"), F.sum("entry_bytes").cast("long").alias("entry_bytes"))
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _references(spark: SparkSession, sf_dir: str) -> tuple[list[Reference], DataFrame]:
     metas, tables = table(spark, sf_dir, "descriptor_metas"), table(spark, sf_dir, "table_descriptors")
-    refs = [Reference("descriptor_metas", metas, "parent_id"), Reference("descriptor_metas", metas, "database_id"), Reference("table_descriptors", tables, "schema_id")]
-    return orphans(refs, metas)
+    return [Reference("descriptor_metas", metas, "parent_id"), Reference("descriptor_metas", metas, "database_id"), Reference("table_descriptors", tables, "schema_id")], metas
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reference to a descriptor that is missing, dropped or later."""
-    return _orphans(spark, sf_dir).select("table_name", "id", "field", "period")
+    return orphans(*_references(spark, sf_dir)).select("table_name", "id", "field", "period")
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans per table, field, month and reason."""
-    return orphan_counts(_orphans(spark, sf_dir))
+    return orphan_counts(*_references(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_current_table, p3_found, p3_unique, p3_malformed, p3_ranges, p3_large_ids, p4_found, p4_compacted, p4_entries, p5_found, p5_report)}
+def p5_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report where every target with more than 20 references counts as heavy."""
+    return orphan_counts(*_references(spark, sf_dir), heavy_refs=20)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_current_table, p3_found, p3_unique, p3_malformed, p3_ranges, p3_large_ids, p4_found, p4_compacted, p4_entries, p5_found, p5_report, p5_heavy)}
 
 _COMMITTED = """committed AS (
   SELECT log_name, log_position FROM (
@@ -214,3 +218,4 @@ SELECT shard_id, count(DISTINCT l.file_uri) AS n_files, count(*) AS n_entries, C
     "p5_found": f"""{_ORPHANS} SELECT table_name, id, field, period FROM bad WHERE reason IS NOT NULL""",
     "p5_report": f"""{_ORPHANS} SELECT table_name, field, period, reason, count(*) AS n_refs, count(DISTINCT target) AS n_targets FROM bad WHERE reason IS NOT NULL GROUP BY ALL""",
 }
+ORACLE["p5_heavy"] = ORACLE["p5_report"]

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators.skew import Line, lookup_join
 from brindle.operators.versions import newest
 from brindle.sources.shared import work_dir
 from brindle.sources.tables import table
-from brindle.streaming.logs import FileLog, accept, accept_stream, compact_versions, follower_can_read, hybrid_clock, push_late, replay
+from brindle.streaming.logs import FileLog, accept, accept_stream, accepted_rows, compact_versions, follower_can_read, hybrid_clock, push_late, replay
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored messages as a log: position, epoch, sequence."""
+    """All stored messages with an identity and a place, as a log: position, epoch, sequence."""
     m = table(spark, sf_dir, "data_messages").where("epoch IS NOT NULL AND sequence IS NOT NULL AND log_offset IS NOT NULL")
-    # one message a position
-    return m.groupBy(F.col("log_name").alias("log"), F.col("log_offset").alias("position")).agg(F.min(F.struct("epoch", "sequence")).alias("m")).select("log", "position", "m.epoch", "m.sequence")
+    return m.select(F.col("log_name").alias("log"), F.col("log_offset").alias("position"), "epoch", "sequence")
 
 
 def log_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,17 +24,24 @@ def log_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fenced acceptance as a stream with state, over a made log in three deliveries."""
+    """Fenced acceptance as a stream with state: all stored messages, in four deliveries.
+
+    Each log is read from its first gap on in a log of its own, as a gap ends a stream.
+    """
     root = work_dir(spark, "accept")
-    rows = [[("a", 1, 1, 1), ("a", 2, 1, 2), ("b", 1, 5, 7)], [("a", 3, 1, 2), ("a", 4, 2, 1), ("b", 2, 5, 8)], [("a", 5, 1, 3), ("a", 6, 2, 2), ("b", 3, 6, 1)]]
+    line = Line(accept(_log(spark, sf_dir)), ["log"], ["position"])
+    cut = line.running(line.rows, F.when(F.col("verdict") == "gap", 1).otherwise(0), "sum", "__gaps")
     schema = spark.createDataFrame([], "log string, position bigint, epoch bigint, sequence bigint").schema
+    rows = cut.withColumn("log", F.concat_ws("/", "log", "__gaps")).select(*schema.names)
+    last = rows.groupBy("log").agg(F.max("position").alias("__last"), F.min("position").alias("__first"))
+    quarter = F.floor((F.col("position") - F.col("__first")) * 4 / (F.col("__last") - F.col("__first") + 1))
+    staged = work_dir(spark, "messages")
+    lookup_join(rows, last, ["log"]).withColumn("__q", quarter).select(*schema.names, "__q").write.partitionBy("__q").parquet(staged)
     log = FileLog(spark, f"{root}/log", schema)
-    for batch in rows:
-        log.append(spark.createDataFrame(batch, schema).coalesce(1))
-    out = accept_stream(log.stream(max_files=1).select(*schema.names))
-    query = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{root}/out")
+    for q in range(4):
+        log.append(spark.read.parquet(staged).where(F.col("__q") == q))
+        accept_stream(log.stream().select(*schema.names), root)
+    return accepted_rows(spark, root, schema).groupBy("log").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last"))
 
 
 _KEYS, _ORDER = ["user_id"], ["event_id"]
@@ -114,10 +120,39 @@ def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of users with a gap of six hours, as a batch plan of the same operator."""
-    e = table(spark, sf_dir, "events")
-    s = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("began"), "n")
+    """Sessions of users with a gap of six hours, as a stream: a session is put out once the
+    watermark has passed its end, so an empty last batch with a late clock ends them all."""
+    root = work_dir(spark, "session")
+    e = table(spark, sf_dir, "events").select("user_id", "ts")
+    e.write.parquet(f"{root}/in")
+    stream = lambda: spark.readStream.schema(e.schema).parquet(f"{root}/in").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour").groupBy("user_id", F.session_window("at", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    _drain(stream(), root, "append")
+    end = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("user_id"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"))
+    end.write.mode("append").parquet(f"{root}/in")
+    out = _drain(stream(), root, "append")
+    return out.where("user_id >= 0").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("began"), "n")
+
+
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases joined with the user's clicks of the hour before, both as streams with watermarks."""
+    def side(kind: str, prefix: str) -> DataFrame:
+        e = _event_stream(spark, sf_dir).where(F.col("event_type") == kind)
+        return e.select(F.col("user_id").alias(f"{prefix}_user"), F.col("event_id").alias(f"{prefix}_id"), F.col("ts").cast("timestamp").alias(f"{prefix}_at")).withWatermark(f"{prefix}_at", "2 hours")
+
+    on = F.expr("p_user = c_user AND c_at <= p_at AND c_at >= p_at - INTERVAL 1 HOUR")
+    return _drain(side("purchase", "p").join(side("click", "c"), on).select("p_id", "c_id"), work_dir(spark, "join"), "append")
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events an hour with a watermark: what comes in a later batch behind it is left out."""
+    root = work_dir(spark, "late")
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    hour = lambda: spark.readStream.schema(e.schema).parquet(f"{root}/in").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    # all events, then all of them again, thirty days late against the watermark, and one to close
+    for part in (e, e.withColumn("ts", F.col("ts") + F.expr("interval 90 days")), e):
+        part.write.mode("append").parquet(f"{root}/in")
+        out = _drain(hour(), root, "append")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "n").where("hour < timestamp_ntz'2024-03-15 00:00:00'")
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,24 +162,26 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pandas_udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vectorised user function, for what built-in functions can't express."""
+    """A vectorised user function for what no built-in gives: texts without their accents."""
+    from brindle.functions.udfs import register_udfs
 
-    @F.pandas_udf("double")
-    def scaled(v: pd.Series) -> pd.Series:
-        return v * 2.0
+    register_udfs(spark)
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr("pg_unaccent(text)").alias("plain"))
 
-    return table(spark, sf_dir, "supplier").select("s_suppkey", scaled("s_acctbal").alias("twice"))
 
-
-_ALL = (log_accept, log_dedupe_stream, log_replay, compaction_snapshot, file_log_trim, hlc_order, closed_ts_late, follower_read, stream_window, stream_session, stream_dedupe, pandas_udf_scalar)
+_ALL = (log_accept, log_dedupe_stream, log_replay, compaction_snapshot, file_log_trim, hlc_order, closed_ts_late, follower_read, stream_window, stream_session, stream_join, stream_late, stream_dedupe, pandas_udf_scalar)
 QUERIES = {f.__name__: f for f in _ALL}
 
+#: The verdict on each message by windows over whole logs.
+_VERDICTS = """WITH l AS (SELECT log_name AS log, log_offset AS position, epoch, sequence FROM data_messages WHERE epoch IS NOT NULL AND sequence IS NOT NULL AND log_offset IS NOT NULL),
+      c AS (SELECT *, max(epoch) OVER (PARTITION BY log ORDER BY position, epoch, sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cur,
+        max(sequence) OVER (PARTITION BY log, epoch ORDER BY position, epoch, sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM l),
+      v AS (SELECT *, CASE WHEN cur IS NULL OR epoch > cur THEN 'accept' WHEN epoch < cur THEN 'skip' WHEN sequence <= prev THEN 'skip' WHEN sequence = prev + 1 THEN 'accept' ELSE 'gap' END AS verdict FROM c)"""
+
 ORACLE = {
-    "log_accept": """WITH m AS (SELECT log_name AS log, log_offset AS position, min((epoch, sequence)) AS es FROM data_messages WHERE epoch IS NOT NULL AND sequence IS NOT NULL AND log_offset IS NOT NULL GROUP BY ALL),
-      l AS (SELECT log, position, es[1] AS epoch, es[2] AS sequence FROM m), c AS (SELECT *, max(epoch) OVER (PARTITION BY log ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cur,
-        max(sequence) OVER (PARTITION BY log, epoch ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM l)
-      SELECT log, CASE WHEN cur IS NULL OR epoch > cur THEN 'accept' WHEN epoch < cur THEN 'skip' WHEN sequence <= prev THEN 'skip' WHEN sequence = prev + 1 THEN 'accept' ELSE 'gap' END AS verdict, count(*) AS n FROM c GROUP BY ALL""",
-    "log_dedupe_stream": "SELECT * FROM (VALUES ('a', 1, 1, 1), ('a', 2, 1, 2), ('b', 1, 5, 7), ('a', 4, 2, 1), ('b', 2, 5, 8), ('a', 6, 2, 2), ('b', 3, 6, 1)) t(log, position, epoch, sequence)",
+    "log_accept": f"""{_VERDICTS} SELECT log, verdict, count(*) AS n FROM v GROUP BY ALL""",
+    "log_dedupe_stream": f"""{_VERDICTS}, g AS (SELECT *, sum(CASE WHEN verdict = 'gap' THEN 1 ELSE 0 END) OVER (PARTITION BY log ORDER BY position, epoch, sequence ROWS UNBOUNDED PRECEDING) AS gaps FROM v)
+      SELECT log || '/' || CAST(gaps AS bigint) AS log, count(*) AS n, max(position) AS last FROM g WHERE verdict <> 'skip' GROUP BY ALL""",
     "log_replay": "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "compaction_snapshot": "SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id",
     "file_log_trim": "SELECT * FROM (VALUES (2, CAST(8 AS bigint), 'read'), (3, 8, 'read'), (3, 8, 'trimmed')) t(batch, n, stage)",
@@ -156,6 +193,8 @@ ORACLE = {
     "stream_window": "SELECT date_trunc('day', ts)::timestamp AS day, count(*) AS n FROM events GROUP BY 1",
     "stream_session": """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
       SELECT user_id, min(ts) AS began, count(*) AS n FROM s GROUP BY user_id, k""",
+    "stream_join": "SELECT p.event_id AS p_id, c.event_id AS c_id FROM events p JOIN events c ON p.user_id = c.user_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND c.event_type = 'click'",
+    "stream_late": "SELECT CAST(date_trunc('hour', ts) AS timestamp) AS hour, count(*) AS n FROM events GROUP BY 1",
     "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
-    "pandas_udf_scalar": "SELECT s_suppkey, s_acctbal * 2.0 AS twice FROM supplier",
+    "pandas_udf_scalar": "SELECT doc_id, strip_accents(text) AS plain FROM documents",
 }

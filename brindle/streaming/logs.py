@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.operators.skew import running_max_before
+from brindle.operators.skew import Line, running_max_before
 from brindle.operators.versions import newest
-from brindle.sources.shared import ship_code
 
 
 def accept(messages: DataFrame, log: str = "log", position: str = "position", epoch: str = "epoch", sequence: str = "sequence") -> DataFrame:
@@ -20,11 +17,13 @@ def accept(messages: DataFrame, log: str = "log", position: str = "position", ep
 
     A higher epoch is accepted with any sequence. In the epoch of the last accepted message
     the next sequence is accepted, a lower or equal one skipped, and a greater one is a gap,
-    after which the log can't be read on. A lower epoch is skipped. All from running maxima:
-    within an epoch that is current, the greatest sequence so far is the last accepted one.
+    after which the log can't be read on. A lower epoch is skipped. Messages at one position are taken
+    by epoch and sequence. All from running maxima: within an epoch that is current, the greatest sequence so far is the last accepted one.
     """
-    rows = running_max_before(messages, [log], position, epoch, "__current")
-    rows = running_max_before(rows, [log, epoch], position, sequence, "__last")
+    line = Line(messages, [log], [position, epoch, sequence])
+    rows = line.running(line.rows, F.col(epoch), "max", "__current", inclusive=False)
+    # epochs of a log may interleave along its line, which a range and key's one row allows for
+    rows = line.running(rows, F.col(sequence), "max", "__last", keys=[log, epoch], inclusive=False).select(*messages.columns, "__current", "__last")
     verdict = (
         F.when(F.col("__current").isNull() | (F.col(epoch) > F.col("__current")), "accept")
         .when(F.col(epoch) < F.col("__current"), "skip")
@@ -39,36 +38,49 @@ class GapError(RuntimeError):
     """A log lacks a message."""
 
 
-def accept_stream(stream: DataFrame, log: str = "log", position: str = "position", epoch: str = "epoch", sequence: str = "sequence") -> DataFrame:
-    """The accepted messages of a stream, with the last (epoch, sequence) of each log as state.
+def accept_stream(stream: DataFrame, root: str, log: str = "log", position: str = "position", epoch: str = "epoch", sequence: str = "sequence") -> int:
+    """Runs the acceptance of a stream to its end; ``accepted_rows`` reads what it let through.
 
-    Messages of one log in a micro-batch are taken in order of ``position``. A gap fails the
-    query, so nothing behind it is taken: state and output of that batch are not committed.
+    The state is the last accepted (epoch, sequence) of each log: one row a log, written by
+    micro-batch. A micro-batch is judged by ``accept`` behind the state's rows, so a log with a
+    third of all rows is the work of many tasks. Rows, and the state after them, go into
+    folders named by the batch, which a repeated batch overwrites. A gap fails the query, so
+    nothing of that batch is taken. Returns the id of the last batch (-1: none).
     """
-    ship_code(stream.sparkSession)
-    out = T.StructType([stream.schema[c] for c in (log, position, epoch, sequence)])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(position)
-        kept = []
-        for r in rows[[log, position, epoch, sequence]].itertuples(index=False):
-            if last is None or r[2] > last[0]:
-                take = True
-            elif r[2] < last[0] or r[3] <= last[1]:
-                take = False
-            elif r[3] == last[1] + 1:
-                take = True
-            else:
-                raise GapError(f"log {key[0]}: sequence {r[3]} follows {last[1]} in epoch {r[2]}")
-            if take:
-                last = (int(r[2]), int(r[3]))
-                kept.append(r)
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(kept, columns=[log, position, epoch, sequence])
-
-    return stream.groupBy(log).applyInPandasWithState(step, out, "epoch long, sequence long", "append", "NoTimeout")
+    spark, columns = stream.sparkSession, [log, position, epoch, sequence]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state/batch={batch_id - 1}")
+        known = spark.read.parquet(at.toString()) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+        rows = batch.select(*columns)
+        if known is not None:
+            # the state stands before a log's first new position
+            first = rows.groupBy(log).agg(F.min(position).alias("__first"))
+            seed = first.join(known, log).select(log, (F.col("__first") - 1).alias(position), epoch, sequence)
+            rows = rows.withColumn("__new", F.lit(True)).unionByName(seed.withColumn("__new", F.lit(False)))
+        else:
+            rows = rows.withColumn("__new", F.lit(True))
+        judged_at = f"{root}/judged/batch={batch_id}"
+        accept(rows, log, position, epoch, sequence).write.mode("overwrite").parquet(judged_at)
+        judged = spark.read.parquet(judged_at)
+        gap = judged.where("verdict = 'gap'").orderBy(log, position).limit(1).collect()
+        if gap:
+            r = gap[0]
+            raise GapError(f"log {r[log]}: sequence {r[sequence]} at {r[position]} leaves a gap in epoch {r[epoch]}")
+        new = judged.where("verdict = 'accept' AND __new").select(*columns)
+        new.write.mode("overwrite").parquet(f"{root}/accepted/batch={batch_id}")
+        last = new.select(log, epoch, sequence) if known is None else new.select(log, epoch, sequence).unionByName(known.select(log, epoch, sequence))
+        last.groupBy(log).agg(F.max(F.struct(epoch, sequence)).alias("s")).select(log, f"s.{epoch}", f"s.{sequence}").write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(step).trigger(availableNow=True).start()
+    query.awaitTermination()
+    progress = query.lastProgress
+    return progress["batchId"] if progress else -1
+
+
+def accepted_rows(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
+    """All rows that ``accept_stream`` has let through under ``root``."""
+    return spark.read.schema(schema).parquet(f"{root}/accepted")
 
 
 def replay(snapshot: DataFrame, log: DataFrame, keys: Sequence[str], order: Sequence[str], after: Column, upto: Column) -> DataFrame:
@@ -89,10 +101,11 @@ def hybrid_clock(rows: DataFrame, wall: str, at: str, partition: Sequence[str] =
     """Strictly growing times in the order of ``at``: ``hlc_wall`` is the greatest wall time so
     far, ``hlc_logical`` counts the rows since it last grew."""
     keys = list(partition)
-    ran = running_max_before(rows, keys, at, wall, "__before")
-    high = ran.withColumn("hlc_wall", F.greatest("__before", wall)).drop("__before")
-    count = F.row_number().over(W.partitionBy(*keys, "hlc_wall").orderBy(at)) - 1
-    return high.withColumn("hlc_logical", count.cast("bigint"))
+    line = Line(rows, keys, [at])
+    high = line.running(line.rows, F.col(wall), "max", "hlc_wall")
+    # the greatest time never falls along the line, so its rows stay together
+    count = line.running(high, F.lit(1).cast("long"), "sum", "hlc_logical", keys=[*keys, "hlc_wall"])
+    return count.withColumn("hlc_logical", F.col("hlc_logical") - 1).select(*rows.columns, "hlc_wall", "hlc_logical")
 
 
 def push_late(writes: DataFrame, ts: str, arrival: str, lag: int, partition: Sequence[str] = ()) -> DataFrame:

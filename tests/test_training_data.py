@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brindle.operators.compaction import Compactor, current_files, pack, small_files
-from brindle.operators.dedupe import BLOCK, Deduper, covered, dedupe, merge_ranges
+from brindle.operators.dedupe import BLOCK, MERGE_EVERY, Deduper, Message, covered, dedupe, merge_ranges
 from brindle.operators.incremental import IncrementalRun, committed_positions
 from brindle.operators.orphans import Reference, month, orphan_counts, orphans
 from brindle.operators.skew import lookup_join, running_max_before
@@ -94,6 +94,25 @@ def test_upper_limit_is_fixed_when_a_run_starts(spark, tmp_path):
     assert upper == {"a": 1}
 
 
+def test_a_second_run_reads_the_new_files_only(spark, tmp_path):
+    at, run = str(tmp_path / "log"), IncrementalRun(spark, work_dir(spark, "t1"))
+    old = [("a", i, 1, 1, i, "write", None) for i in range(300)] + [("b", None, 2, 1, 7, "write", None), ("b", 3, None, 1, 9, "write", None)]
+    spark.createDataFrame(old, MSG).coalesce(1).write.parquet(at)
+    run.commit(run.plan(spark.read.schema(MSG).parquet(at)))
+    # two new records, copies of old ones at later places, and an old place that comes late
+    news = [("a", 300, 1, 1, 300, "write", None), ("a", 301, 1, 1, 5, "write", None), ("b", 4, None, 1, 9, "write", None), ("b", 9, 2, 1, 7, "write", None), ("c", 1, 3, 1, 1, "write", None), ("a", 2, 1, 1, 777, "write", None)]
+    spark.createDataFrame(news, MSG).coalesce(1).write.mode("append").parquet(at)
+    whole = spark.read.schema(MSG).parquet(at)
+    pending = run.plan(whole)
+    assert len(whole.inputFiles()) == 2 and len(pending.files) == 1
+    assert run._unread(whole, run.table.read())[0].count() == len(news)
+    assert sorted((r.tablet_id, r.sequence) for r in pending.rows.collect()) == [(1, 300), (3, 1)]
+    run.commit(pending)
+    again = run.plan(spark.read.schema(MSG).parquet(at))
+    assert again.files == {} and again.rows.count() == 0
+    assert dict(map(tuple, run.committed().collect())) == {"a": 301, "b": 9, "c": 1}
+
+
 def test_two_runs_at_once_conflict(spark):
     run = IncrementalRun(spark, work_dir(spark, "t1"))
     messages = spark.createDataFrame([("a", 1, 1, 1, 1, "write", None)], MSG)
@@ -231,6 +250,45 @@ def test_deliveries_with_kept_state(spark):
     assert [r.copies for r in job.complete().where("epoch = 1 AND sequence = 2").collect()] == ["late"]  # the fuller copy
 
 
+def test_numbers_of_all_64_bits_are_exact(spark):
+    ids = [(1 << 62) - 2, (1 << 62) - 1, 1 << 62, (1 << 53) - 1, (1 << 53) + 1, (1 << 63) - 1, -(1 << 63), -1]
+    got = merge_ranges(spark.createDataFrame([(1, n, n) for n in ids], "p bigint, lo bigint, hi bigint"), ["p"])
+    assert sorted((r.lo, r.hi) for r in got.collect()) == sorted([((1 << 62) - 2, 1 << 62), ((1 << 53) - 1, (1 << 53) - 1), ((1 << 53) + 1, (1 << 53) + 1), ((1 << 63) - 1, (1 << 63) - 1), (-(1 << 63), -(1 << 63)), (-1, -1)])
+    job = Deduper(spark, work_dir(spark, "t3"))
+    rows = spark.createDataFrame([(1, 1, n, "write", None) for n in ids], ID)
+    job.deliver(rows)
+    job.deliver(rows)
+    assert job.accepted().count() == len(ids) == job.repeated().count()
+
+
+def test_malformed_rows_of_another_fetch_are_the_same(spark):
+    schema = ID + ", fetch_id bigint, arrived_at bigint"
+    m = Message(delivery=("fetch_id", "arrived_at"))
+    job = Deduper(spark, work_dir(spark, "t3"), m)
+    job.deliver(spark.createDataFrame([(None, 1, 1, "write", "x", 1, 10), (None, 1, 1, "write", "x", 1, 11), (1, 1, 7, None, None, 1, 12)], schema))
+    job.deliver(spark.createDataFrame([(None, 1, 1, "write", "x", 2, 20), (None, 1, 1, "batch", "x", 2, 20), (1, 1, 7, "write", None, 2, 21)], schema))
+    kept = job.accepted().collect()
+    assert sorted(r.operation or "" for r in kept if r.tablet_id is None) == ["batch", "write"] and len(kept) == 3
+    assert [r.operation for r in job.complete().where("sequence = 7").collect()] == ["write"]
+
+
+def test_columns_that_belong_together_come_from_one_copy(spark):
+    rows = spark.createDataFrame([(1, 1, 1, None, 5, 6), (1, 1, 1, "a", None, None), (1, 1, 1, "b", 9, None)], "tablet_id bigint, epoch bigint, sequence bigint, v string, s bigint, n int")
+    one = dedupe(rows, Message(together=(("s", "n"),))).accepted.first()
+    assert (one.s, one.n) in ((5, 6), (9, None)) and one.v == "b"
+
+
+def test_many_deliveries_merge_their_state(spark):
+    job = Deduper(spark, work_dir(spark, "t3"))
+    for k in range(MERGE_EVERY + 2):
+        job.deliver(spark.createDataFrame([(1, 1, n, "write", None) for n in (k, 2 * k, 100)] + [(None, k % 2, 1, "write", None)], ID))
+    seen = {n for k in range(MERGE_EVERY + 2) for n in (k, 2 * k)} | {100}
+    assert sorted(r.sequence for r in job.accepted().where("tablet_id = 1").collect()) == sorted(seen)
+    assert sorted(n for r in job.ranges().collect() for n in range(r.lo, r.hi + 1)) == sorted(seen)
+    assert job.accepted().where("tablet_id IS NULL").count() == 2
+    assert len(job.table.read()["ranges"]) < MERGE_EVERY
+
+
 def test_dedupe_of_nothing(spark):
     out = dedupe(spark.createDataFrame([], ID))
     assert out.accepted.count() == out.repeated.count() == out.ranges.count() == 0
@@ -256,9 +314,14 @@ def test_small_files_by_latest_complete_listing(spark):
 def test_bins_hold_about_the_target_and_all_files(spark):
     rows = [listing(f"f{i}", i % 2, 100 + i) for i in range(500)]
     files = small_files(spark.createDataFrame(rows, META))
-    bins = pack(files, 5000).groupBy("shard_id", "bin").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    bins = pack(files, 5000).groupBy("grp", "bin").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     assert sum(b.n for b in bins) == 500
-    assert max(b.s for b in bins) < 5000 + 600 and len(bins) <= sum(b.s for b in bins) // 5000 + 4
+    assert max(b.s for b in bins) < 2 * 5000 and len(bins) <= sum(b.s for b in bins) // 5000 + 4
+    # shards far below the target share files
+    many = small_files(spark.createDataFrame([listing(f"f{i}", i % 200, 100) for i in range(400)], META))
+    packed = pack(many, 5000)
+    assert packed.select("grp", "bin").distinct().count() <= 400 * 100 // 5000 + 1
+    assert packed.groupBy("shard_id").agg(F.countDistinct("grp", "bin").alias("n")).where("n > 1").count() == 0
 
 
 def test_rewrite_keeps_every_entry_once_and_detects_conflicts(spark):
@@ -300,7 +363,8 @@ def test_second_rewrite_replaces_its_shards_and_repeats_nothing(spark):
     assert packed() == of("abcdef")
     assert sorted(r.file_uri for r in job.untouched().collect()) == ["alone", "lone"]
     owners = spark.read.parquet(job.table.read()["owners"]).collect()
-    assert sorted(r.shard_id for r in owners) == [1, 2] and len({r.part for r in owners}) == 2
+    # both shards lay in the one group that shard 1 touched: it was replaced whole
+    assert sorted(r.shard_id for r in owners) == [1, 2] and len({r.part for r in owners}) == 1
     assert sorted({r.file_uri for r in job.entries(first).collect()}) == list("abcd")
     # nothing new: an empty plan, the same entries
     again = job.plan(spark.createDataFrame(both, META))
@@ -308,6 +372,20 @@ def test_second_rewrite_replaces_its_shards_and_repeats_nothing(spark):
     assert packed() == of("abcdef") and job.all_entries(entries).count() == len(rows)
 
 
+def test_only_touched_groups_are_replaced(spark):
+    old = [listing(f"{s}{k}", s, 40) for s in range(8) for k in range(2)]
+    more = [listing(f"n{k}", 3, 40, at="2024-02-01") for k in range(2)]
+    entries = spark.createDataFrame([(r[0], n, f"k{n}", 5, None) for r in [*old, *more] for n in (0, 1)], ENTRY)
+    job = Compactor(spark, work_dir(spark, "t4"), target_bytes=160)
+    job.rewrite(job.plan(spark.createDataFrame(old, META)), entries)
+    before = {r.shard_id: (r.part, r.grp) for r in spark.read.parquet(job.table.read()["owners"]).collect()}
+    job.rewrite(job.plan(spark.createDataFrame([*old, *more], META)), entries)
+    after = {r.shard_id: (r.part, r.grp) for r in spark.read.parquet(job.table.read()["owners"]).collect()}
+    assert {s for s in after if after[s] != before[s]} == {s for s in before if before[s] == before[3]}
+    assert job.table.read()["parts"][before[3][0]] == [before[3][1]]
+    assert sorted((r.file_uri, r.entry_no) for r in job.entries().collect()) == sorted((r[0], n) for r in [*old, *more] for n in (0, 1))
+
+
 # -- 5 orphans ------------------------------------------------------------------------------
 
 DESC = "id bigint, name string, kind string, database_id bigint, parent_id bigint, ts_seconds bigint, ts_nanos int, ts_logical int, dropped boolean, target string"
@@ -333,12 +411,22 @@ def test_orphans_by_reason_whatever_is_heavy(spark, heavy):
 
 def test_orphan_counts_and_empty(spark):
     metas = spark.createDataFrame(ROWS, DESC)
-    counts = orphan_counts(orphans([Reference("m", metas, "parent_id")], metas))
+    counts = orphan_counts([Reference("m", metas, "parent_id")], metas)
     assert {(r.reason, r.n_refs) for r in counts.where("period IS NOT NULL").collect()} == {("later", 1), ("dropped", 1)}
     none = spark.createDataFrame([], DESC)
     assert orphans([Reference("m", none, "parent_id")], none).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [0, 10_000])
+def test_a_month_of_which_a_part_is_later(spark, heavy):
+    rows = [desc(1, 0, 0, 1000)] + [desc(i, 1, None, 990 + i) for i in range(2, 30)] + [desc(50, 1, None, 40 * 86400), desc(60, 77, None, None), desc(61, 77, None, None)]
+    metas = spark.createDataFrame(rows, DESC)
+    refs = [Reference("m", metas, "parent_id")]
+    assert sorted(r.id for r in orphans(refs, metas, heavy).where("reason = 'later'").collect()) == list(range(2, 10))
+    got = {(r.period, r.reason, r.n_refs, r.n_targets) for r in orphan_counts(refs, metas, heavy).collect()}
+    assert got == {("1970-01", "later", 8, 1), (None, "missing", 2, 1)}
+
+
 def test_month_of_negative_and_large_seconds(spark):
     got = spark.createDataFrame([(-1,), (0,), (1709321620,), (None,)], "s bigint").select(month(F.col("s")).alias("m")).collect()
     assert [r.m for r in got] == ["1969-12", "1970-01", "2024-03", None]
