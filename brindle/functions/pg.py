@@ -93,7 +93,7 @@ def _digest(a: Args) -> str:
         return f"unhex(md5({a[0]}))"
     if kind in ("sha224", "sha256", "sha384", "sha512"):
         return f"unhex(sha2({a[0]}, {kind[3:]}))"
-    if kind in ("blake2b", "blake2s"):
+    if kind in ("blake2b", "blake2s", "blake3"):
         return f"pg_{kind}(CAST({a[0]} AS binary))"
     raise ValueError(f"digest algorithm {kind} has no built-in")
 
@@ -133,10 +133,21 @@ def _arrow_typeof(a: Args) -> str:
     return f"coalesce(try_element_at(map({pairs}), typeof({a[0]})), typeof({a[0]}))"
 
 
+def _whole(name: str) -> Callable[[Args], str]:
+    # from 2^53 on every DOUBLE is whole, and what is not finite stays as it is
+    return lambda a: f"if(abs({a[0]}) >= 9007199254740992, CAST({a[0]} AS double), CAST({name}({a[0]}) AS double))"
+
+
 def _trunc(a: Args) -> str:
-    if len(a) == 1:
-        return f"CAST(if(({a[0]}) < 0, ceil({a[0]}), floor({a[0]})) AS double)"
-    return f"(if(({a[0]}) < 0, ceil(({a[0]}) * power(10, {a[1]})), floor(({a[0]}) * power(10, {a[1]}))) / power(10, {a[1]}))"
+    scaled = f"(({a[0]}) * power(10, {a[1]}))" if len(a) > 1 else f"({a[0]})"
+    cut = f"CAST(if({scaled} < 0, ceil({scaled}), floor({scaled})) AS double)"
+    back = f"({cut} / power(10, {a[1]}))" if len(a) > 1 else cut
+    return f"if(abs{scaled} >= 9007199254740992, CAST({a[0]} AS double), {back})"
+
+
+def _initcap(a: Args) -> str:
+    # every run of letters and digits is a word
+    return f"array_join(transform(regexp_extract_all({a[0]}, '[\\\\p{{L}}\\\\p{{N}}]+|[^\\\\p{{L}}\\\\p{{N}}]+', 0), w -> concat(upper(left(w, 1)), lower(substring(w, 2)))), '')"
 
 
 def _chrono(text: str) -> str:
@@ -171,9 +182,9 @@ def _resize(a: Args) -> str:
 #: name (lower case) -> builder. The first block of each group changes meaning, the rest names.
 SCALAR: dict[str, Callable[[Args], str]] = {
     # math
-    "ceil": lambda a: f"CAST(ceil({a[0]}) AS double)",
-    "ceiling": lambda a: f"CAST(ceil({a[0]}) AS double)",
-    "floor": lambda a: f"CAST(floor({a[0]}) AS double)",
+    "ceil": _whole("ceil"),
+    "ceiling": _whole("ceil"),
+    "floor": _whole("floor"),
     "log": lambda a: f"log10({a[0]})" if len(a) == 1 else f"log({a[0]}, {a[1]})",
     "trunc": _trunc,
     "gcd": _gcd,
@@ -181,6 +192,8 @@ SCALAR: dict[str, Callable[[Args], str]] = {
     "iszero": lambda a: f"(({a[0]}) = 0)",
     "random": lambda a: "rand()",
     # string
+    "chr": lambda a: f"decode(unhex(lpad(hex({a[0]}), 8, '0')), 'UTF-32')",
+    "initcap": _initcap,
     "concat": lambda a: "concat(" + ", ".join(f"coalesce(CAST({x} AS string), '')" for x in a) + ")",
     "btrim": _trim("trim", "BOTH"),
     "ltrim": _trim("ltrim", "LEADING"),

@@ -50,6 +50,23 @@ def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT min(id) AS lo, max(id) AS hi, count(DISTINCT id) AS n, count(*) FILTER (WHERE o < 0) AS negative FROM copies")
 
 
+def agg_functional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouping by a table's key: its other columns need not be grouped or aggregated."""
+    e = _engine(spark, sf_dir, ["customer", "orders"])
+    e.sql("CREATE TABLE buyers (id bigint PRIMARY KEY, label text, segment text)")
+    e.sql("INSERT INTO buyers SELECT c_custkey, c_name, c_mktsegment FROM customer")
+    return e.sql("SELECT id, label, segment || '!' AS loud, count(o_orderkey) AS n FROM buyers LEFT JOIN orders ON id = o_custkey GROUP BY id")
+
+
+def insert_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which INSERTs of all documents break NOT NULL, a kind or a column list, and what is left."""
+    e = _engine(spark, sf_dir, ["documents"])
+    e.sql("CREATE TABLE pages (id bigint PRIMARY KEY, lang text NOT NULL, pages smallint)")
+    said = [_refused(e, f"INSERT INTO pages {rest}") for rest in ("SELECT doc_id, lang, page_no FROM documents", "(id, pages) SELECT doc_id, page_no FROM documents", "(id, lang, nothing) SELECT doc_id, 'x', 1 FROM documents", "(id, lang) SELECT doc_id, coalesce(lang, '?') FROM documents")]
+    left = e.sql("SELECT count(*) AS n, count(pages) AS n_pages, count(DISTINCT lang) AS langs FROM pages")
+    return left.withColumn("said", F.lit(",".join(said)))
+
+
 def _refused(e: Engine, statement: str) -> str:
     try:
         e.sql(statement)
@@ -107,7 +124,7 @@ def explain_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wire_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as text: t and f, hex for bytes, null for NULL."""
     e = _engine(spark)
-    rows = list(format_rows(e.sql("SELECT true AS a, false AS b, NULL::text AS c, 12::int2 AS d, CAST('hi' AS bytea) AS e, 1.5::float8 AS f, 7::bigint AS g")))
+    rows = list(format_rows(e.sql("SELECT true AS a, false AS b, NULL::text AS c, 12::int2 AS d, CAST('hi' AS bytea) AS e, 1.5::float8 AS f, 7::bigint AS g, 'NaN'::float8 AS h, 'Infinity'::float8 AS i, '-Infinity'::float4 AS j")))
     return spark.createDataFrame([(i, v) for i, v in enumerate(rows[0])], "i int, v string")
 
 
@@ -128,19 +145,21 @@ def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_join(li, p, ["k"], "inner", max_rows=0).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ALL = (insert_serial, insert_count, insert_aggregate, insert_select, insert_unique_distinct, insert_unique_not_distinct, ddl_catalog, statement_errors, explain_statement, wire_format, file_formats, join_salted)
+_ALL = (insert_serial, insert_count, insert_aggregate, insert_select, agg_functional, insert_not_null, insert_unique_distinct, insert_unique_not_distinct, ddl_catalog, statement_errors, explain_statement, wire_format, file_formats, join_salted)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {
     "insert_serial": "SELECT * FROM (VALUES (3, 8, 'a'), (4, 8, 'b'), (1, 4, NULL), (2, 3, 'NNNNNN')) t(id, count, description)",
     "insert_count": "SELECT CAST(4 AS bigint) AS count",
     "insert_aggregate": "SELECT CAST(23 AS bigint) AS s, 15.6::double AS hi, 2.9::double AS lo, 136.2::double AS total",
     "insert_select": "SELECT CAST(1 AS bigint) AS lo, count(*) + count(*) FILTER (WHERE o_orderstatus = 'P') AS hi, count(*) + count(*) FILTER (WHERE o_orderstatus = 'P') AS n, count(*) FILTER (WHERE o_orderstatus = 'P') AS negative FROM orders",
+    "agg_functional": "SELECT c_custkey AS id, any_value(c_name) AS label, any_value(c_mktsegment) || '!' AS loud, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
+    "insert_not_null": "SELECT count(*) AS n, CAST(0 AS bigint) AS n_pages, count(DISTINCT coalesce(lang, '?')) AS langs, 'ConstraintViolation,ConstraintViolation,NotFound,done' AS said FROM documents",
     "insert_unique_distinct": "SELECT *, 'UniqueViolation' AS second FROM (VALUES (1, NULL, 'row1'), (2, 'name2', 'row2'), (3, NULL, 'row3')) t(id, name, description)",
     "insert_unique_not_distinct": "SELECT CAST(0 AS bigint) AS n, 'UniqueViolation' AS said",
     "ddl_catalog": "SELECT * FROM (VALUES (CAST(1 AS bigint), 'test1', 'database', CAST(0 AS bigint), '', ''), (2, 'public', 'schema', 1, '', ''), (3, 'example', 'table', 2, 'id,name,description', '1:primary,2:unique_nulls_distinct')) t(id, name, kind, parent_id, columns, indices)",
     "statement_errors": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_CLASSES)) + ") t(i, said)",
     "explain_statement": "SELECT true AS pushed",
-    "wire_format": "SELECT * FROM (VALUES (0, 't'), (1, 'f'), (2, NULL), (3, '12'), (4, '\\x6869'), (5, '1.5'), (6, '7')) t(i, v)",
+    "wire_format": "SELECT * FROM (VALUES (0, 't'), (1, 'f'), (2, NULL), (3, '12'), (4, '\\x6869'), (5, '1.5'), (6, '7'), (7, 'NaN'), (8, 'Infinity'), (9, '-Infinity')) t(i, v)",
     "file_formats": "SELECT kind, count(*) AS n, CAST(sum(n_nationkey) AS bigint) AS keys, max(n_name) AS last FROM nation, (VALUES ('parquet'), ('orc'), ('json'), ('csv')) k(kind) GROUP BY kind",
     "join_salted": "SELECT p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
 }

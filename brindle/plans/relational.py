@@ -32,8 +32,10 @@ BOTH: dict[str, str] = {
     "join_theta": "SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal AND a.s_nationkey <> b.s_nationkey",
     "join_residual": "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal",
     "join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
-    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "join_null_aware_anti": "SELECT doc_id FROM documents WHERE lang NOT IN (SELECT d.lang FROM documents d WHERE d.n_columns = 4)",
+    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
+    "join_null_aware_anti": """SELECT 'none is null' AS k, count(*) AS n FROM documents WHERE source NOT IN (SELECT w.source FROM source_weights w WHERE w.max_repeats > 2)
+      UNION ALL SELECT 'one is null', count(*) FROM documents WHERE source NOT IN (SELECT d.source FROM documents d WHERE d.n_columns = 4)
+      UNION ALL SELECT 'none at all', count(*) FROM documents WHERE source NOT IN (SELECT d.source FROM documents d WHERE d.n_columns < 0)""",
     "join_using": "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a FROM nation) x JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y USING (k)",
     "join_natural": "SELECT * FROM (SELECT n_regionkey AS k, n_name AS a FROM nation) x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y",
     "join_self": "SELECT a.n_name AS one, b.n_name AS two FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
@@ -53,7 +55,6 @@ BOTH: dict[str, str] = {
     "cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS bigint) AS g FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "agg_ordered_list": "SELECT user_id, array_agg(event_type ORDER BY ts, event_id) AS kinds FROM events GROUP BY user_id",
     "agg_string": "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
-    "agg_functional": "SELECT c_custkey, any_value(c_name) AS name, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "agg_bits_bools": "SELECT event_type, bit_and(user_id) AS a, bit_or(user_id) AS o, bit_xor(user_id) AS x, bool_and(value > 1) AS every, bool_or(value > 90) AS some_big FROM events GROUP BY event_type",
     "agg_stats": """SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sd_pop, round(var_samp(l_quantity), 5) AS v, round(var_pop(l_quantity), 5) AS vp,
       round(covar_samp(l_quantity, l_tax), 6) AS cs, round(covar_pop(l_quantity, l_tax), 6) AS cp, round(corr(l_quantity, l_extendedprice), 6) AS c, median(l_quantity) AS med FROM lineitem GROUP BY l_returnflag""",
@@ -85,7 +86,6 @@ BOTH: dict[str, str] = {
     "subq_exists_corr": "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_quantity > 45)",
     "subq_corr_scalar": "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer",
     "lateral_top1": "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t",
-    "subscript_extract": "SELECT event_id, CAST(EXTRACT(hour FROM ts) AS bigint) AS h, SUBSTRING(event_type FROM 2 FOR 3) AS part, POSITION('i' IN event_type) AS at FROM events",
 }
 
 #: PostgreSQL text for us, DuckDB's own form for the oracle.
@@ -95,8 +95,18 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT p_partkey, regexp_matches(p_name, '^[a-m]') AS low, regexp_matches(p_name, '(?i)^[A-M]') AS low_any, NOT regexp_matches(p_name, 'e') AS no_e, NOT regexp_matches(p_name, '(?i)e') AS no_e_any, regexp_matches(p_type, '(IN|ON)') AS sim FROM part",
     ),
     "arith_int_div": (
-        "SELECT n_nationkey, (n_nationkey - 12) / 5 AS d, n_nationkey % 4 AS m, n_nationkey & 6 AS a, n_nationkey | 9 AS o, n_nationkey # 5 AS x, n_nationkey << 2 AS l, n_nationkey >> 1 AS r, n_nationkey / 2.0 AS f FROM nation",
-        "SELECT n_nationkey, CAST((n_nationkey - 12) // 5 AS bigint) AS d, n_nationkey % 4 AS m, n_nationkey & 6 AS a, n_nationkey | 9 AS o, xor(n_nationkey, 5) AS x, n_nationkey << 2 AS l, n_nationkey >> 1 AS r, n_nationkey / 2.0 AS f FROM nation",
+        "SELECT n_nationkey, (n_nationkey - 12) / 5 AS d, n_nationkey % 4 AS m, n_nationkey & 6 AS a, n_nationkey | 9 AS o, n_nationkey # 5 AS x, n_nationkey << 2 AS l, n_nationkey >> 1 AS r, n_nationkey / 2.0 AS f, n_nationkey ^ 2 AS p, 3 * 2 ^ 2 + n_nationkey AS q, 2 ^ 3 ^ 2 AS left_first FROM nation",
+        "SELECT n_nationkey, CAST((n_nationkey - 12) // 5 AS bigint) AS d, n_nationkey % 4 AS m, n_nationkey & 6 AS a, n_nationkey | 9 AS o, xor(n_nationkey, 5) AS x, n_nationkey << 2 AS l, n_nationkey >> 1 AS r, n_nationkey / 2.0 AS f, pow(n_nationkey, 2) AS p, 3 * pow(2, 2) + n_nationkey AS q, pow(pow(2, 3), 2) AS left_first FROM nation",
+    ),
+    "subscript_extract": (
+        """SELECT event_id, CAST(EXTRACT(hour FROM ts) AS bigint) AS h, CAST(EXTRACT(dow FROM ts) AS bigint) AS dow, CAST(EXTRACT(isodow FROM ts) AS bigint) AS isodow, round(EXTRACT(epoch FROM ts), 3) AS ep, SUBSTRING(event_type FROM 2 FOR 3) AS part, POSITION('i' IN event_type) AS at,
+           (ARRAY[event_type, 'x'])[1] AS first, (ARRAY[user_id, 7, 8])[2:3] AS tail, array_append(ARRAY[user_id], 5)[3] AS outside, (ARRAY[[user_id, 1], [2, 3]])[2][1] AS deep FROM events""",
+        """SELECT event_id, EXTRACT(hour FROM ts) AS h, EXTRACT(dow FROM ts) AS dow, EXTRACT(isodow FROM ts) AS isodow, round(epoch(ts), 3) AS ep, SUBSTRING(event_type FROM 2 FOR 3) AS part, POSITION('i' IN event_type) AS at,
+           event_type AS first, [7, 8] AS tail, CAST(NULL AS bigint) AS outside, 2 AS deep FROM events""",
+    ),
+    "any_all": (
+        """SELECT p_partkey, p_size = ANY(ARRAY[1, 7, 30]) AS some, p_size + 1 > ALL (ARRAY[3, p_size - 5]) AS every, p_size <> ALL(ARRAY[2, NULL]) AS unsure, p_brand = ANY (SELECT p_brand FROM part WHERE p_size = 50) AS listed FROM part WHERE NOT p_size = ANY(ARRAY[9, 10])""",
+        """SELECT p_partkey, p_size IN (1, 7, 30) AS some, p_size + 1 > 3 AND p_size + 1 > p_size - 5 AS every, CASE WHEN p_size = 2 THEN false END AS unsure, p_brand IN (SELECT p_brand FROM part WHERE p_size = 50) AS listed FROM part WHERE p_size NOT IN (9, 10)""",
     ),
     "win_lag_lead": (
         """SELECT event_id, lag(value) OVER w AS before, lead(value, 2, -1.0) OVER w AS after2, lag(CASE WHEN value > 50 THEN value END) IGNORE NULLS OVER w AS last_big
