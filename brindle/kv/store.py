@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brindle.operators.relational import range_join
+from brindle.operators.relational import asof_join, range_join
 from brindle.operators.skew import Line, lookup_join, running_sum
 from brindle.operators.versions import newest
 from brindle.sources.shared import work_dir
@@ -195,9 +195,27 @@ def read_your_writes(committed: DataFrame, intents: DataFrame, reads: DataFrame,
     return seen.select(*reads.columns, F.when(F.col("__own").isNotNull(), F.col("__own.value")).otherwise(F.col("__committed")).alias("value"))
 
 
-def locate(keys: DataFrame, shards: DataFrame, key: str, start: str, end: str, width: int) -> DataFrame:
-    """Each key with its shard: start <= key < end, found by bins."""
-    return range_join(keys, shards, key, start, end, width, how="left")
+def locate(keys: DataFrame, shards: DataFrame, key: str, start: str, end: str, on: Sequence[str] = ()) -> DataFrame:
+    """Each key with its shard: start <= key < end, within ``on``; shards of any width.
+
+    The shard that begins last at or before the key is the only one that can hold it: an as-of
+    join, with no bins. Keys outside all shards (or null) have nulls.
+    """
+    take = [c for c in shards.columns if c not in on and c != start]
+    found = asof_join(keys, shards, key, start, list(on), take)
+    inside = F.col(key) < F.col(end)
+    return found.select(*keys.columns, *(F.when(inside, F.col(c)).alias(c) for c in take))
+
+
+def locate_server(keys: DataFrame, ranges: DataFrame, shards: DataFrame, tablets: DataFrame, key: str) -> DataFrame:
+    """Each key with its range, shard, tablet and servers: three levels, one after another.
+
+    ``ranges``: range_id, s, e. ``shards``: range_id, shard_id, tablet_id, s, e. ``tablets``:
+    tablet_id, servers.
+    """
+    first = locate(keys, ranges.select("range_id", "s", "e"), key, "s", "e").drop("e")
+    second = locate(first, shards.select("range_id", "shard_id", "tablet_id", "s", "e"), key, "s", "e", ["range_id"]).drop("e")
+    return lookup_join(second, tablets, ["tablet_id"])
 
 
 def scoped(df: DataFrame, prefix: str, key: str = "key") -> DataFrame:

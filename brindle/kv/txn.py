@@ -8,8 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.kv.clock import HybridClock
 from brindle.operators.relational import range_join
+from brindle.operators.skew import Line, lookup_join
 from brindle.sources.manifest import ConflictError, SnapshotTable
+from brindle.sources.shared import shared_dir
 
 
 def resolve_intents(intents: DataFrame, status: DataFrame, rolled_back: DataFrame | None = None) -> DataFrame:
@@ -48,48 +51,115 @@ def push_over_fences(writes: DataFrame, reads: DataFrame, key: str, ts: str, sta
     return ids.join(fence, "__w", "left").withColumn("pushed_ts", F.greatest(ts, "__fence")).drop("__w", "__fence")
 
 
-#: Layers peeled off before paths are followed; what is left costs pairs, not results.
-PEEL_ROUNDS = 32
+#: Layers that are peeled off before chains are contracted; more of them cost rows, not results.
+PEEL_ROUNDS = 4
 
 
 def deadlocks(waits: DataFrame) -> DataFrame:
-    """Transactions that wait for themselves: ``txn``, and ``restarts`` for the cycle's loser.
-
-    ``waits``: waiter, holder and, of the waiter, priority, start_ts. Paths double each round
-    (a path of 2k edges is two of k), so a cycle of n needs log n joins, however long it
-    is. What has been found is distinct pairs, and rounds end when none is new; a cycle of n
-    has n * n of them. Of a cycle the greatest (priority,
-    start_ts, txn) restarts: at equal priority the older one wins. Each round is cut off from
-    the plan by a checkpoint in the shared folder.
+    """Transactions that wait for themselves: ``txn``, ``cycle`` (the least of all that wait for
+    each other), and ``restarts`` for the cycle's loser.
+
+    ``waits``: waiter, holder and, of the waiter, priority, start_ts. Three steps, each of them
+    in rounds whose number grows with the logarithm of a path's length, until nothing changes:
+
+    1. Who doesn't wait, or isn't waited for, is on no cycle and is peeled off, PEEL_ROUNDS times.
+       Longer dead ends go on to the next steps, which find no cycle on them.
+    2. Whoever waits for one transaction and is waited for by one is a link of a chain. Chains
+       are contracted by jumping over twice as many links a round, one row a transaction. A ring
+       of links alone is a cycle and is done with.
+    3. What is left are the transactions where waits branch. Their paths are doubled as distinct
+       pairs; two that reach each other are on one cycle, and so are the links of chains
+       between them.
+
+    Of a cycle the greatest (priority, start_ts, txn) restarts: at equal priority the older one
+    wins. Each round is cut off from the plan by a checkpoint in the shared folder.
     """
-    edges = waits.select("waiter", "holder").where(F.col("waiter").isNotNull() & F.col("holder").isNotNull()).distinct()
-    # Only transactions that both wait and are waited for can be on a cycle: the rest is peeled
-    # off first, layer by layer, so paths are followed among what cycles are made of.
+    shared_dir(waits.sparkSession)
+    edges = waits.select("waiter", "holder").where(F.col("waiter").isNotNull() & F.col("holder").isNotNull()).distinct().checkpoint()
     size = -1
     for _ in range(PEEL_ROUNDS):
-        edges = edges.join(edges.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi").join(edges.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").checkpoint()
-        now = edges.count()
-        if now == size:
+        if (now := edges.count()) == size:
             break
         size = now
-    reach, size = edges, -1
-    while True:
-        a, b = reach.alias("a"), reach.alias("b")
+        edges = edges.join(edges.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi").join(edges.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").checkpoint()
+    into = edges.groupBy(F.col("holder").alias("v")).agg(F.count(F.lit(1)).alias("n_in"))
+    out = edges.groupBy(F.col("waiter").alias("v")).agg(F.count(F.lit(1)).alias("n_out"), F.min("holder").alias("next"))
+    links = into.join(out, "v").where("n_in = 1 AND n_out = 1").select("v", "next").checkpoint()
+    # jump: v to the first that is no link, or on around a ring; least: of all that v has passed
+    jump, moved = links.select("v", "next", F.least("v", "next").alias("least")), True
+    total = links.count()
+    reach = 1
+    while moved and total:
+        ahead = jump.select(F.col("v").alias("next"), F.col("next").alias("n2"), F.col("least").alias("l2"))
+        jump = jump.join(ahead, "next", "left").select("v", F.coalesce("n2", "next").alias("next"), F.least("least", F.coalesce("l2", "least")).alias("least"), F.col("n2").isNotNull().alias("on")).checkpoint()
+        reach *= 2
+        moved = reach <= 2 * total and bool(jump.where("on").limit(1).count())
+    # after more steps than there are links, who still stands on a link goes round a ring
+    rings = jump.join(links.select(F.col("v").alias("next")), "next", "left_semi").select(F.col("v").alias("txn"), F.col("least").alias("cycle"))
+    chains = jump.join(links.select(F.col("v").alias("next")), "next", "left_anti").select("v", F.col("next").alias("end"))
+    branching = edges.join(links.select(F.col("v").alias("waiter")), "waiter", "left_anti")
+    short = branching.join(chains.select(F.col("v").alias("holder"), "end"), "holder", "left").select("waiter", F.coalesce("end", "holder").alias("holder"), F.when(F.col("end").isNotNull(), F.col("holder")).alias("via")).checkpoint()
+    paths, size = short.select("waiter", "holder").distinct().checkpoint(), -1
+    while (now := paths.count()) != size:
+        size = now
+        a, b = paths.alias("a"), paths.alias("b")
         longer = a.join(b, F.col("a.holder") == F.col("b.waiter")).select(F.col("a.waiter").alias("waiter"), F.col("b.holder").alias("holder"))
-        reach = reach.unionByName(longer).distinct().checkpoint()
-        now = reach.count()
-        if now == size:
-            break
+        paths = paths.unionByName(longer).distinct().checkpoint()
+    mutual = paths.join(paths.select(F.col("holder").alias("waiter"), F.col("waiter").alias("holder")), ["waiter", "holder"], "left_semi")
+    core = mutual.groupBy(F.col("waiter").alias("txn")).agg(F.min("holder").alias("group"))
+    # a chain lies on a cycle if the two that it joins do
+    owner = core.select(F.col("txn").alias("waiter"), F.col("group").alias("g1")).join(short.where("via IS NOT NULL"), "waiter").join(core.select(F.col("txn").alias("holder"), F.col("group").alias("g2")), "holder").where("g1 = g2").select(F.col("via").alias("first"), F.col("g1").alias("group"))
+    # every link of a chain goes to the chain's end, and so does its first one: they share it
+    first = chains.select(F.col("v").alias("first"), "end")
+    heads = owner.join(first, "first").select("first", "end", "group")
+    # links of one chain are found from its first by doubling, as pairs (first, link)
+    walk = heads.select("first", F.col("first").alias("at"), "group")
+    found, hops = walk.checkpoint(), links.select(F.col("v").alias("at"), "next")
+    size = -1
+    while (now := found.count()) != size:
         size = now
-    on_cycle = reach.where(F.col("waiter") == F.col("holder")).select(F.col("waiter").alias("txn"))
-    # Two transactions are on one cycle if each reaches the other: its name is the least of them.
-    back = reach.select(F.col("holder").alias("waiter"), F.col("waiter").alias("holder"))
-    mates = reach.join(back, ["waiter", "holder"], "left_semi").join(on_cycle, F.col("waiter") == F.col("txn"), "left_semi")
-    cycle = mates.groupBy("waiter").agg(F.min("holder").alias("cycle"))
-    rank = waits.groupBy(F.col("waiter").alias("txn")).agg(F.max(F.struct("priority", "start_ts")).alias("r"))
-    named = cycle.select(F.col("waiter").alias("txn"), "cycle").join(rank, "txn")
-    loser = named.groupBy("cycle").agg(F.max(F.struct("r", "txn")).alias("l")).select("cycle", F.col("l.txn").alias("loser"))
-    return named.join(loser, "cycle").select("txn", "cycle", (F.col("txn") == F.col("loser")).alias("restarts"))
+        step = found.join(hops, "at").select("first", F.col("next").alias("at"), "group")
+        step = step.join(links.select(F.col("v").alias("at")), "at", "left_semi").select("first", "at", "group")
+        found = found.unionByName(step).distinct().checkpoint()
+        hops = hops.join(hops.select(F.col("at").alias("next"), F.col("next").alias("n2")), "next").select("at", F.col("n2").alias("next")).checkpoint()
+    members = core.unionByName(found.select(F.col("at").alias("txn"), "group"))
+    named = members.join(members.groupBy("group").agg(F.min("txn").alias("cycle")), "group").select("txn", "cycle").unionByName(rings)
+    rank = waits.where(F.col("waiter").isNotNull()).groupBy(F.col("waiter").alias("txn")).agg(F.max(F.struct("priority", "start_ts")).alias("r"))
+    ranked = named.join(rank, "txn")
+    loser = ranked.groupBy("cycle").agg(F.max(F.struct("r", "txn")).alias("l")).select("cycle", F.col("l.txn").alias("loser"))
+    return ranked.join(loser, "cycle").select("txn", "cycle", (F.col("txn") == F.col("loser")).alias("restarts"))
+
+
+def lock_queue(requests: DataFrame, key: str = "key", txn: str = "txn_id", arrive: str = "arrive", hold: str = "hold", write: str = "write") -> DataFrame:
+    """Adds ``granted``, ``released`` and ``waited_for`` to requests for keys' locks.
+
+    Writers of a key take its lock one after another, in order of arrival (then of ``txn``),
+    and keep it for ``hold``; a reader takes none and waits for the writers that came before
+    it. ``waited_for`` is the writer that has the lock until the request is granted, null if it
+    was free. A transaction's later requests of a key that it asked for as a writer find its
+    own lock: they are granted with the first or on arrival, whichever is later.
+
+    A lock is free for a writer at the latest, over all writers j before it, of j's arrival and
+    what the writers from j on hold it; that is a running maximum of arrivals less the sums of
+    holds so far. So a key with a third of all requests is the work of many tasks.
+    """
+    own = requests.where(F.col(write)).groupBy(key, txn).agg(F.min(F.struct(arrive, hold)).alias("__o")).select(key, txn, F.col(f"__o.{arrive}").alias("__at"), F.col(f"__o.{hold}").alias("__hold"))
+    others = lookup_join(requests, own.select(key, txn, F.col("__at").alias("__mine")), [key, txn]).where(F.col("__mine").isNull() | ~F.col(write) & (F.col(arrive) < F.col("__mine")))
+    asks = others.select(key, txn, F.col(arrive).alias("__at"), F.lit(None).cast("long").alias("__hold")).distinct()
+    line = Line(own.unionByName(asks), [key], ["__at", txn])
+    # the holds before each row; a reader adds nothing
+    rows = line.running(line.rows, F.coalesce("__hold", F.lit(0)).cast("long"), "sum", "__before", inclusive=False)
+    rows = rows.withColumn("__before", F.coalesce("__before", F.lit(0)))
+    rows = line.running(rows, F.when(F.col("__hold").isNotNull(), F.col("__at") - F.col("__before")), "max", "__slack", inclusive=False)
+    rows = line.running(rows, F.when(F.col("__hold").isNotNull(), F.col(txn)), "last", "__last", inclusive=False)
+    free = F.coalesce(F.col("__slack") + F.col("__before"), F.col("__at"))
+    done = rows.select(key, txn, "__at", F.col("__hold").isNotNull().alias("__w"), F.greatest("__at", free).alias("__granted"), F.when(free > F.col("__at"), F.col("__last")).alias("__for"), "__hold")
+    mine = done.where("__w").select(key, txn, F.col("__at").alias("__first"), F.col("__granted").alias("__g1"), F.col("__for").alias("__f1"), (F.col("__granted") + F.col("__hold")).alias("__r1"))
+    read = done.where("NOT __w").select(key, txn, F.col("__at").alias(arrive), F.col("__granted").alias("__g2"), F.col("__for").alias("__f2"))
+    both = lookup_join(lookup_join(requests, mine, [key, txn]), read, [key, txn, arrive])
+    under = F.col("__g1").isNotNull() & F.col("__g2").isNull()
+    granted = F.when(under, F.greatest(F.col(arrive), F.col("__g1"))).otherwise(F.col("__g2"))
+    return both.select(*requests.columns, granted.alias("granted"), F.when(under & F.col(write), F.col("__r1")).alias("released"), F.when(under, F.when(F.col("__g1") > F.col(arrive), F.col("__f1"))).otherwise(F.col("__f2")).alias("waited_for"))
 
 
 def expire(txns: DataFrame, heartbeats: DataFrame, now: int, interval: int) -> DataFrame:
@@ -115,38 +185,67 @@ class Txn:
     published since, then the writes are appended and published in one new manifest version.
     A commit that loses the race validates again on the newer version; reads that were
     overtaken raise TxnAborted.
+
+    ``level`` is transactional (as above), snapshot (reads at one time, the start or, without
+    one, that of the first read; nothing is validated and nothing can be written) or
+    inconsistent (each read is at the newest time; no writes). Without ``start_ts`` the clock
+    gives one.
     """
 
     spark: SparkSession
     table: SnapshotTable
-    start_ts: int
+    start_ts: int | None = None
     reads: list[tuple[str, str]] = field(default_factory=list)
     writes: dict[str, int | None] = field(default_factory=dict)
     epoch: int = 0
+    level: str = "transactional"
 
+    CLOCK = HybridClock()
     SCHEMA = "key string, ts bigint, txn_seq int, alive boolean, value bigint"
 
+    def __post_init__(self) -> None:
+        if self.level not in ("transactional", "snapshot", "inconsistent"):
+            raise ValueError(f"no semantics {self.level}")
+        if self.start_ts is None and self.level == "transactional":
+            self.start_ts = self.CLOCK.now()
+
     def versions(self, version: int | None = None) -> DataFrame:
         parts = self.table.read(version).get("parts", [])
         return self.spark.read.schema(self.SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
 
+    def _read(self, start: str, end: str) -> DataFrame:
+        """Versions of a span that this transaction may see; the span is remembered."""
+        if self.level == "inconsistent":
+            return self.versions().where((F.col("key") >= start) & (F.col("key") < end))
+        if self.start_ts is None:
+            self.start_ts = self.table.read().get("last_ts", 0)
+        if self.level == "transactional":
+            self.reads.append((start, end))
+        return self.versions().where((F.col("key") >= start) & (F.col("key") < end) & (F.col("ts") <= self.start_ts))
+
     def get(self, key: str) -> int | None:
         if key in self.writes:
             return self.writes[key]
-        self.reads.append((key, key + "\0"))
-        row = self.versions().where((F.col("key") == key) & (F.col("ts") <= self.start_ts)).agg(F.max(F.struct("ts", "txn_seq", "alive", "value")).alias("v")).first()["v"]
+        row = self._read(key, key + "\0").agg(F.max(F.struct("ts", "txn_seq", "alive", "value")).alias("v")).first()["v"]
         return row["value"] if row and row["alive"] else None
 
     def scan(self, start: str, end: str) -> DataFrame:
-        self.reads.append((start, end))
-        last = self.versions().where((F.col("key") >= start) & (F.col("key") < end) & (F.col("ts") <= self.start_ts)).groupBy("key").agg(F.max(F.struct("ts", "txn_seq", "alive", "value")).alias("v"))
-        return last.where("v.alive").select("key", F.col("v.value").alias("value")).where(~F.col("key").isin(list(self.writes) or [""]))
+        """The live rows of a span, with this transaction's own writes over them."""
+        last = self._read(start, end).groupBy("key").agg(F.max(F.struct("ts", "txn_seq", "alive", "value")).alias("v"))
+        there = last.where("v.alive").select("key", F.col("v.value").alias("value"))
+        own = {k: v for k, v in self.writes.items() if start <= k < end}
+        if not own:
+            return there
+        new = self.spark.createDataFrame([(k, v) for k, v in sorted(own.items()) if v is not None], "key string, value bigint")
+        return there.where(~F.col("key").isin(list(own))).unionByName(new)
 
     def put(self, key: str, value: int | None) -> None:
+        if self.level != "transactional":
+            raise TxnAborted(f"{self.level} reads can't write")
         self.writes[key] = value
 
     def increment(self, key: str, by: int) -> int:
-        self.writes[key] = (self.get(key) or 0) + by
+        self.put(key, (self.get(key) or 0) + by)
         return self.writes[key]
 
     def abort(self) -> None:

@@ -120,6 +120,17 @@ def p4_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(F.countDistinct("file_uri").alias("n_files"), F.count(F.lit(1)).alias("n_entries"), F.sum("entry_bytes").cast("long").alias("entry_bytes"))
 
 
+def p4_recompacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two compactions, first of the even tablets' files, then of all: shards overlap, and every
+    entry of all live files is held or listed once."""
+    metas, entries = table(spark, sf_dir, "file_metas"), table(spark, sf_dir, "file_entries")
+    job = Compactor(spark, work_dir(spark, "p4"))
+    for listings in (metas.where(F.col("tablet_id") % 2 == 0), metas):
+        job.rewrite(job.plan(listings), entries)
+    held = job.all_entries(entries)
+    return held.groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(F.countDistinct("file_uri").alias("n_files"), F.count(F.lit(1)).alias("n_entries"), F.sum("entry_bytes").cast("long").alias("entry_bytes"))
+
+
 def _references(spark: SparkSession, sf_dir: str) -> tuple[list[Reference], DataFrame]:
     metas, tables = table(spark, sf_dir, "descriptor_metas"), table(spark, sf_dir, "table_descriptors")
     return [Reference("descriptor_metas", metas, "parent_id"), Reference("descriptor_metas", metas, "database_id"), Reference("table_descriptors", tables, "schema_id")], metas
@@ -140,7 +151,7 @@ def p5_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_counts(*_references(spark, sf_dir), heavy_refs=20)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_current_table, p3_found, p3_unique, p3_malformed, p3_ranges, p3_large_ids, p4_found, p4_compacted, p4_entries, p5_found, p5_report, p5_heavy)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_current_table, p3_found, p3_unique, p3_malformed, p3_ranges, p3_large_ids, p4_found, p4_compacted, p4_entries, p4_recompacted, p5_found, p5_report, p5_heavy)}
 
 _COMMITTED = """committed AS (
   SELECT log_name, log_position FROM (
@@ -219,3 +230,4 @@ SELECT shard_id, count(DISTINCT l.file_uri) AS n_files, count(*) AS n_entries, C
     "p5_report": f"""{_ORPHANS} SELECT table_name, field, period, reason, count(*) AS n_refs, count(DISTINCT target) AS n_targets FROM bad WHERE reason IS NOT NULL GROUP BY ALL""",
 }
 ORACLE["p5_heavy"] = ORACLE["p5_report"]
+ORACLE["p4_recompacted"] = ORACLE["p4_entries"]

@@ -80,7 +80,7 @@ def accept_stream(stream: DataFrame, root: str, log: str = "log", position: str
 
 def accepted_rows(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
     """All rows that ``accept_stream`` has let through under ``root``."""
-    return spark.read.schema(schema).parquet(f"{root}/accepted")
+    return spark.read.schema(schema).parquet(f"{root}/accepted").drop("batch")
 
 
 def replay(snapshot: DataFrame, log: DataFrame, keys: Sequence[str], order: Sequence[str], after: Column, upto: Column) -> DataFrame:

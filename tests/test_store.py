@@ -7,12 +7,14 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brindle.kv.batch import BatchRefused, Op, run_batch
+from brindle.kv.clock import HybridClock
 from brindle.kv.store import Layout, VersionedStore, batch
-from brindle.kv.txn import Txn, TxnAborted, deadlocks, expire, merge, push_over_fences, resolve_intents
+from brindle.kv.txn import Txn, TxnAborted, deadlocks, expire, lock_queue, merge, push_over_fences, resolve_intents
 from brindle.operators.relational import asof_join, merge_spans, range_join, split_spans
 from brindle.sources.manifest import SnapshotTable
 from brindle.sources.shared import shared_dir, work_dir
-from brindle.streaming.logs import FileLog, GapError, accept, accept_stream, hybrid_clock, push_late
+from brindle.streaming.logs import FileLog, GapError, accept, accept_stream, accepted_rows, hybrid_clock, push_late
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 V = "key string, ts bigint, seq bigint, alive boolean, v_int bigint"
@@ -48,6 +50,40 @@ def test_find_each_is_the_ceiling(spark):
         assert r.found == min((h for h in have if h >= r.w), default=None)
 
 
+def test_puts_if_absent_in_one_batch(spark):
+    s = store(spark, VERSIONS)
+    writes = spark.createDataFrame([("new", 2, 5), ("new", 1, 6), ("new", 3, 7), ("count0", 1, 8), ("count1", 1, 9), ("same", 1, 1), ("same", 1, 1), (None, 1, 1)], "key string, n int, v int")
+    got = sorted((str(r.key), r.n, r.applied) for r in s.put_if_absent(writes, ["n"]).collect())
+    assert got == [("None", 1, False), ("count0", 1, False), ("count1", 1, True), ("new", 1, True), ("new", 2, False), ("new", 3, False), ("same", 1, False), ("same", 1, True)]
+
+
+def test_batch_of_all_kinds(spark):
+    rows = spark.createDataFrame([("a", 1, 1, True, 5), ("c", 2, 1, True, 7), ("d", 3, 1, False, None)], "key string, ts bigint, seq int, alive boolean, value bigint")
+    ops = [Op("get", "a"), Op("put", "b", 3, expect=0), Op("find", "aa"), Op("increment", "b", 4), Op("scan", "a", end="z", limit=2), Op("delete", "a", expect=1), Op("scan", "a", end="z", limit=9), Op("find", "cc"), Op("refresh", "a", end="z", since=3), Op("put", "d", 1, expect=0)]
+    answers, written = run_batch(spark, rows, ops, 9)
+    assert answers == [5, 9, ("b", 3), 7, ([("a", 5), ("b", 7)], "c"), 9, ([("b", 7), ("c", 7)], None), ("d", None), True, 9]
+    assert {(r.key, r.alive, r.value) for r in written.collect()} == {("a", False, None), ("b", True, 7), ("d", True, 1)}
+    for bad in (Op("put", "a", 1, expect=2), Op("put", "a", 1, expect=0), Op("scan", "a", end="z")):
+        with pytest.raises(BatchRefused):
+            run_batch(spark, rows, [bad], 9)
+    with pytest.raises(BatchRefused):
+        run_batch(spark, rows, [Op("put", "c", 1)], 1)
+
+
+def test_clock_never_stands_still():
+    wall = iter([5, 5, 3, 9])
+    clock = HybridClock(lambda: next(wall))
+    assert [clock.now(), clock.now()] == [5, 6]
+    clock.update(20)
+    assert [clock.now(), clock.now()] == [21, 22]
+
+
+def test_own_locks_do_not_block(spark):
+    asks = spark.createDataFrame([("k", "a", 0, 10, True), ("k", "a", 4, 3, True), ("k", "a", 5, 0, False), ("k", "b", 2, 5, True), ("k", "r", 3, 0, False), ("k", "r", 30, 0, False), ("k", "b", 1, 0, False)], "key string, txn_id string, arrive bigint, hold bigint, write boolean")
+    got = sorted((r.txn_id, r.arrive, r.granted, r.released, r.waited_for) for r in lock_queue(asks).collect())
+    assert got == [("a", 0, 0, 10, None), ("a", 4, 4, 10, None), ("a", 5, 5, None, None), ("b", 1, 10, None, "a"), ("b", 2, 10, 15, "a"), ("r", 3, 15, None, "b"), ("r", 30, 30, None, None)]
+
+
 def test_conditional_puts(spark):
     s = store(spark, VERSIONS)
     writes = spark.createDataFrame([("count0", 9, 4), ("count0", 9, 3), ("count0", 9, 0), ("count1", 9, 0), ("count1", 9, 5), ("new", 9, 0), ("new", 9, None), ("count0", 3, None), ("count0", 4, None)], "key string, ts bigint, expect bigint")
@@ -103,6 +139,17 @@ def test_deadlock_on_a_long_cycle(spark):
     assert got == {(i, 0, i == 149) for i in range(150)}
 
 
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.sets(st.tuples(st.integers(0, 7), st.integers(0, 7)), max_size=14))
+def test_deadlocks_are_the_components(spark, edges):
+    reach = {(a, b) for a, b in edges}
+    while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+        reach |= more
+    want = {(a, min(b for b in range(8) if (a, b) in reach and (b, a) in reach)) for a in range(8) if (a, a) in reach}
+    rows = spark.createDataFrame([(a, b, 1, a) for a, b in edges], "waiter int, holder int, priority int, start_ts bigint")
+    assert {(r.txn, r.cycle) for r in deadlocks(rows).collect()} == want
+
+
 def test_optimistic_transactions(spark):
     at = SnapshotTable(spark, work_dir(spark, "txn"))
     one = Txn(spark, at, 10)
@@ -189,12 +236,22 @@ def test_stream_fails_on_a_gap(spark):
     schema = spark.createDataFrame([], "log string, position bigint, epoch bigint, sequence bigint").schema
     log = FileLog(spark, f"{root}/log", schema)
     log.append(spark.createDataFrame([("a", 1, 1, 1), ("a", 2, 1, 3)], schema).coalesce(1))
-    q = accept_stream(log.stream().select(*schema.names)).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").outputMode("append").trigger(availableNow=True).start()
-    with pytest.raises(Exception, match="sequence 3 follows 1"):
-        q.awaitTermination()
+    with pytest.raises(Exception, match="sequence 3 at 2 leaves a gap"):
+        accept_stream(log.stream().select(*schema.names), root)
     assert issubclass(GapError, RuntimeError)
 
 
+def test_stream_takes_up_where_it_stopped(spark):
+    root = work_dir(spark, "go")
+    schema = spark.createDataFrame([], "log string, position bigint, epoch bigint, sequence bigint").schema
+    log = FileLog(spark, f"{root}/log", schema)
+    for rows in ([("a", 1, 1, 1), ("a", 2, 1, 2), ("b", 1, 5, 7)], [("a", 3, 1, 2), ("a", 4, 2, 1), ("b", 2, 5, 8)], [("a", 5, 1, 3), ("a", 6, 2, 2), ("b", 3, 6, 1)]):
+        log.append(spark.createDataFrame(rows, schema))
+        accept_stream(log.stream().select(*schema.names), root)
+    got = sorted(map(tuple, accepted_rows(spark, root, schema).collect()))
+    assert got == [("a", 1, 1, 1), ("a", 2, 1, 2), ("a", 4, 2, 1), ("a", 6, 2, 2), ("b", 1, 5, 7), ("b", 2, 5, 8), ("b", 3, 6, 1)]
+
+
 def test_clock_and_late_writes(spark):
     df = spark.createDataFrame([(i, w) for i, w in enumerate([5, 5, 4, 6, 6, 3])], "n bigint, wall bigint")
     got = [(r.hlc_wall, r.hlc_logical) for r in hybrid_clock(df, "wall", "n").orderBy("n").collect()]

@@ -453,7 +453,7 @@ def test_lookup_join_is_the_same_salted(spark, bound, how):
 def test_running_max_over_chunks(spark):
     rows = [(k, i, (i * 7) % 23) for k in (1, None) for i in range(60)]
     df = spark.createDataFrame(rows, "k bigint, at bigint, v bigint")
-    got = {(r.k, r.at): r.m for r in running_max_before(df, ["k"], "at", "v", "m", width=7).collect()}
+    got = {(r.k, r.at): r.m for r in running_max_before(df, ["k"], "at", "v", "m").collect()}
     for k, i, _ in rows:
         before = [v for k2, j, v in rows if k2 == k and j < i]
         assert got[k, i] == (max(before) if before else None)
