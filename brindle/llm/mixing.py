@@ -79,26 +79,28 @@ def mix(sized: DataFrame, shares: list[Share], id: str = "doc_id", seed: int = 1
 
     A source's quota is so many whole repetitions of all its documents and a part of one more:
     the documents first on a seeded hash line, as far as their tokens stay within the quota.
-    Where the line ends is found from sums over SLOTS slots, then document by document in that
-    one slot, so no task orders a whole source. The result depends on nothing but the rows and
+    Where the line ends is found from sums over SLOTS slots, of which one row a source is kept,
+    then document by document in that one slot, so no task orders a whole source. The result depends on nothing but the rows and
     the seed. Rows with equal ids and sizes follow each other in the line.
     """
     spark = sized.sparkSession
-    plan = spark.createDataFrame([(s.source, s.quota, int(s.quota // s.tokens) if s.tokens else 0, s.max_repeats) for s in shares if s.quota > 0] or [("", 0.0, 0, 0)], "source string, quota double, whole int, max_repeats int")
-    rows = sized.where(F.col("n_tokens") > 0).select(id, "source", "n_tokens").join(F.broadcast(plan), "source")
-    line = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col(id), F.col("source"))).withColumn("__slot", F.pmod("__h", F.lit(SLOTS)).cast("int"))
-    sums = line.groupBy("source", "__slot").agg(F.sum("n_tokens").alias("t"))
+    whole = {s.source: int(s.quota // s.tokens) if s.tokens else 0 for s in shares}
+    plan = spark.createDataFrame([(s.source, s.quota - whole[s.source] * s.tokens, whole[s.source], s.max_repeats) for s in shares if s.quota > 0] or [("", 0.0, 0, 0)], "source string, part double, whole int, max_repeats int")
+    line = sized.where(F.col("n_tokens") > 0).select(id, "source", "n_tokens").withColumn("__h", F.xxhash64(F.lit(seed), F.col(id), F.col("source"))).withColumn("__slot", F.pmod("__h", F.lit(SLOTS)).cast("int"))
+    # a row a source of the plan: at most MAX_SOURCES
+    planned = line.join(F.broadcast(plan), "source")
+    sums = planned.groupBy("source", "__slot").agg(F.sum("n_tokens").alias("t"), F.first("part").alias("part"))
     before = W.partitionBy("source").orderBy("__slot").rowsBetween(W.unboundedPreceding, 0)
-    sizes = {s.source: s for s in shares}
-    want = spark.createDataFrame([(s.source, s.quota - (s.quota // s.tokens) * s.tokens) for s in sizes.values() if s.quota > 0] or [("", 0.0)], "source string, part double")
-    ends = sums.withColumn("__upto", F.sum("t").over(before)).join(F.broadcast(want), "source")
-    # at most one row a slot and source
-    slots = ends.select("source", "__slot", (F.col("__upto") - F.col("t")).alias("__before"), "__upto", "part")
-    placed = line.join(F.broadcast(slots), ["source", "__slot"])
-    inside, cut = F.col("__upto") <= F.col("part"), (F.col("__upto") > F.col("part")) & (F.col("__before") < F.col("part"))
+    # the first slot whose end lies beyond the partial repetition: there is one, as the part is less than the whole
+    cuts = sums.withColumn("__upto", F.sum("t").over(before)).where(F.col("__upto") > F.col("part")).groupBy("source").agg(F.min(F.struct("__slot", (F.col("__upto") - F.col("t")).alias("at"))).alias("c"))
+    ends = cuts.select("source", F.col("c.__slot").alias("__cut"), F.col("c.at").alias("__before"))
+    # one row a source again
+    placed = planned.join(F.broadcast(ends), "source", "left")
+    in_cut = F.coalesce(F.col("__slot") == F.col("__cut"), F.lit(False))
     order = W.partitionBy("source").orderBy("__h", id, "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    last = placed.where(cut).withColumn("__sum", F.col("__before") + F.sum("n_tokens").over(order)).withColumn("__extra", (F.col("__sum") <= F.col("part")).cast("int")).drop("__sum")
-    rest = placed.where(~cut).withColumn("__extra", inside.cast("int"))
+    last = placed.where(in_cut).withColumn("__sum", F.col("__before") + F.sum("n_tokens").over(order)).withColumn("__extra", (F.col("__sum") <= F.col("part")).cast("int")).drop("__sum")
+    # what has no cut, by rounding, is whole
+    rest = placed.where(~in_cut).withColumn("__extra", F.coalesce(F.col("__slot") < F.col("__cut"), F.lit(True)).cast("int"))
     chosen = rest.unionByName(last).withColumn("repeats", F.least(F.col("whole") + F.col("__extra"), F.col("max_repeats")))
     return chosen.where(F.col("repeats") > 0).select(id, "source", "n_tokens", "repeats")
 
