@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -84,7 +85,7 @@ class WordTable:
 
 def _rare_words(documents: DataFrame, text: str, words: WordTable) -> DataFrame:
     """``__key, rare``: of each distinct text the (position, ids) of words not in the dictionary."""
-    texts = documents.select(F.md5(text).alias("__key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).dropDuplicates(["__key"])
+    texts = documents.select(F.sha2(text, 256).alias("__key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).dropDuplicates(["__key"])
     places = texts.select("__key", F.posexplode(split_words(F.col("text"))).alias("pos", "word"))
     # bounded by dictionary_bytes
     rare = places.join(F.broadcast(words.frequent.select("word")), "word", "left_anti")
@@ -108,7 +109,7 @@ def encode(documents: DataFrame, id: str = "doc_id", text: str = "text", ranks:
     if words.complete:
         rows = rows.withColumn("__rare", F.lit(None).cast("array<struct<pos:int,ids:array<int>>>"))
     else:
-        rows = lookup_join(rows.withColumn("__key", F.md5("__text")), _rare_words(documents, text, words), ["__key"], max_rows=0).withColumnRenamed("rare", "__rare")
+        rows = lookup_join(rows.withColumn("__key", F.sha2("__text", 256)), _rare_words(documents, text, words), ["__key"], max_rows=0).withColumnRenamed("rare", "__rare")
     rows = rows.select(F.col(id), *keep, split_words(F.col("__text")).alias("__words"), "__rare")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +146,11 @@ def encode(documents: DataFrame, id: str = "doc_id", text: str = "text", ranks:
 
 def _fill(found: pa.ListArray, rare: pa.ListArray, starts: pa.Array) -> pa.ListArray:
     """Puts the ids of words outside the dictionary at their places."""
-    lists = found.to_pylist()
-    for first, places in zip(starts.to_pylist(), rare.to_pylist()):
-        for p in places or ():
-            lists[first + p["pos"]] = p["ids"]
-    return pa.array(lists, pa.list_(pa.int32()))
+    places = rare.flatten()
+    where = pc.add(starts.take(pc.list_parent_indices(rare)), places.field("pos")).to_numpy(zero_copy_only=False)
+    pick = np.arange(len(found))
+    pick[where] = len(found) + np.arange(len(places))
+    return pa.concat_arrays([found, places.field("ids").cast(found.type)]).take(pa.array(pick))
 
 
 def decode(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", ranks: dict[bytes, int] | None = None, keep: list[str] | None = None, as_name: str = "text") -> DataFrame:
