@@ -4,13 +4,15 @@ Generators with high recall propose overlapping spans of five kinds. Boosted tre
 from its format and its context, calibrated thresholds decide, and of overlapping spans the
 likelier, then the longer one stays. Placeholders replace what is left.
 
-The trees were fitted by ``train_pii.py``; ``pii_model.json`` holds them.
+The trees were fitted by ``train_pii.py``; ``pii_model.json`` holds them. Those of the second
+set of generators, for ordinary text, are in ``open_forms.py``.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -21,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.gbt import BoostedTrees
-from brindle.llm.layout import reading
+from brindle.llm.layout import Reading, alike, reading
+from brindle.llm.open_forms import open_candidates
 from brindle.sources.shared import ship_code
 
 KINDS = ("email", "phone", "identity", "address", "name")
@@ -31,16 +34,6 @@ MAX_DIRECTORY = 100_000
 #: So many documents' candidates are held at a time.
 DOCS_AT_ONCE = 1000
 
-# Misread letters: each is mapped to one of its look-alikes, one character to one character.
-_PAIRS = dict(zip("uUaA4fFbBhHqQcC1iIl|0oOſ5sS2zZäÄöÖüÜéÉèÈêÊëËàÀâÂîÎïÏôÔûÛçÇ", "nNoOoTTHHHHGGEELLLLLOOOSSSSZZZOOOONNEEEEEEEEOOOOLLLLOONNEE"))
-_ALIKE = bytes(ord(_PAIRS.get(c, c).upper()) if len(c.upper()) == 1 and ord(_PAIRS.get(c, c).upper()) < 256 else ord(c) for c in map(chr, range(256)))
-
-
-def alike(s: str) -> str:
-    """``s`` in upper case with look-alike letters mapped to one; lengths stay equal."""
-    return s.replace("ſ", "s").encode("latin-1", "replace").translate(_ALIKE).decode("latin-1")
-
-
 def _word(w: str) -> str:
     """A pattern for a word in ``alike`` text; m may be read as rn, rn as m, ß printed as SS."""
     parts = (re.escape(alike(x)).replace("M", "(?:M|RN)") for x in re.split("[rR][nN]", w))
@@ -476,49 +469,68 @@ def candidates(s: str, d: Directory) -> list[tuple[str, int, int, list[float]]]:
     return out
 
 
-def resolve(spans: list[tuple[float, str, int, int]]) -> list[tuple[str, int, int]]:
-    """Of overlapping spans the likelier (to two places), then the longer, then the first."""
-    taken: list[tuple[str, int, int]] = []
+def resolve(spans: list[tuple[float, str, int, int]], over: list[tuple[str, int, int]] = ()) -> list[tuple[str, int, int]]:
+    """Of overlapping spans the likelier (to one place), then the longer, then the first; none
+    that overlaps one of ``over``, which stay. A search in the sorted list of what is taken."""
+    taken = sorted((a, b, kind) for kind, a, b in over)
     for _, kind, a, b in sorted(spans, key=lambda x: (-(x[1] == "email"), -round(x[0], 1), x[2] - x[3], x[2], x[1])):
-        if all(b <= x or a >= y for _, x, y in taken):
-            taken.append((kind, a, b))
-    return sorted(taken, key=lambda x: x[1:])
+        at = bisect_left(taken, (a, b, kind))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+            taken.insert(at, (a, b, kind))
+    return [(kind, a, b) for a, b, kind in taken]
 
 
 class Detector:
-    """The fitted models of all kinds, with the directory of a corpus."""
+    """The fitted models of all kinds, with the directory of a corpus.
 
-    def __init__(self, directory: list[tuple[str | None, str | None]], model: dict):
+    Two sets of generators and trees: one for the printed forms of a corpus with a directory of
+    names, one for forms of ordinary text (``open_forms``). Spans of the second set stay where
+    they overlap none of the first.
+    """
+
+    def __init__(self, directory: list[tuple[str | None, str | None]], model: dict, open_model: dict | None = None):
         self.directory = Directory(directory, model["given"])
         self.models = {k: BoostedTrees.from_dict(m) for k, m in model["kinds"].items()}
-
-    def find(self, texts: list[str | None], xs: list | None = None, n_columns: list | None = None) -> list[list[tuple[str, int, int]]]:
-        """Spans (kind, start, end) of each text, by place; none for null and empty texts."""
-        pages, rows = [], {k: ([], [], []) for k in KINDS}
-        for i, t in enumerate(texts):
-            page = reading(t, xs[i] if xs else None, n_columns[i] if n_columns else None) if t else None
-            pages.append(page)
-            for kind, a, b, f in candidates(page.text, self.directory) if page else ():
+        self.open_models = {k: BoostedTrees.from_dict(m) for k, m in open_model["kinds"].items()} if open_model else {}
+        self.given = frozenset(p for p, r in directory if p and r == "given") | frozenset(model["given"])
+        self.family = frozenset(p for p, r in directory if p and r == "family")
+
+    @staticmethod
+    def _scored(pages: list, propose, models: dict) -> list[list[tuple[float, str, int, int]]]:
+        rows = {k: ([], [], []) for k in KINDS}
+        for i, page in enumerate(pages):
+            for kind, a, b, f in propose(i, page.text) if page else ():
                 ids, at, feats = rows[kind]
                 ids.append(i)
                 at.append((a, b))
                 feats.append(f)
-        kept: list[list] = [[] for _ in texts]
+        kept: list[list] = [[] for _ in pages]
         for kind, (ids, at, feats) in rows.items():
             if ids:
-                model = self.models[kind]
-                p = model.predict(np.array(feats, np.float32))
-                for j in np.flatnonzero(p >= model.threshold):
+                p = models[kind].predict(np.array(feats, np.float32))
+                for j in np.flatnonzero(p >= models[kind].threshold):
                     kept[ids[j]].append((float(p[j]), kind, *at[j]))
+        return kept
+
+    def primary(self, page: str) -> list[tuple[str, int, int]]:
+        """What the first set finds in a page in reading order."""
+        return resolve(self._scored([Reading(page, [0], [0], page)], lambda i, s: candidates(s, self.directory), self.models)[0])
+
+    def find(self, texts: list[str | None], xs: list | None = None, n_columns: list | None = None) -> list[list[tuple[str, int, int]]]:
+        """Spans (kind, start, end) of each text, by place; none for null and empty texts."""
+        pages = [reading(t, xs[i] if xs else None, n_columns[i] if n_columns else None) if t else None for i, t in enumerate(texts)]
+        first = [resolve(spans) if spans else [] for spans in self._scored(pages, lambda i, s: candidates(s, self.directory), self.models)]
+        if self.open_models:
+            more = self._scored(pages, lambda i, s: open_candidates(s, self.given, self.family, first[i]), self.open_models)
+            first = [resolve(spans, found) if spans else found for spans, found in zip(more, first)]
         out = []
-        for page, spans in zip(pages, kept):
-            found = [(kind, *page.place(a, b)) for kind, a, b in resolve(spans)] if spans else []
-            out.append(sorted(found, key=lambda x: (x[1], x[2], x[0])))
+        for page, found in zip(pages, first):
+            out.append(sorted(((kind, *page.place(a, b)) for kind, a, b in found), key=lambda x: (x[1], x[2], x[0])))
         return out
 
 
-def load_model() -> dict:
-    return json.loads((Path(__file__).parent / "pii_model.json").read_text())
+def load_model(name: str = "pii_model") -> dict:
+    return json.loads((Path(__file__).parent / f"{name}.json").read_text())
 
 
 def read_directory(names: DataFrame) -> list[tuple[str | None, str | None]]:
@@ -539,7 +551,7 @@ def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_pii(documents: DataFrame, names: DataFrame, model: dict | None = None, id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def find_pii(documents: DataFrame, names: DataFrame, model: dict | None = None, open_model: dict | None = None, id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """``id, spans[, redacted]`` of each document; spans are (kind, char_start, char_end).
 
     A map over the documents without a shuffle; the directory and the trees go to the tasks as
@@ -549,7 +561,7 @@ def find_pii(documents: DataFrame, names: DataFrame, model: dict | None = None,
     very long texts are processed whole; other columns are not touched.
     """
     ship_code(documents.sparkSession)
-    directory, model = read_directory(names), model or load_model()
+    directory, model, open_model = read_directory(names), model or load_model(), open_model or load_model("open_model")
     cols = [F.col(id).alias("id"), F.col(text).alias("text")]
     cols.append(F.col("line_boxes.x").alias("xs") if "line_boxes" in documents.columns else F.lit(None).cast("array<int>").alias("xs"))
     cols.append(F.col("n_columns").cast("int").alias("n") if "n_columns" in documents.columns else F.lit(None).cast("int").alias("n"))
@@ -557,7 +569,7 @@ def find_pii(documents: DataFrame, names: DataFrame, model: dict | None = None,
     schema = f"id {kind}, spans array<struct<kind:string,char_start:int,char_end:int>>" + (", redacted string" if with_text else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = Detector(directory, model)
+        detector = Detector(directory, model, open_model)
         for b in batches:
             texts = [t if isinstance(t, str) else None for t in b["text"]]
             xs = [[None if v is None or v != v else int(v) for v in x] if x is not None and n is not None and n == n and n >= 2 else None for x, n in zip(b["xs"], b["n"])]
