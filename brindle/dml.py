@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.catalog import RETRIES, Catalog
+from brindle.operators.skew import lookup_join
 from brindle.sources.manifest import ConflictError
 from brindle.sql.ddl import SPARK_TYPES
 from brindle.sql.errors import ConstraintViolation, NotFound, SyntaxProblem, UniqueViolation
@@ -25,11 +26,21 @@ def _first_clash(rows: DataFrame, index: dict, existing: DataFrame | None) -> tu
         given = given.dropna("any")
     twice = given.groupBy(*keys).count().where("count > 1").select(*keys).limit(1).collect()
     if not twice and existing is not None:
-        old = existing.select(*(F.col(k).alias(f"__{k}") for k in keys))
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        twice = given.join(old, same, "left_semi").limit(1).collect()
+        # only what lies in the new keys' range is read: nothing, for numbers that grow
+        bounds = given.agg(*(f(k).alias(f"{n}{i}") for i, k in enumerate(keys) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+        old = existing.select(*keys)
+        for i, k in enumerate(keys):
+            if bounds[f"lo{i}"] is not None:
+                inside = F.col(k).between(F.lit(bounds[f"lo{i}"]), F.lit(bounds[f"hi{i}"]))
+                old = old.where(inside | F.col(k).isNull() if index["kind"] == "unique_nulls_not_distinct" else inside)
+        if index["kind"] == "unique_nulls_not_distinct":
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+            twice = given.join(old.toDF(*(f"__{k}" for k in keys)), same, "left_semi").limit(1).collect()
+        else:
+            # the table is not shuffled as long as the new keys fit a broadcast
+            twice = lookup_join(old, given, keys, "left_semi").limit(1).collect()
     return tuple(twice[0]) if twice else None
 
 
@@ -74,6 +85,7 @@ def insert(catalog: Catalog, table: dict, source: DataFrame, columns: list[str]
 
     for c in listed:
         if not by_name[c]["nullable"] and staged.where(F.col(c).isNull()).limit(1).count():
+            data.delete(staged_at)
             raise ConstraintViolation(f"null in column {c}, which is not nullable")
 
     if ordered:  # a literal list, on the driver already
@@ -99,6 +111,7 @@ def insert(catalog: Catalog, table: dict, source: DataFrame, columns: list[str]
                 start = counters.get(str(c["id"]), 0)
                 counters[str(c["id"])] = start + n
                 if start + n > _LIMITS[c["kind"]]:
+                    data.delete(staged_at)
                     raise ConstraintViolation(f"serial column {c['name']} is exhausted")
                 rows = rows.withColumn(c["name"], (F.lit(start + 1) + F.col("__n")).cast(SPARK_TYPES[c["kind"]]))
             else:

@@ -12,7 +12,7 @@ from brindle.operators.orphans import Reference, orphan_counts, orphans
 from brindle.operators.versions import HYBRID
 from brindle.sources.shared import work_dir
 from brindle.sources.tables import table
-from brindle.streaming.changefeed import KEYS, ORDER, PAYLOAD, apply_feed, current_table
+from brindle.streaming.changefeed import KEYS, ORDER, PAYLOAD, apply_feed, current_table, fold
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(spark, sf_dir).select("tablet_id", F.lower(F.hex("key")).alias("key_hex"), "epoch", "sequence", "write_no")
 
 
+def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from four micro-batches in order of arrival, each of which meets the state of
+    those before; upserts are folded half way."""
+    root, changes = work_dir(spark, "p2"), table(spark, sf_dir, "timestamped_values")
+    cuts = changes.agg(F.percentile_approx(F.unix_micros(F.col("arrived_at").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or [0, 0, 0]
+    at = F.coalesce(F.unix_micros(F.col("arrived_at").cast("timestamp")), F.lit(0))
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = changes.where((at > low if low is not None else F.lit(True)) & (at <= high if high is not None else F.lit(True)))
+        part.write.mode("append").parquet(f"{root}/in")
+        apply_feed(spark, f"{root}/in", changes.schema, root)
+        if k == 1:
+            fold(spark, root, changes.schema)
+    now = current_table(spark, root, changes.schema)
+    return now.select("tablet_id", F.lower(F.hex("key")).alias("key_hex"), "epoch", "sequence", "write_no")
+
+
 def p2_current_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current table itself: payloads of all live keys."""
     return _feed(spark, sf_dir).select("tablet_id", F.lower(F.hex("key")).alias("key_hex"), "kind", "v_int", "v_float", F.lower(F.hex("v_bytes")).alias("v_bytes_hex"), "v_string")
@@ -151,7 +167,7 @@ def p5_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_counts(*_references(spark, sf_dir), heavy_refs=20)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_current_table, p3_found, p3_unique, p3_malformed, p3_ranges, p3_large_ids, p4_found, p4_compacted, p4_entries, p4_recompacted, p5_found, p5_report, p5_heavy)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_batches, p2_current_table, p3_found, p3_unique, p3_malformed, p3_ranges, p3_large_ids, p4_found, p4_compacted, p4_entries, p4_recompacted, p5_found, p5_report, p5_heavy)}
 
 _COMMITTED = """committed AS (
   SELECT log_name, log_position FROM (
@@ -231,3 +247,4 @@ SELECT shard_id, count(DISTINCT l.file_uri) AS n_files, count(*) AS n_entries, C
 }
 ORACLE["p5_heavy"] = ORACLE["p5_report"]
 ORACLE["p4_recompacted"] = ORACLE["p4_entries"]
+ORACLE["p2_batches"] = ORACLE["p2_found"]

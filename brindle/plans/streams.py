@@ -9,7 +9,7 @@ from brindle.operators.skew import Line, lookup_join
 from brindle.operators.versions import newest
 from brindle.sources.shared import work_dir
 from brindle.sources.tables import table
-from brindle.streaming.logs import FileLog, accept, accept_stream, accepted_rows, compact_versions, follower_can_read, hybrid_clock, push_late, replay
+from brindle.streaming.logs import CompactedLog, FileLog, accept, accept_stream, accepted_rows, compact_versions, follower_can_read, hybrid_clock, kafka_messages, kafka_records, push_late, quorum_times, replay, replicated_reads
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,34 @@ def compaction_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(at).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
 
 
+def log_compact_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended in six batches to a log that compacts after a third of them, read again
+    by a log that is opened anew."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    last, root = (e.agg(F.max("event_id")).first()[0] or 0) + 1, work_dir(spark, "log")
+    opened = lambda: CompactedLog(spark, root, e.schema, ["user_id"], ["ts", "event_id"], trigger=max(1, last // 3))
+    log = opened()
+    for k in range(6):
+        log.append(e.where((F.col("event_id") >= last * k // 6) & (F.col("event_id") < last * (k + 1) // 6)))
+    again = opened()
+    return again.rows().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("value", F.struct("ts", "event_id")).alias("value")).withColumn("compacted", F.lit(again.table.version() > 0 and again.behind() < last))
+
+
+def log_quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are writes, their lines acknowledgements by replicas: when two of them have come,
+    and when a read at the order's date is served."""
+    acks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("w"), F.col("l_suppkey").alias("replica"), F.col("l_shipdate").alias("at"))
+    reads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("w"), F.col("o_orderdate").alias("asked"))
+    return replicated_reads(reads, quorum_times(acks, "w", "at", 2), "w", "asked").select("w", "served")
+
+
+def kafka_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stored messages as records of a topic and back."""
+    m = table(spark, sf_dir, "data_messages")
+    back = kafka_messages(kafka_records(m, "log_name"), m.schema, "log_name")
+    return back.groupBy("log_name").agg(F.count(F.lit(1)).alias("n"), F.sum("sequence").alias("s"), F.count("operation").alias("ops"), F.max("arrived_at").alias("last"))
+
+
 def file_log_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of files: appended in batches, read from a position, trimmed to the last batch."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -169,7 +197,7 @@ def pandas_udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr("pg_unaccent(text)").alias("plain"))
 
 
-_ALL = (log_accept, log_dedupe_stream, log_replay, compaction_snapshot, file_log_trim, hlc_order, closed_ts_late, follower_read, stream_window, stream_session, stream_join, stream_late, stream_dedupe, pandas_udf_scalar)
+_ALL = (log_accept, log_dedupe_stream, log_replay, compaction_snapshot, log_compact_restart, log_quorum, kafka_round_trip, file_log_trim, hlc_order, closed_ts_late, follower_read, stream_window, stream_session, stream_join, stream_late, stream_dedupe, pandas_udf_scalar)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: The verdict on each message by windows over whole logs.
@@ -184,6 +212,10 @@ ORACLE = {
       SELECT log || '/' || CAST(gaps AS bigint) AS log, count(*) AS n, max(position) AS last FROM g WHERE verdict <> 'skip' GROUP BY ALL""",
     "log_replay": "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "compaction_snapshot": "SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id",
+    "log_compact_restart": "SELECT user_id, count(*) AS n, arg_max(value, (ts, event_id)) AS value, true AS compacted FROM events GROUP BY user_id",
+    "log_quorum": """WITH f AS (SELECT l_orderkey AS w, l_suppkey, min(l_shipdate) AS t FROM lineitem GROUP BY ALL), q AS (SELECT w, t FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY t) AS k FROM f) WHERE k = 2)
+      SELECT o_orderkey AS w, CASE WHEN q.t IS NOT NULL THEN greatest(o_orderdate, q.t) END AS served FROM orders LEFT JOIN q ON q.w = o_orderkey""",
+    "kafka_round_trip": "SELECT log_name, count(*) AS n, CAST(sum(sequence) AS bigint) AS s, count(operation) AS ops, max(arrived_at) AS last FROM data_messages GROUP BY log_name",
     "file_log_trim": "SELECT * FROM (VALUES (2, CAST(8 AS bigint), 'read'), (3, 8, 'read'), (3, 8, 'trimmed')) t(batch, n, stage)",
     "hlc_order": """WITH w AS (SELECT event_id, CAST(floor(epoch(ts) / 600) AS bigint) - event_id % 3 AS wall FROM events), h AS (SELECT event_id, max(wall) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS hlc_wall FROM w)
       SELECT event_id, hlc_wall, row_number() OVER (PARTITION BY hlc_wall ORDER BY event_id) - 1 AS hlc_logical FROM h""",

@@ -13,11 +13,15 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop) a temporary folder is made once and
-    remembered in the session; on a cluster the setting must be there.
+    Where a local session names none (tests, a laptop) a temporary folder is made once and
+    remembered in the session; on a cluster the setting must be there, as no folder of one
+    machine is seen by the others.
     """
     at = spark.conf.get(SETTING, "")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"{SETTING} names no folder that all executors of {master} can reach")
         at = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set(SETTING, at)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

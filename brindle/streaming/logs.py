@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.operators.skew import Line, running_max_before
+from brindle.operators.skew import Line, lookup_join, running_max_before
 from brindle.operators.versions import newest
 
 
@@ -176,9 +176,98 @@ class FileLog:
         return [b for b, _ in kept]
 
 
+#: Messages since the last compaction that make the next one due.
+COMPACT_AFTER = 5000
+
+
+class CompactedLog:
+    """A log of versions that is folded into a snapshot once enough messages have come.
+
+    ``append`` adds a batch and compacts when ``trigger`` messages lie behind the snapshot;
+    all versions are kept, once each. What is read is the snapshot and the log's tail, so a
+    process that starts again reads the tail only. Snapshot and position are published in one
+    manifest version; a compaction that loses the race to another leaves nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str], trigger: int = COMPACT_AFTER):
+        from brindle.sources.manifest import SnapshotTable
+
+        self.spark, self.schema, self.keys, self.order, self.trigger = spark, schema, list(keys), list(order), trigger
+        self.log, self.table = FileLog(spark, f"{root}/log", schema), SnapshotTable(spark, f"{root}/snapshots")
+
+    def append(self, rows: DataFrame) -> int:
+        number = self.log.append(rows)
+        if self.behind() >= self.trigger:
+            self.compact()
+        return number
+
+    def behind(self) -> int:
+        """Messages that no snapshot holds yet."""
+        return self.log.read(after=self.table.read().get("upto", 0)).count()
+
+    def rows(self) -> DataFrame:
+        """All versions: the snapshot's and the tail's, once each."""
+        state = self.table.read()
+        tail = self.log.read(after=state.get("upto", 0)).select(*self.schema.names)
+        whole = tail if "snapshot" not in state else self.spark.read.schema(self.schema).parquet(state["snapshot"]).unionByName(tail)
+        return whole.dropDuplicates([*self.keys, *self.order])
+
+    def compact(self) -> int:
+        base, upto = self.table.version(), self.log.latest()
+        path = self.table.data_path("snapshot")
+        compact_versions(self.rows(), self.keys, self.order, path)
+        return self.table.publish(base, {"snapshot": path, "upto": upto})
+
+
+def quorum_times(acks: DataFrame, write: str, at: str, quorum: int) -> DataFrame:
+    """``write, replicated``: when the ``quorum``-th replica had acknowledged each write.
+
+    Null while fewer have. A replica that acknowledges twice counts by its first time
+    (``replica``). At most one time a replica is held together for a write.
+    """
+    first = acks.groupBy(write, "replica").agg(F.min(at).alias("__at"))
+    return first.groupBy(write).agg(F.try_element_at(F.sort_array(F.collect_list("__at")), F.lit(quorum)).alias("replicated"))
+
+
+def replicated_reads(reads: DataFrame, replicated: DataFrame, write: str, at: str) -> DataFrame:
+    """Adds ``served``: a read of a value that is not replicated yet waits until it is.
+
+    ``reads`` name the ``write`` whose value they find (null: none, which needs no waiting).
+    Null where the write isn't replicated.
+    """
+    both = lookup_join(reads, replicated, [write])
+    return both.withColumn("served", F.when(F.col(write).isNull(), F.col(at)).when(F.col("replicated").isNotNull(), F.greatest(at, "replicated"))).drop("replicated")
+
+
+#: Times in full, to the microsecond.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def kafka_records(messages: DataFrame, log: str = "log") -> DataFrame:
+    """Messages as records: ``key`` and ``value``, both binary. A null log has no key."""
+    rest = [F.col(f"`{c}`") for c in messages.columns if c != log]
+    return messages.select(F.col(log).cast("binary").alias("key"), F.to_json(F.struct(*rest), _JSON | {"ignoreNullFields": "false"}).cast("binary").alias("value"))
+
+
+def kafka_messages(records: DataFrame, schema: T.StructType, log: str = "log") -> DataFrame:
+    """Records as messages of ``schema`` again; works on a batch and on a stream."""
+    rest = T.StructType([f for f in schema if f.name != log])
+    return records.select(F.col("key").cast("string").alias(log), F.from_json(F.col("value").cast("string"), rest, _JSON).alias("m")).select(log, "m.*").select(*schema.names)
+
+
 def kafka_log(spark: SparkSession, servers: str, topic: str, starting: str = "earliest") -> DataFrame:
     """A Kafka topic as a stream; needs the connector on the class path."""
     try:
         return spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": "true"}).load()
     except Exception as e:
         raise RuntimeError("the Kafka connector is not on the class path") from e
+
+
+def kafka_sink(messages: DataFrame, servers: str, topic: str, checkpoint: str, log: str = "log"):
+    """Writes a stream of messages to a Kafka topic, a log's in order; at least once, as
+    Kafka's sink is. Returns the running query; needs the connector on the class path."""
+    out = kafka_records(messages, log).writeStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint, "kafka.enable.idempotence": "true"})
+    try:
+        return out.start()
+    except Exception as e:
+        raise RuntimeError("the Kafka connector is not on the class path") from e

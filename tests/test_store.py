@@ -14,7 +14,7 @@ from brindle.kv.txn import Txn, TxnAborted, deadlocks, expire, lock_queue, merge
 from brindle.operators.relational import asof_join, merge_spans, range_join, split_spans
 from brindle.sources.manifest import SnapshotTable
 from brindle.sources.shared import shared_dir, work_dir
-from brindle.streaming.logs import FileLog, GapError, accept, accept_stream, accepted_rows, hybrid_clock, push_late
+from brindle.streaming.logs import FileLog, GapError, accept, accept_stream, accepted_rows, hybrid_clock, kafka_log, kafka_messages, kafka_records, push_late, quorum_times, replicated_reads
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 V = "key string, ts bigint, seq bigint, alive boolean, v_int bigint"
@@ -264,3 +264,24 @@ def test_expired_transactions(spark):
     txns = spark.createDataFrame([("a", "pending", 0), ("b", "pending", 0), ("c", "committed", 0), ("d", "pending", 96)], "txn_id string, status string, started bigint")
     beats = spark.createDataFrame([("a", 90), ("a", 97), ("b", 50), ("x", 99)], "txn_id string, at bigint")
     assert {r.txn_id: r.status_now for r in expire(txns, beats, 100, 5).collect()} == {"a": "pending", "b": "aborted", "c": "committed", "d": "pending"}
+
+
+def test_kafka_records_keep_every_kind(spark):
+    import datetime
+
+    schema = "log string, n bigint, d double, b binary, t timestamp_ntz, s string"
+    rows = [("a", 1, 0.1, b"\x00\xff", datetime.datetime(2024, 1, 1, 0, 0, 0, 7), "ü\n"), ("b", None, None, None, None, None), (None, 2, 1e300, b"", datetime.datetime(1960, 1, 1), "")]
+    df = spark.createDataFrame(rows, schema)
+    back = kafka_messages(kafka_records(df), df.schema)
+    assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, map(tuple, df.collect())))
+    with pytest.raises(RuntimeError, match="connector"):
+        kafka_log(spark, "localhost:1", "t")
+
+
+def test_quorum_and_waiting_reads(spark):
+    acks = spark.createDataFrame([("w", "r1", 5), ("w", "r1", 9), ("w", "r2", 7), ("w", "r3", 8), ("v", "r1", 1)], "w string, replica string, at bigint")
+    times = {r.w: r.replicated for r in quorum_times(acks, "w", "at", 2).collect()}
+    assert times == {"w": 7, "v": None}
+    reads = spark.createDataFrame([("w", 3), ("w", 12), ("v", 3), (None, 4)], "w string, at bigint")
+    got = sorted((str(r.w), r["at"], r.served) for r in replicated_reads(reads, quorum_times(acks, "w", "at", 2), "w", "at").collect())
+    assert got == [("None", 4, 4), ("v", 3, None), ("w", 3, 7), ("w", 12, 12)]

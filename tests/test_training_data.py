@@ -17,7 +17,7 @@ from brindle.operators.skew import lookup_join, running_max_before
 from brindle.operators.versions import newest
 from brindle.sources.manifest import ConflictError, SnapshotTable
 from brindle.sources.shared import work_dir
-from brindle.streaming.changefeed import apply_feed, current_table, latest_state
+from brindle.streaming.changefeed import apply_feed, current_table, fold, latest_state
 
 MSG = "log_name string, log_offset bigint, tablet_id bigint, epoch bigint, sequence bigint, operation string, txn_id string"
 RUNS = "run_id bigint, log_name string, finished_at timestamp_ntz, status string, log_position bigint"
@@ -164,6 +164,21 @@ def test_feed_in_batches_equals_one_batch_and_keeps_tombstones(spark, tmp_path):
     assert again >= -1 and final(current_table(spark, root, schema)) == want
 
 
+def test_folding_keeps_the_table_and_drops_old_tombstones(spark, tmp_path):
+    source, root, schema = str(tmp_path / "in"), work_dir(spark, "t2"), spark.createDataFrame([], FEED).schema
+    batches = [[change(b"a", 1, 1), change(b"b", 2, 2), change(b"c", 3, 3)], [change(b"a", 4, None), change(b"b", 5, 5)], [change(b"a", 2, 9), change(b"c", 6, None), change(b"d", 7, 7)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, FEED).coalesce(1).write.mode("append").parquet(source)
+        apply_feed(spark, source, schema, root)
+        if k == 1:
+            assert fold(spark, root, schema, expire_before=5) == 1
+            assert final(current_table(spark, root, schema, with_deleted=True)) == {(1, b"b"): 5, (1, b"c"): 3}
+    # the older change of a came after its tombstone was left out, and is still refused
+    assert final(current_table(spark, root, schema)) == {(1, b"b"): 5, (1, b"d"): 7}
+    assert fold(spark, root, schema) == 2 and final(current_table(spark, root, schema)) == {(1, b"b"): 5, (1, b"d"): 7}
+    assert fold(spark, root, schema) == 2
+
+
 def test_feed_of_nothing(spark, tmp_path):
     schema = spark.createDataFrame([], FEED).schema
     assert current_table(spark, str(tmp_path / "none"), schema).count() == 0
