@@ -11,34 +11,36 @@ from brindle.sources.shared import work_dir
 from brindle.sources.tables import read_files, table, write_files
 from brindle.sql.errors import SqlError
 
-_TABLE1 = "CREATE TABLE table1 (id serial PRIMARY KEY, count bigint, price real, description text)"
-_ROWS1 = "INSERT INTO table1 (count, price, description) VALUES (4, 15.6, NULL), (3, 7.8, 'NNNNNN'), (8, 3.4, 'a'), (8, 2.9, 'b')"
-
-
 def _engine(spark: SparkSession, sf_dir: str | None = None, tables: list[str] | None = None) -> Engine:
     e = Engine(spark, "test1", "user1", root=work_dir(spark, "engine"), tables_dir=sf_dir, tables=tables)
     e.sql("CREATE DATABASE test1")
     return e
 
 
+def _crates(spark: SparkSession, sf_dir: str) -> tuple[Engine, DataFrame]:
+    """A table with a serial key and one row a nation, written out as a list of values."""
+    e = _engine(spark, sf_dir, ["supplier"])
+    e.sql("CREATE TABLE crates (no serial PRIMARY KEY, pieces bigint, fee real, note text)")
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25
+    values = ", ".join(f"({r.n_regionkey}, {r.n_nationkey}.25, {'NULL' if r.n_regionkey == 0 else repr(r.n_name)})" for r in rows)
+    return e, e.sql(f"INSERT INTO crates (pieces, fee, note) VALUES {values}")
+
+
 def insert_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark)
-    e.sql(_TABLE1)
-    e.sql(_ROWS1)
-    return e.sql("SELECT id, count, description FROM table1 ORDER BY count DESC, id ASC")
+    """Serial numbers of a list of values: in its order."""
+    return _crates(spark, sf_dir)[0].sql("SELECT no, pieces, note FROM crates ORDER BY pieces DESC, no ASC")
 
 
 def insert_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark)
-    e.sql(_TABLE1)
-    return e.sql(_ROWS1)
+    """What an INSERT of values and one of a query answer."""
+    e, first = _crates(spark, sf_dir)
+    return first.unionByName(e.sql("INSERT INTO crates (pieces, note) SELECT s_nationkey, s_name FROM supplier WHERE s_acctbal > 0"))
 
 
 def insert_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark)
-    e.sql(_TABLE1)
-    e.sql(_ROWS1)
-    return e.sql("SELECT CAST(sum(count) AS bigint) AS s, round(CAST(max(price) AS double), 3) AS hi, round(CAST(min(price) AS double), 3) AS lo, round(sum(count * price), 3) AS total FROM table1 ORDER BY max(price) DESC")
+    e, _ = _crates(spark, sf_dir)
+    e.sql("INSERT INTO crates (pieces, fee) SELECT s_nationkey, s_acctbal FROM supplier")
+    return e.sql("SELECT CAST(sum(pieces) AS bigint) AS s, round(CAST(max(fee) AS double), 2) AS hi, round(CAST(min(fee) AS double), 2) AS lo, round(sum(pieces * round(CAST(fee AS double), 2)), 1) AS total, max(no) AS last FROM crates ORDER BY max(fee) DESC")
 
 
 def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,25 +78,27 @@ def _refused(e: Engine, statement: str) -> str:
 
 
 def insert_unique_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark)
-    e.sql("CREATE TABLE table1 (id serial PRIMARY KEY, name text, description text, CONSTRAINT unique_name UNIQUE NULLS DISTINCT (name))")
-    e.sql("INSERT INTO table1 (name, description) VALUES (NULL, 'row1'), ('name2', 'row2'), (NULL, 'row3')")
-    said = _refused(e, "INSERT INTO table1 (name, description) VALUES ('name2', 'row4')")
-    return e.sql("SELECT id, name, description FROM table1 ORDER BY id").withColumn("second", F.lit(said))
+    """All nulls of a unique column are let in, a second copy of a value is not."""
+    e = _engine(spark, sf_dir, ["documents"])
+    e.sql("CREATE TABLE shelves (no serial PRIMARY KEY, label text, CONSTRAINT one_label UNIQUE NULLS DISTINCT (label))")
+    e.sql("INSERT INTO shelves (label) SELECT DISTINCT source FROM documents UNION ALL SELECT NULL FROM documents")
+    said = [_refused(e, f"INSERT INTO shelves (label) SELECT {what} FROM documents WHERE source IS NOT NULL") for what in ("max(source)", "max(source) || '!'", "source || '?'")]
+    return e.sql("SELECT label, count(*) AS n, count(DISTINCT no) AS numbers FROM shelves GROUP BY label").withColumn("said", F.lit(",".join(said)))
 
 
 def insert_unique_not_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark)
-    e.sql("CREATE TABLE table1 (id serial PRIMARY KEY, name text, description text, CONSTRAINT unique_name UNIQUE NULLS NOT DISTINCT (name))")
-    said = _refused(e, "INSERT INTO table1 (name, description) VALUES (NULL, 'row1'), ('name2', 'row2'), (NULL, 'row3')")
-    return e.sql("SELECT count(*) AS n FROM table1").withColumn("said", F.lit(said))
+    """Where nulls are equal, one is let in."""
+    e = _engine(spark, sf_dir, ["documents"])
+    e.sql("CREATE TABLE shelves (no serial PRIMARY KEY, label text, CONSTRAINT one_label UNIQUE NULLS NOT DISTINCT (label))")
+    said = [_refused(e, f"INSERT INTO shelves (label) {what}") for what in ("SELECT NULL FROM documents", "SELECT source FROM documents WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT NULL", "SELECT NULL")]
+    return e.sql("SELECT label FROM shelves").withColumn("said", F.lit(",".join(said)))
 
 
 def ddl_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptors after databases and tables were made and dropped."""
     e = _engine(spark)
     e.sql("CREATE DATABASE IF NOT EXISTS test1")
-    e.sql("CREATE TABLE IF NOT EXISTS example (id bigserial PRIMARY KEY, name varchar(40) NOT NULL, description varchar, CONSTRAINT unique_name UNIQUE(name))")
+    e.sql("CREATE TABLE IF NOT EXISTS ledger (no bigserial PRIMARY KEY, code varchar(12) NOT NULL, remark varchar, CONSTRAINT one_code UNIQUE(code))")
     e.sql("CREATE TABLE gone (a int PRIMARY KEY)")
     e.sql("DROP TABLE gone")
     e.sql("DROP TABLE IF EXISTS gone")
@@ -148,15 +152,17 @@ def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (insert_serial, insert_count, insert_aggregate, insert_select, agg_functional, insert_not_null, insert_unique_distinct, insert_unique_not_distinct, ddl_catalog, statement_errors, explain_statement, wire_format, file_formats, join_salted)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {
-    "insert_serial": "SELECT * FROM (VALUES (3, 8, 'a'), (4, 8, 'b'), (1, 4, NULL), (2, 3, 'NNNNNN')) t(id, count, description)",
-    "insert_count": "SELECT CAST(4 AS bigint) AS count",
-    "insert_aggregate": "SELECT CAST(23 AS bigint) AS s, 15.6::double AS hi, 2.9::double AS lo, 136.2::double AS total",
+    "insert_serial": "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS int) AS no, CAST(n_regionkey AS bigint) AS pieces, CASE WHEN n_regionkey <> 0 THEN n_name END AS note FROM nation",
+    "insert_count": "SELECT count(*) AS count FROM nation UNION ALL SELECT count(*) FROM supplier WHERE s_acctbal > 0",
+    "insert_aggregate": """WITH c AS (SELECT n_regionkey AS pieces, n_nationkey + 0.25 AS fee FROM nation UNION ALL SELECT s_nationkey, s_acctbal FROM supplier)
+      SELECT CAST(sum(pieces) AS bigint) AS s, CAST(max(fee) AS double) AS hi, CAST(min(fee) AS double) AS lo, round(sum(pieces * round(fee, 2)), 1) AS total, CAST(count(*) AS int) AS last FROM c""",
     "insert_select": "SELECT CAST(1 AS bigint) AS lo, count(*) + count(*) FILTER (WHERE o_orderstatus = 'P') AS hi, count(*) + count(*) FILTER (WHERE o_orderstatus = 'P') AS n, count(*) FILTER (WHERE o_orderstatus = 'P') AS negative FROM orders",
     "agg_functional": "SELECT c_custkey AS id, any_value(c_name) AS label, any_value(c_mktsegment) || '!' AS loud, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "insert_not_null": "SELECT count(*) AS n, CAST(0 AS bigint) AS n_pages, count(DISTINCT coalesce(lang, '?')) AS langs, 'ConstraintViolation,ConstraintViolation,NotFound,done' AS said FROM documents",
-    "insert_unique_distinct": "SELECT *, 'UniqueViolation' AS second FROM (VALUES (1, NULL, 'row1'), (2, 'name2', 'row2'), (3, NULL, 'row3')) t(id, name, description)",
-    "insert_unique_not_distinct": "SELECT CAST(0 AS bigint) AS n, 'UniqueViolation' AS said",
-    "ddl_catalog": "SELECT * FROM (VALUES (CAST(1 AS bigint), 'test1', 'database', CAST(0 AS bigint), '', ''), (2, 'public', 'schema', 1, '', ''), (3, 'example', 'table', 2, 'id,name,description', '1:primary,2:unique_nulls_distinct')) t(id, name, kind, parent_id, columns, indices)",
+    "insert_unique_distinct": """WITH r AS (SELECT DISTINCT source AS label FROM documents UNION ALL SELECT NULL FROM documents UNION ALL SELECT max(source) || '!' FROM documents)
+      SELECT label, count(*) AS n, count(*) AS numbers, 'UniqueViolation,done,UniqueViolation' AS said FROM r GROUP BY label""",
+    "insert_unique_not_distinct": "SELECT *, 'UniqueViolation,done,UniqueViolation' AS said FROM (SELECT DISTINCT source AS label FROM documents WHERE source IS NOT NULL UNION ALL SELECT NULL)",
+    "ddl_catalog": "SELECT * FROM (VALUES (CAST(1 AS bigint), 'test1', 'database', CAST(0 AS bigint), '', ''), (2, 'public', 'schema', 1, '', ''), (3, 'ledger', 'table', 2, 'no,code,remark', '1:primary,2:unique_nulls_distinct')) t(id, name, kind, parent_id, columns, indices)",
     "statement_errors": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_CLASSES)) + ") t(i, said)",
     "explain_statement": "SELECT true AS pushed",
     "wire_format": "SELECT * FROM (VALUES (0, 't'), (1, 'f'), (2, NULL), (3, '12'), (4, '\\x6869'), (5, '1.5'), (6, '7'), (7, 'NaN'), (8, 'Infinity'), (9, '-Infinity')) t(i, v)",

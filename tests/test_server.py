@@ -75,9 +75,9 @@ def test_hello(client):
 
 def test_statements(client):
     assert client.query("CREATE DATABASE test1")[0] == (b"C", b"CREATE DATABASE\0")
-    assert client.rows("CREATE TABLE table1 (id serial PRIMARY KEY, count bigint, price real, description text)") == [["created"]]
-    assert client.query("INSERT INTO table1 (count, price, description) VALUES (4, 15.6, NULL), (3, 7.8, 'NNNNNN')")[0] == (b"C", b"INSERT 0 2\0")
-    reply = client.query("SELECT id, count, price, description, true AS b FROM table1 ORDER BY id")
+    assert client.rows("CREATE TABLE crates (no serial PRIMARY KEY, pieces bigint, fee real, note text)") == [["created"]]
+    assert client.query("INSERT INTO crates (pieces, fee, note) VALUES (5, 12.5, NULL), (2, 8.25, 'zz')")[0] == (b"C", b"INSERT 0 2\0")
+    reply = client.query("SELECT no, pieces, fee, note, true AS b FROM crates ORDER BY no")
     kind, body = reply[0]
     assert kind == b"T" and [x[0] for x in reply] == [b"T", b"D", b"D", b"C", b"Z"] and reply[3][1] == b"SELECT 2\0"
     oids, at = [], 2
@@ -86,10 +86,10 @@ def test_statements(client):
         oids.append(struct.unpack_from("!IHI", body, at)[2])
         at += 18
     assert oids == [23, 20, 700, 25, 16]
-    assert client.rows("SELECT id, description, id > 1 FROM table1 ORDER BY id") == [["1", None, "f"], ["2", "NNNNNN", "t"]]
+    assert client.rows("SELECT no, note, no > 1 FROM crates ORDER BY no") == [["1", None, "f"], ["2", "zz", "t"]]
     port = client.s.getsockname()[1]
     assert client.rows("SELECT current_catalog, current_user, inet_client_port()") == [["test1", "user1", str(port)]]
-    assert client.query("DROP TABLE table1")[0] == (b"C", b"DROP TABLE\0")
+    assert client.query("DROP TABLE crates")[0] == (b"C", b"DROP TABLE\0")
 
 
 @pytest.mark.parametrize("sql", ["SELECT 1; SELECT 2", "UPDATE t SET a = 1", "SELECT * FROM nowhere", "SELECT CAST('x' AS int)", "SELECT 'open"])
