@@ -114,6 +114,10 @@ PAIRS: dict[str, tuple[str, str]] = {
         """SELECT event_id, lag(value) OVER w AS before, lead(value, 2, -1.0) OVER w AS after2, lag(CASE WHEN value > 50 THEN value END IGNORE NULLS) OVER w AS last_big
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     ),
+    "win_qualify": (
+        """SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 1000 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2 AND count(*) OVER (PARTITION BY o_custkey) > 3 ORDER BY o_orderkey""",
+        """SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_totalprice > 1000) WHERE rn <= 2 AND n > 3""",
+    ),
     "sort_nulls": (
         "SELECT doc_id, lang FROM documents ORDER BY lang DESC, doc_id LIMIT 40",
         "SELECT doc_id, lang FROM documents ORDER BY lang DESC NULLS FIRST, doc_id LIMIT 40",

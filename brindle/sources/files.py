@@ -28,10 +28,14 @@ def listed_files(df: DataFrame) -> dict[str, tuple[int, int]] | None:
     relation = _relation(df)
     if relation is None or relation.fileFormat().toString().lower() not in _FORMATS:
         return None
-    text = relation.location().allFiles().mkString("\n")
+    statuses = relation.location().allFiles()
+    text = statuses.mkString("\n")
     found = {m[1]: (int(m[2]), int(m[3])) for m in map(_STATUS.search, text.splitlines()) if m}
+    if len(found) != statuses.size() or "null" in found:  # a filesystem that prints its files otherwise is asked for each
+        each = (statuses.apply(i) for i in range(statuses.size()))
+        found = {f.getPath().toString(): (f.getLen(), f.getModificationTime()) for f in each}
     # glob characters in a name would be taken for patterns
-    return None if any(set(p) & set("*?[]{}\\") for p in found) or len(found) != len(text.splitlines()) else found
+    return None if any(set(p) & set("*?[]{}\\") for p in found) else found
 
 
 def scan_of(df: DataFrame, paths: list[str]) -> DataFrame:
