@@ -9,6 +9,7 @@ from brindle.operators.compaction import Compactor, Plan
 from brindle.operators.dedupe import Deduper, Message
 from brindle.operators.incremental import IncrementalRun, committed_positions
 from brindle.operators.orphans import Reference, orphan_counts, orphans
+from brindle.operators.skew import lookup_join
 from brindle.operators.versions import HYBRID
 from brindle.sources.shared import work_dir
 from brindle.sources.tables import table
@@ -32,6 +33,21 @@ def p1_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.committed().select("log_name", F.col("__lower").alias("log_position")).join(left, "log_name", "left").select("log_name", "log_position", F.coalesce("n_left", F.lit(0)).cast("long").alias("n_left"))
 
 
+def p1_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two runs put out that see the log grow: each record once, and the second run's rows
+    read are those of the new files alone."""
+    root, messages = work_dir(spark, "p1"), table(spark, sf_dir, "data_messages")
+    middle = messages.groupBy("log_name").agg(((F.min("log_offset") + F.max("log_offset")) / 2).alias("__middle"))
+    halves = lookup_join(messages, middle, ["log_name"]).withColumn("__late", F.coalesce(F.col("log_offset") > F.col("__middle"), F.lit(False))).drop("__middle")
+    run, read = IncrementalRun(spark, f"{root}/run"), []
+    for late in (False, True):
+        halves.where(F.col("__late") == late).drop("__late").write.mode("append").parquet(f"{root}/log")
+        pending = run.plan(spark.read.schema(messages.schema).parquet(f"{root}/log"))
+        read.append(set(pending.files))
+        run.commit(pending)
+    return run.output().groupBy("tablet_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("epoch", "sequence").alias("identities")).withColumn("new_files_only", F.lit(read[0].isdisjoint(read[1])))
+
+
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, source = work_dir(spark, "p2"), f"{sf_dir}/timestamped_values.parquet"
     schema = spark.read.parquet(source).schema
@@ -167,7 +183,7 @@ def p5_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_counts(*_references(spark, sf_dir), heavy_refs=20)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p2_found, p2_batches, p2_current_table, p3_found, p3_unique, p3_malformed, p3_ranges, p3_large_ids, p4_found, p4_compacted, p4_entries, p4_recompacted, p5_found, p5_report, p5_heavy)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p1_two_runs, p2_found, p2_batches, p2_current_table, p3_found, p3_unique, p3_malformed, p3_ranges, p3_large_ids, p4_found, p4_compacted, p4_entries, p4_recompacted, p5_found, p5_report, p5_heavy)}
 
 _COMMITTED = """committed AS (
   SELECT log_name, log_position FROM (
@@ -213,6 +229,8 @@ HAVING NOT bool_or(coalesce(m.log_offset <= c.log_position, false))""",
 ends AS (SELECT log_name, max(log_offset) AS last FROM data_messages GROUP BY log_name)
 SELECT coalesce(e.log_name, c.log_name) AS log_name, greatest(coalesce(e.last, c.log_position), coalesce(c.log_position, e.last)) AS log_position, CAST(0 AS BIGINT) AS n_left
 FROM ends e FULL OUTER JOIN committed c ON e.log_name = c.log_name WHERE coalesce(e.last, c.log_position) IS NOT NULL""",
+    "p1_two_runs": """SELECT tablet_id, count(*) AS n, count(*) AS identities, true AS new_files_only FROM
+(SELECT DISTINCT tablet_id, epoch, sequence FROM data_messages WHERE epoch IS NOT NULL AND sequence IS NOT NULL) GROUP BY tablet_id""",
     "p2_found": f"""SELECT tablet_id, lower(hex(key)) AS key_hex, epoch, sequence, write_no FROM ({_CURRENT}) WHERE rn = 1 AND kind IS NOT NULL""",
     "p2_current_table": f"""SELECT tablet_id, lower(hex(key)) AS key_hex, kind, v_int, v_float, lower(hex(v_bytes)) AS v_bytes_hex, v_string FROM ({_CURRENT}) WHERE rn = 1 AND kind IS NOT NULL""",
     "p3_found": """SELECT tablet_id, epoch, sequence FROM data_messages
