@@ -321,7 +321,7 @@ ORACLE = {
     "kv_batch_mixed": """WITH s AS (SELECT s_suppkey AS key, s_nationkey AS value, s_nationkey <> 3 AS alive FROM supplier), n AS (SELECT n_nationkey AS n FROM nation)
       SELECT n, coalesce((SELECT CAST(value AS varchar) FROM s WHERE key = n AND alive), 'None') AS got, CAST(coalesce((SELECT value FROM s WHERE key = n AND alive), 0) + 5 AS varchar) AS counted,
         '(' || n || ', ' || (coalesce((SELECT value FROM s WHERE key = n AND alive), 0) + 5) || ')' AS found, '9' AS gone, '(' || n || ', None)' AS found_gone,
-        '([' || (SELECT string_agg('(' || key || ', ' || value || ')', ', ' ORDER BY key) FROM (SELECT key, value FROM s WHERE key > n AND key < n + 40 AND alive ORDER BY key LIMIT 2)) || '], ' ||
+        '([' || coalesce((SELECT string_agg('(' || key || ', ' || value || ')', ', ' ORDER BY key) FROM (SELECT key, value FROM s WHERE key > n AND key < n + 40 AND alive ORDER BY key LIMIT 2)), '') || '], ' ||
           coalesce((SELECT CAST(key AS varchar) FROM s WHERE key > n AND key < n + 40 AND alive ORDER BY key LIMIT 1 OFFSET 2), 'None') || ')' AS page,
         CASE WHEN EXISTS (SELECT 1 FROM s WHERE key >= n AND key < n + 3) THEN 'False' ELSE 'True' END AS fresh, false AS alive FROM n""",
     "kv_default_time": "SELECT event_id, CASE WHEN event_type <> 'view' THEN epoch_us(ts) ELSE 1800000000000000 END AS \"at\" FROM events",
