@@ -76,15 +76,15 @@ class Checked:
     refs: DataFrame  #: table_name, id, field, target, at, period, __period
     groups: DataFrame  #: GROUP, reason, n_refs, since; reason is missing, dropped, later or mixed
 
-    def _mixed(self, kind: str, keep: list[str]) -> DataFrame:
-        bad = self.groups.where(F.col("reason") == "mixed" if kind == "mixed" else F.col("reason") != "mixed").select(*GROUP, "reason", "since")
-        rows = lookup_join(self.refs, bad, GROUP, "inner")
-        return rows.where(F.col("since") > F.col("at")).withColumn("reason", F.lit("later")).select(*keep) if kind == "mixed" else rows.select(*keep)
+    def _bad(self, groups: DataFrame) -> DataFrame:
+        """The references of some groups; of a mixed one those that are older than their target."""
+        rows = lookup_join(self.refs, groups.select(*GROUP, "reason", "since"), GROUP, "inner")
+        mixed = F.col("reason") == "mixed"
+        return rows.where(~mixed | (F.col("since") > F.col("at"))).withColumn("reason", F.when(mixed, "later").otherwise(F.col("reason")))
 
     def rows(self) -> DataFrame:
         """``table_name, id, field, period, target, reason`` of every orphan reference."""
-        keep = ["table_name", "id", "field", "period", "target", "reason"]
-        return self._mixed("whole", keep).unionByName(self._mixed("mixed", keep))
+        return self._bad(self.groups).select("table_name", "id", "field", "period", "target", "reason")
 
     def counts(self) -> DataFrame:
         """``table_name, field, period, reason, n_refs, n_targets``, from the groups' counts.
@@ -92,7 +92,7 @@ class Checked:
         Only groups of which a part is later than its target are counted reference by reference.
         """
         whole = self.groups.where(F.col("reason") != "mixed").select(*GROUP, "reason", "n_refs")
-        part = self._mixed("mixed", [*GROUP, "reason"]).groupBy(*GROUP, "reason").agg(F.count(F.lit(1)).alias("n_refs"))
+        part = self._bad(self.groups.where(F.col("reason") == "mixed")).groupBy(*GROUP, "reason").agg(F.count(F.lit(1)).alias("n_refs"))
         # a group has one row here, so a target counts once in its table, field, period and reason
         both = whole.unionByName(part).groupBy("table_name", "field", "__period", "reason").agg(F.sum("n_refs").alias("n_refs"), F.count(F.lit(1)).alias("n_targets"))
         return both.select("table_name", "field", F.nullif("__period", F.lit("")).alias("period"), "reason", "n_refs", "n_targets")
@@ -110,12 +110,15 @@ def check(refs: list[Reference], targets: DataFrame, heavy_refs: int = HEAVY_REF
     mixed. References without a period have a group of their own.
     """
     spark = targets.sparkSession
-    at = work_dir(spark, "refs")
-    references(refs, order).withColumn("__period", F.coalesce("period", F.lit(""))).write.parquet(at)
-    written = spark.read.parquet(at)
-    grouped_at = work_dir(spark, "groups")
-    written.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_refs"), F.min("at").alias("first"), F.max("at").alias("last")).write.parquet(grouped_at)
-    groups, states = spark.read.parquet(grouped_at), target_states(targets, order=order)
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        at = work_dir(spark, name)
+        df.write.parquet(at)
+        return spark.read.parquet(at)
+
+    written = once(references(refs, order).withColumn("__period", F.coalesce("period", F.lit(""))), "refs")
+    groups = once(written.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_refs"), F.min("at").alias("first"), F.max("at").alias("last")), "groups")
+    states = once(target_states(targets, order=order), "states")
     least = max(heavy_refs, (groups.agg(F.sum("n_refs")).first()[0] or 0) // MAX_HEAVY)
     heavy = groups.groupBy("target").agg(F.sum("n_refs").alias("__n")).where(F.col("__n") > least).select("target")
     # heavy has at most MAX_HEAVY rows
@@ -125,7 +128,7 @@ def check(refs: list[Reference], targets: DataFrame, heavy_refs: int = HEAVY_REF
     rest = rest.join(sound.hint("shuffle_hash"), (F.col("target") == F.col("__t")) & (F.col("__since") <= F.col("first")), "left_anti").join(states, "target", "left")
     reason = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "dropped").when(F.col("since") > F.col("last"), "later").when(F.col("since") > F.col("first"), "mixed")
     checked = hot.unionByName(rest).withColumn("reason", reason).where(F.col("reason").isNotNull())
-    return Checked(written, checked.select(*GROUP, "reason", "n_refs", "since"))
+    return Checked(written, once(checked.select(*GROUP, "reason", "n_refs", "since"), "orphans"))
 
 
 def orphans(refs: list[Reference], targets: DataFrame, heavy_refs: int = HEAVY_REFS, order: tuple[str, ...] = HYBRID) -> DataFrame:
