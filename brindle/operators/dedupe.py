@@ -8,11 +8,14 @@ range and are looked up exactly by a hash key of their own.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.sources.manifest import SnapshotTable
 
@@ -91,7 +94,7 @@ class Message:
 class Deduped:
     """One table, ``rows``, and what can be read from it by filters."""
 
-    rows: DataFrame  #: one row per message of the delivery: its columns, __copies, __seen, __h1, __h2
+    rows: DataFrame  #: one row per message: its columns, __copies, __seen, __h1, __h2, __odd, __again
     columns: list[str]
     message: Message
     seen: DataFrame | None = None  #: ranges seen before
@@ -105,23 +108,23 @@ class Deduped:
     @property
     def later(self) -> DataFrame:
         """The best copy of each message that was seen before."""
-        return self.rows.where(F.col("__seen") & F.col("__h1").isNull()).select(*self.columns)
+        return self.rows.where("__odd = 0 AND __again = 1 AND __seen").select(*self.columns)
 
     @property
     def repeated(self) -> DataFrame:
         """Identities with more rows than were accepted: identity, copies."""
-        return self.rows.where((F.col("__seen") | (F.col("__copies") > 1)) & F.col("__h1").isNull()).select(*self.message.identity, F.col("__copies").alias("copies"))
+        return self.rows.where("__odd = 0 AND __again = 1").select(*self.message.identity, F.col("__copies").alias("copies"))
 
     @property
     def fresh(self) -> DataFrame:
         """The ranges of the numbers accepted now: disjoint, and apart from those seen before."""
         n = F.col(self.message.number)
-        new = self.rows.where(~F.col("__seen") & F.col("__h1").isNull()).select(*self.message.producer, n.alias("lo"), n.alias("hi"))
+        new = self.rows.where("__odd = 0 AND NOT __seen").select(*self.message.producer, n.alias("lo"), n.alias("hi"))
         return merge_ranges(new, self.message.producer)
 
     @property
     def fresh_exact(self) -> DataFrame:
-        return self.rows.where(~F.col("__seen") & F.col("__h1").isNotNull()).select("__h1", "__h2")
+        return self.rows.where("__odd = 1 AND NOT __seen").select("__h1", "__h2")
 
     @property
     def ranges(self) -> DataFrame:
@@ -199,14 +202,16 @@ def dedupe(rows: DataFrame, message: Message = Message(), seen: DataFrame | None
     are the same only if all their columns are, apart from those of the delivery (by 128 bits
     of hash). Empty tables give empty results; further columns are carried along.
     """
-    return Deduped(flagged(_reduced(rows, message), message, seen, seen_exact), rows.columns, message, seen, seen_exact)
+    once = flagged(_reduced(rows, message), message, seen, seen_exact)
+    once = once.selectExpr("*", "int(__h1 IS NOT NULL) AS __odd", "int(__seen OR __copies > 1) AS __again")
+    return Deduped(once, rows.columns, message, seen, seen_exact)
 
 
 class Deduper:
     """De-duplication over deliveries, with its ranges and hash keys kept under ``root``.
 
     A delivery is reduced, compared with what was seen, and written once, as one table from
-    which all else is read by filters. Its new ranges and hash keys are written beside those
+    which all else is read by filters on its partitions: malformed or not, repeated or not. Its new ranges and hash keys are written beside those
     of earlier deliveries, from which they are apart, and merged with them every MERGE_EVERY
     deliveries: a delivery costs its own size, not that of all before. Table and state are
     published in one manifest version. A delivery that fails before that can be given again;
@@ -215,6 +220,7 @@ class Deduper:
 
     def __init__(self, spark: SparkSession, root: str, message: Message = Message()):
         self.spark, self.table, self.message = spark, SnapshotTable(spark, root), message
+        self.folder = f"{self.table.root}/deliveries"
 
     def _read(self, paths: Sequence[str]) -> DataFrame | None:
         return self.spark.read.parquet(*paths) if paths else None
@@ -223,9 +229,11 @@ class Deduper:
         base = self.table.version()
         state, m = self.table.read(base), self.message
         ranges, exact = state.get("ranges", []), state.get("exact", [])
-        at = self.table.data_path("delivery")
-        dedupe(rows, m, self._read(ranges), self._read(exact)).rows.write.parquet(at)
-        out = Deduped(self.spark.read.parquet(at), rows.columns, m)
+        at = f"{self.folder}/__delivery={uuid.uuid4().hex}"
+        once = dedupe(rows, m, self._read(ranges), self._read(exact)).rows
+        once.write.partitionBy("__odd", "__again").parquet(at)
+        # read back with its own schema, as an empty delivery has no partitions
+        out = Deduped(self.spark.read.schema(once.schema).parquet(at), rows.columns, m)
         state_of = {}
         for name, old, new in (("ranges", ranges, out.fresh), ("exact", exact, out.fresh_exact)):
             path = self.table.data_path(name)
@@ -236,12 +244,13 @@ class Deduper:
                 whole = new.unionByName(self._read(old))
                 (merge_ranges(whole, m.producer) if name == "ranges" else whole).write.parquet(path)
                 state_of[name] = [path]
-        return self.table.publish(base, {**state_of, "columns": rows.columns, "deliveries": [*state.get("deliveries", []), at]})
+        return self.table.publish(base, {**state_of, "columns": rows.columns, "schema": once.schema.json(), "deliveries": [*state.get("deliveries", []), at]})
 
     def _all(self) -> Deduped:
         """The tables of all deliveries as one; columns as in the last."""
         state = self.table.read()
-        rows = self.spark.read.option("mergeSchema", "true").parquet(*state["deliveries"])
+        reader = self.spark.read.option("basePath", self.folder).schema(T.StructType.fromJson(json.loads(state["schema"])))
+        rows = reader.parquet(*state["deliveries"])
         return Deduped(rows, state["columns"], self.message)
 
     def accepted(self) -> DataFrame:
