@@ -178,6 +178,10 @@ def batch(operations: DataFrame, base: DataFrame, key: str = "key", seq: str = "
     line = Line(operations, [key], [seq])
     runs = line.running(line.rows, F.col("op").isin("put", "delete").cast("long"), "sum", "__run")
     runs = line.running(runs, F.when(F.col("op") == "increment", F.col("operand")), "sum", "__added", keys=[key, "__run"])
+    # read twice below
+    path = work_dir(operations.sparkSession, "runs")
+    runs.write.parquet(path)
+    runs = operations.sparkSession.read.parquet(path)
     began = runs.where(F.col("op") == "put").select(key, "__run", F.col("operand").alias("__origin"))
     joined = lookup_join(lookup_join(runs, began, [key, "__run"]), base.select(key, F.col("v_int").alias("__base")), [key])
     origin = F.when(F.col("__run") == 0, F.col("__base")).otherwise(F.col("__origin"))
