@@ -12,6 +12,7 @@ from brindle.kv.clock import HybridClock
 from brindle.kv.store import Layout, VersionedStore, batch
 from brindle.kv.txn import Txn, TxnAborted, deadlocks, expire, lock_queue, merge, push_over_fences, resolve_intents
 from brindle.operators.relational import asof_join, merge_spans, range_join, split_spans
+from brindle.operators.skew import lookup_join
 from brindle.sources.manifest import SnapshotTable
 from brindle.sources.shared import shared_dir, work_dir
 from brindle.streaming.logs import FileLog, GapError, accept, accept_stream, accepted_rows, hybrid_clock, kafka_log, kafka_messages, kafka_records, push_late, quorum_times, replicated_reads
@@ -50,6 +51,20 @@ def test_find_each_is_the_ceiling(spark):
         assert r.found == min((h for h in have if h >= r.w), default=None)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_find_each_of_many_keys_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("brindle.kv.store.lookup_join", lambda *a: lookup_join(*a, max_rows=0))
+    s = store(spark, [(f"k{i:02d}", 1, i, True, i) for i in range(0, 60, 7)])
+    found = s.find_each(spark.createDataFrame([(f"k{i:02d}",) for i in range(0, 70, 3)] * 2, "w string"), "w")
+    # the only broadcast side is the one row a task
+    plan = plan_of(found)
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(f"k{i:02d}", f"k{-(-i // 7) * 7:02d}" if i <= 56 else None) for i in range(0, 70, 3)] * 2, key=str)
+
+
 def test_puts_if_absent_in_one_batch(spark):
     s = store(spark, VERSIONS)
     writes = spark.createDataFrame([("new", 2, 5), ("new", 1, 6), ("new", 3, 7), ("count0", 1, 8), ("count1", 1, 9), ("same", 1, 1), ("same", 1, 1), (None, 1, 1)], "key string, n int, v int")
