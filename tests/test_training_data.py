@@ -465,6 +465,15 @@ def test_lookup_join_is_the_same_salted(spark, bound, how):
     assert got == sorted(map(str, big.join(small, ["k"], how).collect()))
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_salted_rows_are_not_broadcast(spark, how):
+    big, small = spark.range(1000).withColumn("k", F.col("id") % 7), spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    joined = lookup_join(big, small, ["k"], how, max_rows=0)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert joined.count() == big.join(small, ["k"], how).count()
+
+
 def test_running_max_over_chunks(spark):
     rows = [(k, i, (i * 7) % 23) for k in (1, None) for i in range(60)]
     df = spark.createDataFrame(rows, "k bigint, at bigint, v bigint")
