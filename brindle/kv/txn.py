@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from brindle.kv.clock import HybridClock
 from brindle.operators.relational import range_join
 from brindle.operators.skew import Line, lookup_join
 from brindle.sources.manifest import ConflictError, SnapshotTable
-from brindle.sources.shared import shared_dir
+from brindle.sources.shared import shared_dir, ship_code, work_dir
 
 
 def resolve_intents(intents: DataFrame, status: DataFrame, rolled_back: DataFrame | None = None) -> DataFrame:
@@ -53,6 +53,131 @@ def push_over_fences(writes: DataFrame, reads: DataFrame, key: str, ts: str, sta
 
 #: Layers that are peeled off before chains are contracted; more of them cost rows, not results.
 PEEL_ROUNDS = 4
+#: Waits between branching transactions that one task walks over; about 350 bytes each.
+ONE_TASK_WAITS = 1_000_000
+
+
+def _strong(waiter: list[int], holder: list[int], n: int) -> list[int]:
+    """The number of each node's strongly connected component, -1 off all cycles."""
+    begins = [0] * (n + 1)
+    for v in waiter:
+        begins[v + 1] += 1
+    for v in range(n):
+        begins[v + 1] += begins[v]
+    at, to = begins[:n], [0] * len(holder)
+    alone = [True] * n
+    for v, w in zip(waiter, holder, strict=True):
+        to[at[v]] = w
+        at[v] += 1
+        if v == w:
+            alone[v] = False
+    at = begins[:n]
+    seen, low, component, open_, clock = [0] * n, [0] * n, [-1] * n, [], 0
+    done = bytearray(n)
+    for root in range(n):
+        if seen[root]:
+            continue
+        clock += 1
+        seen[root] = low[root] = clock
+        open_.append(root)
+        path = [root]
+        while path:
+            v = path[-1]
+            if at[v] < begins[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if not seen[w]:
+                    clock += 1
+                    seen[w] = low[w] = clock
+                    open_.append(w)
+                    path.append(w)
+                elif not done[w] and seen[w] < low[v]:
+                    low[v] = seen[w]
+                continue
+            path.pop()
+            if path and low[v] < low[path[-1]]:
+                low[path[-1]] = low[v]
+            if low[v] == seen[v]:
+                single = open_[-1] == v and alone[v]
+                while True:
+                    w = open_.pop()
+                    done[w] = 1
+                    if not single:
+                        component[w] = v
+                    if w == v:
+                        break
+    return component
+
+
+def _walk(batches: Iterator) -> Iterator:
+    """``_strong`` over all batches of one task: waiter and holder in, txn and its component's number out."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    waits = pa.Table.from_batches(held)
+    both = pa.chunked_array([*waits["waiter"].chunks, *waits["holder"].chunks]).combine_chunks().dictionary_encode()
+    numbers = both.indices.to_pylist()
+    component = _strong(numbers[: waits.num_rows], numbers[waits.num_rows :], len(both.dictionary))
+    for b in pa.table({"txn": both.dictionary, "number": pa.array(component, pa.int64())}).to_batches(max_chunksize=10_000):
+        yield b.filter(pc.greater_equal(b["number"], 0))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written and read again; after many rounds a checkpoint's plan would still carry all their constraints."""
+    path = work_dir(df.sparkSession, "waits")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _greatest(waits: DataFrame, source: str, target: str) -> DataFrame:
+    """``v`` and ``top``: the greatest transaction, or ``v`` itself, from which ``v`` is reached.
+
+    Each round goes on over one wait and then as far as the one found so far has come. The
+    order is that of a hash, so a line of waits in the order of its numbers takes few rounds.
+    """
+    ends = waits.select(F.col(source).alias("v")).unionByName(waits.select(F.col(target).alias("v"))).distinct()
+    top = _kept(ends.withColumn("top", F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("v"))))
+    none = F.lit(None).cast(top.schema["top"].dataType)
+    while True:
+        step = waits.join(top.select(F.col("v").alias(source), "top"), source).select(F.col(target).alias("v"), "top", none.alias("__was"))
+        best = top.withColumn("__was", F.col("top")).unionByName(step).groupBy("v").agg(F.max("top").alias("top"), F.max("__was").alias("__was"))
+        far = top.select(F.col("v").alias("__at"), F.col("top").alias("__far"))
+        both = lookup_join(best.withColumn("__at", F.col("top.v")), far, ["__at"])
+        top = _kept(both.select("v", F.greatest("top", "__far").alias("top"), "__was"))
+        moved = top.where("top <> __was").limit(1).count()
+        top = top.select("v", "top")
+        if not moved:
+            return top
+
+
+def _components(waits: DataFrame) -> DataFrame:
+    """``txn`` and ``group`` (the least of all that reach each other) of each one on a cycle.
+
+    Whom the same transaction reaches last can only be on a cycle with each other. Of them,
+    those that reach it too are on its cycle, and are done with; what is left of the waits
+    between the others is taken apart again, until it fits one task.
+    """
+    parts, waits = [], _kept(waits)
+    while waits.count() > ONE_TASK_WAITS:
+        down = _greatest(waits, "waiter", "holder")
+        a, b = down.select(F.col("v").alias("waiter"), F.col("top").alias("t1")), down.select(F.col("v").alias("holder"), F.col("top").alias("t2"))
+        inner = _kept(waits.join(a, "waiter").join(b, "holder").where("t1 = t2").select("waiter", "holder", F.col("t1").alias("top")))
+        up = _greatest(inner.select("waiter", "holder"), "holder", "waiter").withColumnRenamed("top", "up")
+        # who reaches the one that reaches it; alone, it has a wait for itself or is on no cycle
+        sides = _kept(inner.join(up.select(F.col("v").alias("waiter"), F.col("up").alias("u1")), "waiter").join(up.select(F.col("v").alias("holder"), F.col("up").alias("u2")), "holder").where("u1 = u2"))
+        mine = sides.where("u1 = top").select(F.col("waiter").alias("txn"), "top").distinct()
+        parts.append(mine.join(mine.groupBy("top").agg(F.min("txn").alias("group")), "top").select("txn", "group"))
+        waits = _kept(sides.where("u1 <> top").select("waiter", "holder"))
+    kind = waits.schema["waiter"].dataType.simpleString()
+    ship_code(waits.sparkSession)
+    walked = _kept(waits.repartition(1).mapInArrow(_walk, f"txn {kind}, number bigint"))
+    core = walked.join(walked.groupBy("number").agg(F.min("txn").alias("group")), "number").select("txn", "group")
+    for p in parts:
+        core = core.unionByName(p)
+    return core
 
 
 def deadlocks(waits: DataFrame) -> DataFrame:
@@ -67,9 +192,10 @@ def deadlocks(waits: DataFrame) -> DataFrame:
     2. Whoever waits for one transaction and is waited for by one is a link of a chain. Chains
        are contracted by jumping over twice as many links a round, one row a transaction. A ring
        of links alone is a cycle and is done with.
-    3. What is left are the transactions where waits branch. Their paths are doubled as distinct
-       pairs; two that reach each other are on one cycle, and so are the links of chains
-       between them.
+    3. What is left are the transactions where waits branch. Those that reach each other are on
+       one cycle, and so are the links of chains between them. One task finds them in a single
+       walk (Tarjan's) over at most ONE_TASK_WAITS waits; while there are more, they are taken
+       apart by who is reached from where, in rounds that each read the waits once.
 
     Of a cycle the greatest (priority, start_ts, txn) restarts: at equal priority the older one
     wins. Each round is cut off from the plan by a checkpoint in the shared folder.
@@ -99,14 +225,7 @@ def deadlocks(waits: DataFrame) -> DataFrame:
     chains = jump.join(links.select(F.col("v").alias("next")), "next", "left_anti").select("v", F.col("next").alias("end"))
     branching = edges.join(links.select(F.col("v").alias("waiter")), "waiter", "left_anti")
     short = branching.join(chains.select(F.col("v").alias("holder"), "end"), "holder", "left").select("waiter", F.coalesce("end", "holder").alias("holder"), F.when(F.col("end").isNotNull(), F.col("holder")).alias("via")).checkpoint()
-    paths, size = short.select("waiter", "holder").distinct().checkpoint(), -1
-    while (now := paths.count()) != size:
-        size = now
-        a, b = paths.alias("a"), paths.alias("b")
-        longer = a.join(b, F.col("a.holder") == F.col("b.waiter")).select(F.col("a.waiter").alias("waiter"), F.col("b.holder").alias("holder"))
-        paths = paths.unionByName(longer).distinct().checkpoint()
-    mutual = paths.join(paths.select(F.col("holder").alias("waiter"), F.col("waiter").alias("holder")), ["waiter", "holder"], "left_semi")
-    core = mutual.groupBy(F.col("waiter").alias("txn")).agg(F.min("holder").alias("group"))
+    core = _components(short.select("waiter", "holder").distinct())
     # a chain lies on a cycle if the two that it joins do
     owner = core.select(F.col("txn").alias("waiter"), F.col("group").alias("g1")).join(short.where("via IS NOT NULL"), "waiter").join(core.select(F.col("txn").alias("holder"), F.col("group").alias("g2")), "holder").where("g1 = g2").select(F.col("via").alias("first"), F.col("g1").alias("group"))
     # every link of a chain goes to the chain's end, and so does its first one: they share it
