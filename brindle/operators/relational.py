@@ -85,7 +85,8 @@ def split_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str, sta
     binary tree: a span covers whole subtrees, at most two a level, and a piece lies in one
     subtree of each level. So n spans meet their pieces in about n log n rows joined by equal
     subtrees, however many spans cover a piece and however many pieces a span covers.
-    Neighbouring pieces with equal stamps are joined again.
+    Neighbouring pieces with equal stamps are joined again. No join is left to a broadcast:
+    Spark's estimate of a side leaves out that its rows are repeated once a level.
     """
     keys = list(keys)
     good = spans.where(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("s"), F.col(end).alias("e"), order_of(stamp).alias("stamp"))
@@ -100,7 +101,7 @@ def split_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str, sta
         on = F.col(at) == F.col("__at")
         for i, k in enumerate(keys):
             on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
-        return df.join(there, on).drop("__at", *(f"__k{i}" for i in range(len(keys))))
+        return df.join(there.hint("merge"), on).drop("__at", *(f"__k{i}" for i in range(len(keys))))
 
     # one row per pair of bounds, with its greatest stamp
     bounds = place(place(good.groupBy(*keys, "s", "e").agg(F.max("stamp").alias("stamp")), "s", "__a"), "e", "__b")
@@ -113,12 +114,13 @@ def split_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str, sta
     for i, k in enumerate(keys):
         on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
     named = nodes.select(*(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__l").alias("__nl"), F.col("__i").alias("__ni"), "stamp")
-    held = pieces.join(named, on).groupBy(*keys, "at", "__i0").agg(F.max("stamp").alias("stamp"))
+    held = pieces.join(named.hint("merge"), on).groupBy(*keys, "at", "__i0").agg(F.max("stamp").alias("stamp"))
     follows = numbered.select(*keys, F.col("at").alias("to"), (F.col("__n") - 1).alias("__j"))
     same = F.col("__i0") == F.col("__j")
     for i, k in enumerate(keys):
         same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
-    whole = held.join(follows.select("to", "__j", *(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys))), same).select(*keys, "at", "to", "stamp")
+    after = follows.select("to", "__j", *(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)))
+    whole = held.join(after.hint("merge"), same).select(*keys, "at", "to", "stamp")
     line = Line(whole, keys, ["at"])
     rows = line.running(line.rows, F.struct("to", "stamp"), "last", "__before", inclusive=False)
     goes_on = F.coalesce((F.col("__before.to") == F.col("at")) & F.col("__before.stamp").eqNullSafe(F.col("stamp")), F.lit(False))

@@ -12,6 +12,7 @@ from brindle.kv.batch import BatchRefused, Op, run_batch
 from brindle.kv.clock import HybridClock
 from brindle.kv.store import Layout, VersionedStore, batch
 from brindle.kv.txn import Txn, TxnAborted, deadlocks, expire, lock_queue, merge, push_over_fences, resolve_intents
+from brindle.operators import relational
 from brindle.operators.relational import asof_join, merge_spans, range_join, split_spans
 from brindle.operators.skew import lookup_join
 from brindle.sources.manifest import SnapshotTable
@@ -247,6 +248,16 @@ def test_spans(spark, raw):
     assert sorted(r.x for r in hits.collect()) == sorted(x for _, s, e, _t in rows for x in range(s, e))
 
 
+def test_split_spans_broadcasts_no_repeated_rows(spark, monkeypatch):
+    plans, line = [], relational.Line
+    monkeypatch.setattr(relational, "Line", lambda df, *a: (plans.append(plan_of(df)), line(df, *a))[1])
+    spans = spark.range(40).selectExpr("id % 2 AS k", "id AS s", "id + id % 5 + 1 AS e", "id % 7 AS t")
+    split = split_spans(spans, ["k"], "s", "e", ["t"]).collect()
+    assert len(plans) == 2 and plans[1].count("SortMergeJoin") == 4 and "Broadcast" not in plans[1]
+    want = {(i % 2, x): max(j % 7 for j in range(i % 2, 40, 2) if j <= x <= j + j % 5) for i in range(40) for x in range(i, i + i % 5 + 1)}
+    assert {(r.k, x): r.t for r in split for x in range(r.s, r.e)} == want
+
+
 def test_asof(spark):
     left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 9, 3), (None, 9, 4), ("a", None, 5), ("a", 5, 6)], "k string, t bigint, id int")
     right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 5, "z"), ("a", 7, "w"), (None, 1, "n")], "k string, t2 bigint, v string")
