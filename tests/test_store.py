@@ -67,6 +67,17 @@ def test_find_each_of_many_keys_is_not_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(f"k{i:02d}", f"k{-(-i // 7) * 7:02d}" if i <= 56 else None) for i in range(0, 70, 3)] * 2, key=str)
 
 
+def test_find_all_beyond_the_bound_is_not_broadcast(spark, sf, monkeypatch):
+    from brindle.plans.store import kv_find_all
+
+    want = sorted(map(tuple, kv_find_all(spark, sf).collect()))
+    monkeypatch.setattr("brindle.kv.store.lookup_join", lambda *a: lookup_join(*a, max_rows=0))
+    beyond = kv_find_all(spark, sf)
+    # the only broadcast side is the one row a range
+    assert plan_of(beyond).count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plan_of(beyond)
+    assert sorted(map(tuple, beyond.collect())) == want
+
+
 def test_puts_if_absent_in_one_batch(spark):
     s = store(spark, VERSIONS)
     writes = spark.createDataFrame([("new", 2, 5), ("new", 1, 6), ("new", 3, 7), ("count0", 1, 8), ("count1", 1, 9), ("same", 1, 1), ("same", 1, 1), (None, 1, 1)], "key string, n int, v int")
